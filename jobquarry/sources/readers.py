@@ -26,8 +26,14 @@ def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> Da
         "company_name",
         "total_pages_crawled",
         F.posexplode("jobs").alias("pos", "job"),
-    ).select("file_path", "listing_url", "company_name", "total_pages_crawled",
-             F.col("pos").cast("long").alias("pos"), "job.*")
+    ).select(
+        "file_path",
+        "listing_url",
+        "company_name",
+        "total_pages_crawled",
+        F.col("pos").cast("long").alias("pos"),
+        "job.*",
+    )
 
 
 def read_html_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +142,7 @@ BAD_SHAPE = "neither a list of jobs nor an object with a jobs list"
 def load_postings(documents: DataFrame, document: str, *keep: str) -> tuple[DataFrame, DataFrame]:
     """Texts holding ``[...]`` or ``{"jobs": [...]}`` to postings; other shapes set aside."""
     element = POSTING_SCHEMA.simpleString()
-    text = F.ltrim(document)
+    text = F.ltrim(F.col(document), F.lit(" \t\r\n"))
     jobs = F.when(
         F.left(text, F.lit(1)) == "[", F.from_json(text, f"array<{element}>")
     ).when(F.left(text, F.lit(1)) == "{", F.from_json(text, f"struct<jobs: array<{element}>>")["jobs"])
