@@ -287,7 +287,7 @@ class Probe:
     kind ``value``: first non-empty value over the selectors in order; ``first``: the
     first match's value; ``values``: all values of all matches; ``exists``: any match;
     ``items``: the ``li`` texts of the first matching container (null without any);
-    ``block``: the unstripped text of that container.
+    ``block``: the unstripped text of that container; ``page``: the whole page's text.
     """
 
     name: str
@@ -309,6 +309,8 @@ class Probe:
         return "array<string>" if self.kind in ("items", "values") else "string"
 
     def read(self, page: Page) -> Any:
+        if self.kind == "page":
+            return page.text()
         if self.kind == "exists":
             return any(selector.first(page) is not None for selector in self.selectors)
         if self.kind == "values":
@@ -390,22 +392,14 @@ class PageReader:
         return read_pages(html)
 
 
-def probe(name: str, kind: str, selectors: str | list[str], attribute: str = "text") -> Probe:
+def probe(
+    name: str, kind: str, selectors: str | list[str] = (), attribute: str = "text"
+) -> Probe:
     listed = [selectors] if isinstance(selectors, str) else selectors
     return Probe(name, kind, tuple(Selector.compile(css) for css in listed), attribute)
 
 
-# -- page text and links ------------------------------------------------------------
-
-
-def page_text(html: Column) -> Column:
-    """The text of a whole page, script and style left out."""
-
-    @F.arrow_udf("string")
-    def read_text(batch: pa.Array) -> pa.Array:
-        return pa.array((None if h.as_py() is None else Page(h.as_py()).text() for h in batch), pa.string())
-
-    return read_text(html)
+# -- links ---------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)

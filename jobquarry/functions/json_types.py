@@ -9,46 +9,65 @@ from pyspark.sql import functions as F
 TYPE_ORDER = ["text", "boolean", "long", "float", "object"]
 
 
-def _scalar_rank(value: Column) -> Column:
-    """1-based place in ``TYPE_ORDER``; null for JSON null and for arrays.
+_WIDE_INTEGER = r"DECIMAL\((19|[23]\d),0\)"
+
+
+def _kind_rank(kind: Column) -> Column:
+    """1-based place of a variant type name in ``TYPE_ORDER``; null for null and arrays.
 
     A variant stores 1.0 as a decimal without a fraction, while whole numbers are
     BIGINT unless they need 19 digits or more.
     """
-    kind = F.schema_of_variant(value)
     return (
         F.when(kind == "STRING", 1)
         .when(kind == "BOOLEAN", 2)
-        .when((kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), 3)
+        .when((kind == "BIGINT") | kind.rlike(f"^{_WIDE_INTEGER}$"), 3)
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), 4)
         .when(kind.startswith("OBJECT"), 5)
     )
 
 
-def _elements(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
-
-
 def value_rank(value: Column, list_levels: int) -> Column:
     """Rank of a value, looking into lists up to ``list_levels`` deep.
 
     A column of values is looked into one level (its values may be lists). A single
     document's list counts as a column itself, so its own lists are looked into too.
     """
+    kind = F.schema_of_variant(value)
     if list_levels == 0:
-        return _scalar_rank(value)
+        return _kind_rank(kind)
+    # A list of one plain type says so as a whole; only mixed or nested ones are opened.
+    plain = kind.rlike(r"^ARRAY<(STRING|BOOLEAN|BIGINT|DOUBLE|DECIMAL\((\d|1[0-8]),\d+\))>$")
     inner = F.array_max(
-        F.transform(_elements(value), lambda item: value_rank(item, list_levels - 1))
+        F.transform(
+            F.try_variant_get(value, "$", "array<variant>"),
+            lambda item: value_rank(item, list_levels - 1),
+        )
+    )
+    return (
+        F.when(~kind.startswith("ARRAY"), _kind_rank(kind))
+        .when(plain, _kind_rank(F.regexp_extract(kind, "^ARRAY<(.*)>$", 1)))
+        .otherwise(inner)
     )
-    return F.coalesce(inner, _scalar_rank(value))
 
 
 def rank_type(rank: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, TYPE_ORDER)), rank.cast("int"))
 
 
+def _parsed(document: Column) -> Column:
+    """The text as the one element of an array, which no text but one whole value gives."""
+    return F.try_parse_json(F.concat(F.lit("["), document, F.lit("]")))
+
+
+def is_json(document: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it."""
+    items = F.try_variant_get(_parsed(document), "$", "array<variant>")
+    return F.coalesce(F.size(items) == 1, F.lit(False))
+
+
 def document_fields(document: Column) -> Column:
-    """A JSON object as map of field to variant; null when it is not an object."""
-    return F.when(
-        F.try_parse_json(document).isNotNull(), F.from_json(document, "map<string,variant>")
-    )
+    """A JSON object as map of field to variant; null when it is not one object."""
+    items = F.try_variant_get(_parsed(document), "$", "array<variant>")
+    whole = F.when(F.size(items) == 1, F.get(items, 0))
+    return F.try_variant_get(whole, "$", "map<string,variant>")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,8 @@ def pool_last_token(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def embed_text(text: Column, make_model: Callable[[], EmbedFn], batch_size: int = 64) -> Column:
     """Text to vector with any model; ``make_model`` runs once per Python worker.
 
-    The model sees whole texts in batches. A null text counts as an empty one.
+    The model sees whole texts in batches. A null text counts as an empty one. Marked as
+    nondeterministic, so that Spark never runs the model again for a filter on its result.
     """
 
     def make_predict():
@@ -52,7 +52,7 @@ def embed_text(text: Column, make_model: Callable[[], EmbedFn], batch_size: int
     predict = predict_batch_udf(
         make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    return predict(F.coalesce(text, F.lit("")))
+    return predict.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def hashing_model(dims: int) -> Callable[[], EmbedFn]:
@@ -63,17 +63,21 @@ def hashing_model(dims: int) -> Callable[[], EmbedFn]:
     """
 
     def make() -> EmbedFn:
-        @lru_cache(maxsize=200_000)
-        def bucket(token: str) -> int:
-            return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dims
+        class Buckets(dict):
+            def __missing__(self, token: str) -> int:
+                if len(self) > 1_000_000:
+                    self.clear()
+                digest = hashlib.md5(token.encode("utf-8")).hexdigest()
+                self[token] = bucket = int(digest[:8], 16) % dims
+                return bucket
 
-        token = re.compile(r"[a-z0-9_]+")
+        bucket, token = Buckets().__getitem__, re.compile(r"[a-z0-9_]+")
 
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims), dtype=np.float32)
             for row, text in enumerate(texts):
-                hits = [bucket(t) for t in token.findall(text.lower())]
-                out[row] = np.bincount(hits, minlength=dims) if hits else 0
+                hits = np.fromiter(map(bucket, token.findall(text.lower())), dtype=np.int64)
+                out[row] = np.bincount(hits, minlength=dims)
             return out
 
         return embed

@@ -9,6 +9,7 @@ from jobquarry.config import PatternConfig
 from jobquarry.functions.html import PageReader, page_links, probe
 from jobquarry.functions.regex import translate
 from jobquarry.functions.urls import is_job_url, page_url, resolve_url
+from jobquarry.operators.unnest import unnest
 from jobquarry.session import spread
 
 # Metadata fields with a column of their own, and pagination defaults.
@@ -35,15 +36,15 @@ def extract_links(
     ``keep`` columns and the page source are read, and the page source stops here.
     """
     base = F.lit(home_url) if isinstance(home_url, str) else home_url
-    # The outer form: from a plain explode Spark would derive a filter on the link list
-    # and parse every page twice.
-    links = (
-        spread(pages, *keep)
-        .select(*keep, base.alias("_home"), page_links(F.col(html), config.link_selectors).alias("_links"))
-        .select(*keep, "_home", F.posexplode_outer("_links").alias("pos", "_link"))
-        .where(F.col("_link").isNotNull())
-        .select(*keep, "_home", F.col("pos").cast("long").alias("pos"), "_link.*")
-    )
+    links = unnest(
+        spread(pages, *keep).select(
+            *keep, base.alias("_home"), page_links(F.col(html), config.link_selectors).alias("_links")
+        ),
+        F.col("_links"),
+        *keep,
+        "_home",
+        item="_link",
+    ).select(*keep, "_home", "pos", "_link.*")
     # A literal home URL is folded into constants.
     home = base if isinstance(home_url, str) else F.col("_home")
     found = resolve_url(links, home, "link").select(*keep, "pos", "url", "metadata")

@@ -241,17 +241,24 @@ def extract_postings(
     return conform_postings(built, *keep, "status", "failure")
 
 
-def required_present(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with all key fields, and the others with a ``reason``."""
+def not_error_page(
+    pages: DataFrame, *keep: str, html: str = "html", error_marks: list[str] = ERROR_MARKS
+) -> DataFrame:
+    """Pages whose text, in any case, has no error mark, with that text as ``page_text``."""
+    reader = PageReader((probe("page_text", "page"),), tuple(mark.lower() for mark in error_marks))
+    read = spread(pages, *keep).select(*keep, F.inline_outer(reader.column(F.col(html))))
+    return read.where(~F.col("error_page") & F.col("failure").isNull()).select(*keep, "page_text")
+
+
+def required_present(df: DataFrame, *names: str) -> DataFrame:
+    """Adds ``reason``: the key fields a row lacks, null when it has them all."""
     missing = F.array_compact(
         F.array(*(F.when(F.coalesce(F.col(n), F.lit("")) == "", F.lit(n)) for n in names))
     )
-    flagged = df.withColumn("_missing", F.array_join(missing, ","))
-    good = flagged.where(F.col("_missing") == "").drop("_missing")
-    bad = flagged.where(F.col("_missing") != "").withColumn(
-        "reason", F.concat(F.lit("missing: "), F.col("_missing"))
+    return df.withColumn(
+        "reason",
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ","))),
     )
-    return good, bad.drop("_missing")
 
 
 def extraction_summary(extracted: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobquarry.config import PatternConfig
-from jobquarry.functions.json_types import document_fields, rank_type, value_rank
+from jobquarry.functions.json_types import document_fields, is_json, rank_type, value_rank
 from jobquarry.functions.text import strip
+from jobquarry.operators.unnest import unnest
 
 
 def infer_field_types(documents: DataFrame, document: str) -> DataFrame:
@@ -15,8 +16,10 @@ def infer_field_types(documents: DataFrame, document: str) -> DataFrame:
 
     The maximum of the type ranks decides, so each task sends one row per field.
     """
-    fields = documents.select(F.explode(document_fields(F.col(document))).alias("field", "value"))
-    ranked = fields.select("field", value_rank(F.col("value"), 1).alias("rank"))
+    entries = unnest(documents, F.map_entries(document_fields(F.col(document))), item="entry")
+    ranked = entries.select(
+        F.col("entry.key").alias("field"), value_rank(F.col("entry.value"), 1).alias("rank")
+    )
     return (
         ranked.groupBy("field")
         .agg(F.max("rank").alias("rank"))
@@ -54,21 +57,16 @@ def check_mapping(
     )
     wrong = F.filter(compared, lambda i: ~i["got"].eqNullSafe(i["expected"]))
     unreadable = F.array(issue(nothing, NOT_JSON, nothing, nothing))
-    return (
-        documents.select(*keep, document_fields(F.col(document)).alias("_fields"))
-        .select(
-            *keep,
-            F.explode(F.when(fields.isNull(), unreadable).otherwise(F.concat(missing, wrong))).alias("_i"),
-        )
-        .select(*keep, "_i.*")
-    )
+    parsed = documents.select(*keep, document_fields(F.col(document)).alias("_fields"))
+    issues = F.when(fields.isNull(), unreadable).otherwise(F.concat(missing, wrong))
+    return unnest(parsed, issues, *keep, item="_issue").select(*keep, "_issue.*")
 
 
 def mapping_passed(documents: DataFrame, document: str, expected: dict[str, str], *keep: str) -> DataFrame:
     """A document passes when it is JSON and has every expected key, mismatches or not."""
     names = F.array(*(F.lit(name) for name in expected)).cast("array<string>")
     keys = F.json_object_keys(F.col(document))
-    readable = F.try_parse_json(F.col(document)).isNotNull()
+    readable = is_json(F.col(document))
     return documents.select(
         *keep,
         F.coalesce(readable & (F.size(F.array_except(names, keys)) == 0), F.lit(False)).alias("passed"),
@@ -131,23 +129,25 @@ SKIP_RECORD, USE_DEFAULT, RAISE_ERROR = "skip_record", "use_default", "raise_err
 
 
 def on_violation(
-    df: DataFrame, action: str, columns: dict[str, Column], ok: dict[str, Column]
-) -> tuple[DataFrame, DataFrame]:
-    """Apply the configured reaction to broken fields: (kept rows, set-aside rows).
+    df: DataFrame, action: str, ok: dict[str, Column], defaults: dict[str, Column] | None = None
+) -> DataFrame:
+    """The configured reaction to broken fields; ``ok`` maps a field to its predicate.
 
-    ``ok`` maps a field to its predicate and ``columns`` to the default that replaces it.
+    ``skip_record`` adds ``set_aside``, so that kept and skipped rows come from one
+    pass; ``use_default`` puts in the field's default; ``raise_error`` fails the job.
     """
     if action == USE_DEFAULT:
-        fixed = {name: F.when(test, F.col(name)).otherwise(columns[name]) for name, test in ok.items()}
-        return df.withColumns(fixed), df.limit(0)
+        return df.withColumns(
+            {name: F.when(test, F.col(name)).otherwise(defaults[name]) for name, test in ok.items()}
+        )
     good = F.lit(True)
     for test in ok.values():
-        good = good & test
+        good = good & F.coalesce(test, F.lit(False))
     if action == SKIP_RECORD:
-        return df.where(good), df.where(~good)
+        return df.withColumn("set_aside", ~good)
     if action == RAISE_ERROR:
         name = next(iter(ok))
         stop = F.raise_error(F.concat(F.lit("rule broken: "), F.to_json(F.struct(*ok))))
         checked = F.when(good, F.col(name)).otherwise(stop.cast(df.schema[name].dataType))
-        return df.withColumn(name, checked), df.limit(0)
+        return df.withColumn(name, checked)
     raise ValueError(f"unknown reaction {action!r}")

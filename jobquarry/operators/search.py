@@ -24,15 +24,15 @@ QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 GRID_CORPUS_ROWS = 100_000
 
 
-def topk_hits(hits: DataFrame, k: int | str, query: str = "query_id", order: str = "vec_id") -> DataFrame:
-    """The best k rows per query with their rank; ``k`` may be a column of the rows.
+def topk_hits(hits: DataFrame, k: int, query: str = "query_id", order: str = "vec_id") -> DataFrame:
+    """The best k rows per query with their rank.
 
-    A constant k is planned as a group limit on both sides of the shuffle, so each task
-    sends at most k rows per query however many one query has.
+    Planned as a group limit on both sides of the shuffle, so each task sends at most k
+    rows per query however many one query has.
     """
     ranking = Window.partitionBy(query).orderBy(F.desc("score"), F.asc(order))
     ranked = hits.withColumn("hit_rank", F.row_number().over(ranking))
-    return ranked.where(F.col("hit_rank") <= (F.col(k) if isinstance(k, str) else k))
+    return ranked.where(F.col("hit_rank") <= k)
 
 
 def usable_vectors(df: DataFrame, row_id: str, vector: str, dims: int) -> DataFrame:
@@ -175,7 +175,7 @@ def embed_table(
 def semantic_search(
     queries: DataFrame,
     corpus: DataFrame,
-    k: int,
+    k: int | str,
     dims: int,
     make_model: Callable[[], EmbedFn],
     *,
@@ -185,7 +185,19 @@ def semantic_search(
     corpus_vector: str = "embedding",
     where: Column | None = None,
 ) -> DataFrame:
-    """Many text queries against an embedded corpus: (query, id, score, hit_rank)."""
+    """Many text queries against an embedded corpus: (query, id, score, hit_rank).
+
+    ``k`` is one number, or the column of ``queries`` with each query's own; the search
+    then runs for the largest, and each query's surplus hits are dropped.
+    """
+    if isinstance(k, str):
+        most = queries.agg(F.max(k)).first()[0] or 1
+        hits = semantic_search(
+            queries, corpus, most, dims, make_model, query_id=query_id, query_text=query_text,
+            corpus_id=corpus_id, corpus_vector=corpus_vector, where=where,
+        )
+        limits = queries.select(query_id, F.col(k).alias("_k"))
+        return hits.join(limits, query_id).where(F.col("hit_rank") <= F.col("_k")).drop("_k")
     vectors = embed_table(queries, query_text, make_model, query_id, into="query_vector")
     return knn_search(
         vectors,

@@ -104,13 +104,19 @@ links AS (
                regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages)
 )"""
 
-# Page parts as the stripped-text rule reads them.
-TEXT_OF = (
-    "replace(replace(replace(replace(trim(regexp_replace({part}, '\\s*<[^>]*>\\s*', '', 'g'), "
-    "chr(32)||chr(10)), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-)
+def decoded_sql(text: str) -> str:
+    """SQL that decodes the entities of the sample pages; some lack their semicolon."""
+    for entity, character in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+        text = f"replace({text}, '{entity}', '{character}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+def stripped_sql(part: str) -> str:
+    """SQL for the text of a page part: pieces stripped, then joined without a blank."""
+    pieces = f"trim(regexp_replace({part}, '\\s*<[^>]*>\\s*', '', 'g'), chr(32)||chr(10))"
+    return decoded_sql(pieces)
 
 
 def part_sql(tag: str) -> str:
     """SQL for the stripped text of a tag's first element in ``html``."""
-    return TEXT_OF.format(part=f"regexp_extract(html, '<{tag}[^>]*>(.*?)</{tag}>', 1, 's')")
+    return stripped_sql(f"regexp_extract(html, '<{tag}[^>]*>(.*?)</{tag}>', 1, 's')")

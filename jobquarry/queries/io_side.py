@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from jobquarry.plans import process_urls as plan
 from jobquarry.queries.bindings import SAMPLE
 from jobquarry.queries.registry import query, table
@@ -118,8 +117,7 @@ def read_postings_tree(spark, sf):
     """Postings below company and snapshot folders, one JSON text per line."""
     path = scratch_path(spark, "tree")
     writers.write_postings(conform_postings(link_postings(spark, sf)), f"{path}/sample/1")
-    postings, _ = readers.read_postings_tree(spark, path, one_per_file=False)
-    return posting_columns(postings)
+    return posting_columns(readers.read_postings_tree(spark, path, one_per_file=False))
 
 
 def posting_documents(spark, sf):
@@ -144,17 +142,15 @@ def posting_documents(spark, sf):
 @query(
     "load_postings",
     WITH_LINKS + """
-SELECT page_id, pos, page_id || '-' || pos AS job_id, substr(href, 2) AS title, '' AS reason
+SELECT page_id, pos, page_id || '-' || pos AS job_id, substr(href, 2) AS title, NULL AS reason
 FROM links WHERE NOT suffix(page_url, '.html')
 UNION ALL
 SELECT page_id, NULL, NULL, NULL, 'neither a list of jobs nor an object with a jobs list'
 FROM pages WHERE suffix(url, '.html')""",
 )
 def load_postings(spark, sf):
-    good, bad = readers.load_postings(posting_documents(spark, sf), "document", "page_id")
-    return good.select("page_id", "pos", "job_id", "title", F.lit("").alias("reason")).unionByName(
-        bad.select("page_id", "reason"), allowMissingColumns=True
-    )
+    rows = readers.load_postings(posting_documents(spark, sf), "document", "page_id")
+    return rows.select("page_id", "pos", "job_id", "title", "reason")
 
 
 ORDER_JSON_SQL = """
@@ -233,7 +229,7 @@ def write_processed_envelope(spark, sf):
 SELECT vec_id, label AS company, CASE
     WHEN label = 1 THEN 'no embedding' WHEN label = 2 THEN 'embedding length differs'
     WHEN label = 3 THEN 'embedding holds nulls' WHEN label = 4 THEN 'embedding has no direction'
-    ELSE '' END AS reason,
+    END AS reason, label NOT BETWEEN 1 AND 4 AS searchable,
   CASE WHEN label NOT BETWEEN 1 AND 4 THEN len(embedding) END AS dims
 FROM embeddings""",
 )
@@ -249,11 +245,11 @@ def index_corpus(spark, sf):
     )
     rows = table(spark, sf, "embeddings").select("vec_id", label.alias("company"), spoilt.alias("embedding"))
     path = scratch_path(spark, "corpus")
-    writers.index_corpus(rows, "embedding", 64, f"{path}/good", f"{path}/bad", "company")
-    good, bad = spark.read.parquet(f"{path}/good"), spark.read.parquet(f"{path}/bad")
-    return good.select(
-        "vec_id", "company", F.lit("").alias("reason"), F.size("embedding").alias("dims")
-    ).unionByName(bad.select("vec_id", "company", "reason"), allowMissingColumns=True)
+    writers.index_corpus(rows, "embedding", 64, path, "company")
+    return spark.read.parquet(path).select(
+        "vec_id", "company", "reason", "searchable",
+        F.when(F.col("searchable"), F.size("embedding")).alias("dims"),
+    )
 
 
 @query("stream_ingest", "SELECT page_id, url, md5(html) AS html_md5 FROM pages")

@@ -177,7 +177,7 @@ RULES = PatternConfig(
 WITH fields AS (
   SELECT page_id, regexp_extract(url, '[?]page=(\\d+)', 1) AS page_number, {part_sql("title")} AS title, url
   FROM pages)
-SELECT page_id, CASE WHEN page_number = '' THEN 'set_aside' ELSE 'kept' END AS outcome,
+SELECT page_id, page_number = '' AS set_aside,
        CASE WHEN page_number = '' THEN 'page_number:not_empty,page_number:numeric' ELSE '' END
        || CASE WHEN length(title) >= 60 THEN ''
                WHEN page_number = '' THEN ',title:min_length' ELSE 'title:min_length' END AS violations,
@@ -185,7 +185,7 @@ SELECT page_id, CASE WHEN page_number = '' THEN 'set_aside' ELSE 'kept' END AS o
 FROM fields""",
 )
 def on_violation(spark, sf):
-    """Broken rules per page, the rows a skip sets aside, and the value a default gives."""
+    """Broken rules per page, whether a skip sets it aside, and the value a default gives."""
     rows = table(spark, sf, "pages").select(
         "page_id",
         F.regexp_extract("url", r"[?]page=(\d+)", 1).alias("page_number"),
@@ -202,12 +202,13 @@ def on_violation(spark, sf):
     rows = rows.withColumns({"page_min": F.lit(1), "page_max": F.length("page_number") + 1})
     checked = quality.violations(rows, RULES)
     ok = {"page_number": quality.not_empty(F.col("page_number"))}
-    kept, aside = quality.on_violation(checked, quality.SKIP_RECORD, {}, ok)
-    both = kept.withColumn("outcome", F.lit("kept")).unionByName(
-        aside.withColumn("outcome", F.lit("set_aside"))
+    skipped = quality.on_violation(checked, quality.SKIP_RECORD, ok)
+    repaired = quality.on_violation(
+        skipped.withColumn("repaired", F.col("page_number")),
+        quality.USE_DEFAULT,
+        {"repaired": quality.not_empty(F.col("repaired"))},
+        {"repaired": F.lit("1")},
     )
-    named = both.withColumn("repaired", F.col("page_number"))
-    repaired, _ = quality.on_violation(
-        named, quality.USE_DEFAULT, {"repaired": F.lit("1")}, {"repaired": quality.not_empty(F.col("repaired"))}
+    return repaired.select(
+        "page_id", "set_aside", F.array_join("violations", ",").alias("violations"), "repaired"
     )
-    return repaired.select("page_id", "outcome", F.array_join("violations", ",").alias("violations"), "repaired")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jobquarry.functions.vectors import hashing_model, last_token_pool
 from jobquarry.operators import search
+from jobquarry.operators.unnest import unnest
 from jobquarry.queries.registry import query, table
 from jobquarry.sources.readers import document_pages_text
 
@@ -117,9 +118,8 @@ def embed_text(spark, sf):
     vectors = search.embed_table(
         table(spark, sf, "documents").select("doc_id", "text"), "text", hashing_model(TEXT_DIMS), "doc_id"
     )
-    return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select(
-        "doc_id", F.col("dim").cast("long").alias("dim"), F.col("x").cast("double").alias("x")
-    )
+    values = unnest(vectors, F.col("embedding").cast("array<double>"), "doc_id", pos="dim", item="x")
+    return values.where("x <> 0")
 
 
 SEARCH_SQL = (
@@ -176,11 +176,11 @@ def shape_hits(spark, sf):
         resume_hits(spark, sf), corpus, "query_id", "hit_rank",
         corpus_id="doc_id", vector="vector", title="lang", url="source",
     )
-    field = lambda path: F.get_json_object("response", path)
-    return shaped.select(
-        "query_id", "hit_rank", field("$.title").alias("title"), field("$.url").alias("url"),
-        field("$.job.doc_id").cast("long").alias("job_id"),
-        F.md5(field("$.job.text")).alias("job_text_md5"),
-        field("$.job.vector").isNotNull().alias("has_vector"),
-        F.round(field("$.score").cast("double"), 6).alias("score"),
+    answer = "title string, url string, job struct<doc_id: long, text: string, vector: string>, score double"
+    return shaped.select("query_id", "hit_rank", F.from_json("response", answer).alias("r")).select(
+        "query_id", "hit_rank", "r.title", "r.url",
+        F.col("r.job.doc_id").alias("job_id"),
+        F.md5("r.job.text").alias("job_text_md5"),
+        F.col("r.job.vector").isNotNull().alias("has_vector"),
+        F.round("r.score", 6).alias("score"),
     )

@@ -10,6 +10,7 @@ from jobquarry.operators import dedup, downloads, links
 from jobquarry.plans import process_urls as plan
 from jobquarry.queries.bindings import HOME_URL, LINKS_SQL, SAMPLE
 from jobquarry.queries.registry import query, table
+from jobquarry.session import scratch_path, spread
 
 WITH_LINKS = "WITH" + LINKS_SQL
 
@@ -22,6 +23,13 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stored table, for queries that read the links more than once."""
+    path = scratch_path(spark, "links")
+    page_links(spark, sf).select("page_id", "page_url", "pos", "url").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "extract_links",
     WITH_LINKS
@@ -228,7 +236,8 @@ SELECT doc_id, array_to_string(list_transform(
 FROM documents""",
 )
 def prettify_title(spark, sf):
-    return table(spark, sf, "documents").select(
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select(
         "doc_id", urls.prettify_title(F.col("text")).alias("title")
     )
 
@@ -387,7 +396,7 @@ def dedup_url(spark, sf):
 
 def two_runs(spark, sf):
     """An earlier crawl (http pages) and a later one (https pages)."""
-    found = page_links(spark, sf).select("page_id", "page_url", "pos", "url")
+    found = stored_links(spark, sf)
     secure = F.col("page_url").startswith("https:")
     return found.where(~secure), found.where(secure)
 
@@ -449,7 +458,7 @@ SELECT page_id, count(*) AS jobs_found,
 FROM links l GROUP BY page_id""",
 )
 def page_counts(spark, sf):
-    return dedup.page_counts(page_links(spark, sf), "page_id")
+    return dedup.page_counts(stored_links(spark, sf), "page_id")
 
 
 @query(

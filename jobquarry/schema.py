@@ -138,9 +138,9 @@ def conform_postings(df: DataFrame, *keep: str) -> DataFrame:
     Unknown columns are dropped (but for ``keep``), absent or null ones take their
     default, values outside a closed set become null.
     """
-    columns = []
+    present, columns = set(df.columns), []
     for name, kind in FIELD_KINDS.items():
-        if name not in df.columns:
+        if name not in present:
             columns.append(field_default(name).alias(name))
             continue
         value = F.col(name).cast(POSTING_SCHEMA[name].dataType)
@@ -157,7 +157,7 @@ def postings_from_json(df: DataFrame, json_column: str, *keep: str) -> DataFrame
     parsed = df.select(
         *keep, F.from_json(json_column, POSTING_SCHEMA).alias("_posting")
     ).select(*keep, "_posting.*")
-    present = F.lit(True)
+    complete = F.lit(True)
     for name in REQUIRED_FIELDS:
-        present = present & F.col(name).isNotNull()
-    return conform_postings(parsed, *keep).withColumn("valid", present)
+        complete = complete & F.col(name).isNotNull()
+    return conform_postings(parsed, *keep).withColumn("valid", complete)

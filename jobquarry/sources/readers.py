@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobquarry.functions.json_types import is_json
 from jobquarry.schema import LISTING_SCHEMA, POSTING_SCHEMA, conform_postings
 
 
@@ -115,50 +116,47 @@ def read_json_documents(
         .text(path, wholetext=one_per_file)
         .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("document"))
     )
-    return texts.withColumn("readable", F.try_parse_json("document").isNotNull())
+    return texts.withColumn("readable", is_json(F.col("document")))
 
 
 def read_no_documents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "file_path string, document string, readable boolean")
 
 
+BAD_JSON = "invalid JSON"
+BAD_SHAPE = "neither a list of jobs nor an object with a jobs list"
+
+
 def read_postings_tree(
     spark: SparkSession, path: str | list[str], one_per_file: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Postings of all JSON files below a folder, and the texts that are not JSON."""
-    documents = read_json_documents(spark, path, one_per_file)
-    rejected = documents.where(~F.col("readable")).select(
-        "file_path", "document", F.lit("invalid JSON").alias("reason")
-    )
-    parsed = documents.where("readable").select(
-        "file_path", F.from_json("document", POSTING_SCHEMA).alias("_p")
+) -> DataFrame:
+    """Postings of all JSON files below a folder; ``reason`` marks texts that are not JSON."""
+    parsed = read_json_documents(spark, path, one_per_file).select(
+        "file_path",
+        F.when(~F.col("readable"), F.lit(BAD_JSON)).alias("reason"),
+        F.when(F.col("readable"), F.from_json("document", POSTING_SCHEMA)).alias("_p"),
     )
-    return conform_postings(parsed.select("file_path", "_p.*"), "file_path"), rejected
+    return conform_postings(parsed.select("file_path", "reason", "_p.*"), "file_path", "reason")
 
 
-BAD_SHAPE = "neither a list of jobs nor an object with a jobs list"
+def load_postings(documents: DataFrame, document: str, *keep: str) -> DataFrame:
+    """Texts holding ``[...]`` or ``{"jobs": [...]}`` as posting rows.
 
-
-def load_postings(documents: DataFrame, document: str, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """Texts holding ``[...]`` or ``{"jobs": [...]}`` to postings; other shapes set aside."""
+    A text of another shape is one row with its ``reason``, which is null for postings.
+    """
     element = POSTING_SCHEMA.simpleString()
     text = F.ltrim(F.col(document), F.lit(" \t\r\n"))
     jobs = F.when(
         F.left(text, F.lit(1)) == "[", F.from_json(text, f"array<{element}>")
     ).when(F.left(text, F.lit(1)) == "{", F.from_json(text, f"struct<jobs: array<{element}>>")["jobs"])
-    readable = documents.select(
-        *keep, F.col(document), F.when(F.try_parse_json(document).isNotNull(), jobs).alias("_jobs")
-    )
-    rows = readable.where(F.col("_jobs").isNotNull()).select(
-        *keep, F.posexplode("_jobs").alias("pos", "_job")
-    )
-    postings = rows.where(F.col("_job").isNotNull()).select(
-        *keep, F.col("pos").cast("long").alias("pos"), "_job.*"
-    )
-    rejected = readable.where(F.col("_jobs").isNull()).select(
-        *keep, document, F.lit(BAD_SHAPE).alias("reason")
-    )
-    return conform_postings(postings, *keep, "pos"), rejected
+    readable = documents.select(*keep, F.when(is_json(F.col(document)), jobs).alias("_jobs"))
+    flagged = readable.select(
+        *keep,
+        F.when(F.col("_jobs").isNull(), F.lit(BAD_SHAPE)).alias("reason"),
+        F.posexplode_outer("_jobs").alias("pos", "_job"),
+    ).where(F.col("_job").isNotNull() | F.col("reason").isNotNull())
+    rows = flagged.select(*keep, "reason", F.col("pos").cast("long").alias("pos"), "_job.*")
+    return conform_postings(rows, *keep, "pos", "reason")
 
 
 PAGES_PER_CHUNK = 256

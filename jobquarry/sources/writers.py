@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobquarry.schema import FIELD_KINDS
@@ -47,14 +47,6 @@ def corpus_rejection(vector: Column, dims: int) -> Column:
     )
 
 
-def split_corpus(df: DataFrame, vector: str, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Documents that can be indexed, and the rest with a ``reason``."""
-    flagged = df.withColumn("reason", corpus_rejection(F.col(vector), dims))
-    return flagged.where(F.col("reason").isNull()).drop("reason"), flagged.where(
-        F.col("reason").isNotNull()
-    )
-
-
 NESTED_VECTOR = "embedding is nested"
 
 
@@ -80,10 +72,19 @@ def corpus_from_json(df: DataFrame, document: str, field: str, dims: int, *keep:
     )
 
 
-def index_corpus(
-    df: DataFrame, vector: str, dims: int, path: str, rejected_path: str, *partition: str
-) -> None:
-    """Append documents to the corpus table; those that cannot be searched go aside."""
-    good, bad = split_corpus(df, vector, dims)
-    good.write.mode("append").partitionBy(*partition).parquet(path)
-    bad.write.mode("append").parquet(rejected_path)
+def index_corpus(df: DataFrame, vector: str, dims: int, path: str, *partition: str) -> None:
+    """Append documents to the corpus table, those that cannot be searched set apart.
+
+    Both kinds go out in one write, under ``searchable=true`` and ``searchable=false``,
+    so the model that made the vectors runs once. A ``reason`` already there is kept.
+    """
+    reason = corpus_rejection(F.col(vector), dims)
+    if "reason" in df.columns:
+        reason = F.coalesce(F.col("reason"), reason)
+    flagged = df.withColumn("reason", reason).withColumn("searchable", F.col("reason").isNull())
+    flagged.write.mode("append").partitionBy("searchable", *partition).parquet(path)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The documents a search may use; set-apart ones are pruned by their partition."""
+    return spark.read.parquet(path).where("searchable").drop("searchable", "reason")
