@@ -246,9 +246,10 @@ def index_corpus(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", label.alias("company"), spoilt.alias("embedding"))
     path = scratch_path(spark, "corpus")
     writers.index_corpus(rows, "embedding", 64, path, "company")
+    searchable = F.col("searchable").cast("boolean")
     return spark.read.parquet(path).select(
-        "vec_id", "company", "reason", "searchable",
-        F.when(F.col("searchable"), F.size("embedding")).alias("dims"),
+        "vec_id", "company", "reason", searchable.alias("searchable"),
+        F.when(searchable, F.size("embedding")).alias("dims"),
     )
 
 

@@ -87,4 +87,9 @@ def index_corpus(df: DataFrame, vector: str, dims: int, path: str, *partition: s
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """The documents a search may use; set-apart ones are pruned by their partition."""
-    return spark.read.parquet(path).where("searchable").drop("searchable", "reason")
+    # Spark reads boolean partition values back as text.
+    return (
+        spark.read.parquet(path)
+        .where(F.col("searchable").cast("boolean"))
+        .drop("searchable", "reason")
+    )
