@@ -59,7 +59,7 @@ def corpus_from_json(df: DataFrame, document: str, field: str, dims: int, *keep:
     parsed = df.select(*keep, document, F.try_parse_json(document).alias("_v"))
     vector = F.try_variant_get("_v", f"$.{field}", "array<float>")
     lists = F.try_variant_get("_v", f"$.{field}", "array<array<variant>>")
-    nested = vector.isNull() & F.coalesce(F.exists(lists, lambda x: x.isNotNull()), F.lit(False))
+    nested = F.coalesce(F.exists(lists, lambda x: x.isNotNull()), F.lit(False))
     return (
         parsed.select(*keep, document, vector.alias(field), nested.alias("_nested"))
         .withColumn(
