@@ -55,13 +55,11 @@ def split_bullets(value: Column) -> Column:
             strip(F.ltrim(line, F.lit(BULLETS + " "))),
         ).when(F.length(line) > LONG_LINE, line),
     )
-    items = F.filter(items, lambda item: item != "")
-    whole = strip(value)
-    return (
-        F.when(F.size(items) > 0, items)
-        .when(whole != "", F.array(whole))
-        .when(value.isNotNull(), F.array().cast("array<string>"))
-    )
+    whole = F.filter(F.array(strip(value)), lambda text: text != "")
+    # The first of both that holds something, so that neither is computed twice.
+    choices = F.array(F.filter(items, lambda item: item != ""), whole)
+    chosen = F.get(F.filter(choices, lambda choice: F.size(choice) > 0), 0)
+    return F.coalesce(chosen, F.when(value.isNotNull(), F.array().cast("array<string>")))
 
 
 def number_or_null(text: Column) -> Column:

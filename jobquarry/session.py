@@ -48,9 +48,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     One parquet row group is one task, however much parsing hangs on it. Tables with
     at least as many files as cores come back unchanged, so large inputs are never
-    shuffled here. Hash partitioning (not round robin) keeps retried tasks identical.
+    shuffled here, nor are streams. Hash partitioning (not round robin) keeps retried
+    tasks identical.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    # Only the length: ``inputFiles()`` would fetch a large table's file names one by one.
+    if len(df._jdf.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *keys)

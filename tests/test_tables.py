@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobquarry import PatternConfig, load_patterns, scratch_path
 from jobquarry.operators import dedup, downloads, quality
+from jobquarry.operators.postings import extract_postings
 from jobquarry.plans import process_urls as plan
 from jobquarry.plans.process_pages import process_pages
 from jobquarry.schema import FIELD_KINDS, POSTING_SCHEMA, conform_postings, postings_from_json
@@ -265,6 +266,19 @@ def test_ingest_takes_each_page_once(spark, fixtures, tmp_path):
     assert got == sorted(len((fixtures / "dump" / n).read_text()) for n in ("1001_full.html", "1002_bullets.html"))
 
 
+def test_pages_become_postings_as_they_land(spark, fixtures, config, tmp_path):
+    stream = ingest(
+        spark, str(fixtures / "dump"), str(tmp_path / "postings"), str(tmp_path / "cp"), fmt="text", wholetext="true",
+        pathGlobFilter="*.html",
+        transform=lambda df: extract_postings(df, config, html="value").where("status = 'ok'"),
+    )
+    stream.awaitTermination()
+    batch = extract_postings(readers.read_html_dump(spark, str(fixtures / "dump")), config).where("status = 'ok'")
+    landed = spark.read.parquet(str(tmp_path / "postings"))
+    kept = [name for name in batch.columns if name not in ("scraped_date", "metadata")]
+    assert landed.select(kept).exceptAll(batch.select(kept)).count() == 0 and landed.count() == 2
+
+
 def test_pattern_files(fixtures, tmp_path):
     config = load_patterns(fixtures / "works_pattern.yaml")
     assert config.require("job_url_selectors", "url_validation").company_name == "Example Works"
