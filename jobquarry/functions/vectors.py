@@ -86,9 +86,9 @@ def hashing_model(dims: int) -> Callable[[], EmbedFn]:
 
 
 def vector_matrix(vectors: pa.Array, dims: int) -> np.ndarray:
-    """A list column whose rows all have ``dims`` values as a matrix of doubles."""
+    """A list column whose rows all have ``dims`` values as a matrix; nulls become NaN."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dims)
+    return flat.reshape(-1, dims)
 
 
 def comparable(ids: pa.Array) -> np.ndarray:
@@ -106,8 +106,8 @@ class BestHits:
     """
 
     def __init__(self, queries: np.ndarray, k: int):
-        norms = np.linalg.norm(queries, axis=1)
-        self.queries, self.k = queries, k
+        self.queries, self.k = queries.astype(np.float64), k
+        norms = np.linalg.norm(self.queries, axis=1)
         self.norms = np.where(norms > 0, norms, np.nan)
         self.rows = np.empty(0, dtype=np.int64)
         self.scores = np.empty(0)
@@ -115,15 +115,17 @@ class BestHits:
         self.floor = np.full(len(queries), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.linalg.norm(vectors, axis=1)
-        usable = np.isfinite(norms) & (norms > 0)
-        ids, vectors, norms = ids[usable], vectors[usable], norms[usable]
-        step = max(1, BLOCK_ELEMENTS // max(1, len(self.queries)))
+        # Neither the scores of a block nor its vectors as doubles take more than a block.
+        step = max(1, BLOCK_ELEMENTS // max(1, *self.queries.shape))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
-            self._add_block(ids[part], vectors[part], norms[part])
+            self._add_block(ids[part], vectors[part].astype(np.float64))
 
-    def _add_block(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
+    def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        norms = np.linalg.norm(vectors, axis=1)
+        usable = np.isfinite(norms) & (norms > 0)
+        if not usable.all():
+            ids, vectors, norms = ids[usable], vectors[usable], norms[usable]
         with np.errstate(invalid="ignore"):
             cosine = (self.queries @ vectors.T) / (self.norms[:, None] * norms[None, :])
             scores = np.round((1.0 + cosine) / 2.0, SCORE_DIGITS)

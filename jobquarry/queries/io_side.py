@@ -217,8 +217,8 @@ def write_processed_envelope(spark, sf):
     summary = spark.read.json(f"{path}/summary").first()  # one row by construction
     return spark.read.json(f"{path}/jobs").select(
         "url", "job_id", "title",
-        F.lit(summary["original_total_jobs"]).alias("original_total_jobs"),
-        F.lit(summary["processed_total_jobs"]).alias("processed_total_jobs"),
+        F.lit(summary["original_total_jobs"]).cast("long").alias("original_total_jobs"),
+        F.lit(summary["processed_total_jobs"]).cast("long").alias("processed_total_jobs"),
         F.lit(summary["company_name"]).alias("company_name"),
     )
 
@@ -249,7 +249,7 @@ def index_corpus(spark, sf):
     searchable = F.col("searchable").cast("boolean")
     return spark.read.parquet(path).select(
         "vec_id", "company", "reason", searchable.alias("searchable"),
-        F.when(searchable, F.size("embedding")).alias("dims"),
+        F.when(searchable, F.size("embedding").cast("long")).alias("dims"),
     )
 
 

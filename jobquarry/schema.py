@@ -153,10 +153,11 @@ def conform_postings(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def postings_from_json(df: DataFrame, json_column: str, *keep: str) -> DataFrame:
-    """One JSON object per row to posting rows; ``valid`` is false without key fields."""
-    parsed = df.select(
-        *keep, F.from_json(json_column, POSTING_SCHEMA).alias("_posting")
-    ).select(*keep, "_posting.*")
+    """One JSON object per row to posting rows; ``valid`` is false without key fields.
+
+    A generator over the one parsed value keeps later filters from parsing it again.
+    """
+    parsed = df.select(*keep, F.inline_outer(F.array(F.from_json(json_column, POSTING_SCHEMA))))
     complete = F.lit(True)
     for name in REQUIRED_FIELDS:
         complete = complete & F.col(name).isNotNull()

@@ -116,7 +116,7 @@ def read_json_documents(
         .text(path, wholetext=one_per_file)
         .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("document"))
     )
-    return texts.withColumn("readable", is_json(F.col("document")))
+    return texts.select("*", F.explode(F.array(is_json(F.col("document")))).alias("readable"))
 
 
 def read_no_documents(spark: SparkSession) -> DataFrame:
