@@ -50,6 +50,8 @@ class Page(HTMLParser):
         self.owners: list[Element | None] = []
         self.by_tag: dict[str, list[int]] = {}
         self._open: list[Element] = []
+        self._open_count: dict[str, int] = {}
+        self._open_own_text: list[str] = []
         self._pending: list[str] = []
         self._closed_void: list[str] = []
         self.feed(html)
@@ -68,17 +70,20 @@ class Page(HTMLParser):
             return
         text = "".join(self._pending)
         self._pending.clear()
-        if not text.strip(_BLANKS) and not any(e.tag in PREFORMATTED_TAGS for e in self._open):
+        if not text.strip(_BLANKS) and not any(map(self._open_count.get, PREFORMATTED_TAGS)):
             text = "\n" if "\n" in text else " "
         self._add(text)
 
     def _add(self, text: str) -> None:
         self.texts.append(text)
-        self.kinds.append(next((e.tag for e in reversed(self._open) if e.tag in OWN_TEXT_TAGS), None))
+        self.kinds.append(self._open_own_text[-1] if self._open_own_text else None)
         self.owners.append(self._open[-1] if self._open else None)
 
     def _close_last(self) -> None:
         element = self._open.pop()
+        self._open_count[element.tag] -= 1
+        if element.tag in OWN_TEXT_TAGS:
+            self._open_own_text.pop()
         element.end, element.last_text = len(self.elements), len(self.texts)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -100,6 +105,10 @@ class Page(HTMLParser):
         self.by_tag.setdefault(tag, []).append(element.index)
         self.elements.append(element)
         self._open.append(element)
+        # Counts instead of walks over the open elements, which a broken page may stack up.
+        self._open_count[tag] = self._open_count.get(tag, 0) + 1
+        if tag in OWN_TEXT_TAGS:
+            self._open_own_text.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self._closed_void:
@@ -107,7 +116,7 @@ class Page(HTMLParser):
             return
         self._flush()
         # A closing tag without its opening one is ignored; there is no implied closing.
-        if any(element.tag == tag for element in self._open):
+        if self._open_count.get(tag):
             while self._open[-1].tag != tag:
                 self._close_last()
             self._close_last()
@@ -251,21 +260,28 @@ class Selector:
         """
         low = 0 if scope is None else scope.index + (0 if include_scope else 1)
         high = len(page.elements) if scope is None else scope.end
-        found: set[int] = set()
-        for steps in self.branches:
-            last = steps[-1]
-            if last.tag:
-                indexes = page.by_tag.get(last.tag, [])
-                candidates = indexes[bisect_left(indexes, low) : bisect_left(indexes, high)]
-            else:
-                candidates = range(low, high)
-            floor = low if include_scope else 0
-            for index in candidates:
-                element = page.elements[index]
-                if last.accepts(element) and self._ancestors(steps, element, floor):
-                    found.add(index)
+        floor = low if include_scope else 0
+        found = {i for steps in self.branches for i in self._matches(page, steps, low, high, floor)}
         return [page.elements[index] for index in sorted(found)]
 
+    def first(self, page: Page) -> Element | None:
+        """The first match; no more of the page is looked at than it takes."""
+        high = len(page.elements)
+        firsts = (next(self._matches(page, steps, 0, high, 0), high) for steps in self.branches)
+        index = min(firsts)
+        return page.elements[index] if index < high else None
+
+    def _matches(self, page: Page, steps: tuple[Compound, ...], low: int, high: int, floor: int):
+        last = steps[-1]
+        candidates = range(low, high)
+        if last.tag:
+            indexes = page.by_tag.get(last.tag, [])
+            candidates = indexes[bisect_left(indexes, low) : bisect_left(indexes, high)]
+        for index in candidates:
+            element = page.elements[index]
+            if last.accepts(element) and self._ancestors(steps, element, floor):
+                yield index
+
     @staticmethod
     def _ancestors(steps: tuple[Compound, ...], element: Element, floor: int) -> bool:
         left = len(steps) - 2
@@ -276,9 +292,6 @@ class Selector:
             node = node.parent
         return left < 0
 
-    def first(self, page: Page) -> Element | None:
-        return next(iter(self.select(page)), None)
-
 
 # -- page probes ------------------------------------------------------------------
 

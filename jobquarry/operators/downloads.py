@@ -15,13 +15,23 @@ def with_file_name(jobs: DataFrame, url: str = "url", job_id: str | None = "job_
     return jobs.withColumn("file_name", page_file_name(F.col(url), id_column))
 
 
+def _names(df: DataFrame) -> DataFrame:
+    """The distinct file names of a frame, ready for a join with a skewed side.
+
+    Adaptive execution splits a skewed join only if both sides come straight from a
+    shuffle on the join key. A plain distinct would already be partitioned that way and
+    go in without one, so the names are made distinct together with their hash.
+    """
+    return df.select("file_name", F.xxhash64("file_name").alias("_hash")).distinct().drop("_hash")
+
+
 def download_plan(jobs: DataFrame, landed: DataFrame, url: str = "url") -> DataFrame:
     """Rows of ``jobs`` (with ``file_name``) and what to do with each.
 
     The landed side is one row per file name, so the join cannot multiply rows and only
     the jobs side can be skewed, which adaptive execution splits.
     """
-    names = landed.select("file_name").distinct().withColumn("_landed", F.lit(True))
+    names = _names(landed).withColumn("_landed", F.lit(True))
     has_url = F.coalesce(F.col(url) != "", F.lit(False))
     return jobs.join(names, "file_name", "left").select(
         *jobs.columns,
@@ -34,7 +44,7 @@ def download_plan(jobs: DataFrame, landed: DataFrame, url: str = "url") -> DataF
 
 def skip_existing(jobs: DataFrame, landed: DataFrame) -> DataFrame:
     """Rows whose page has not landed yet."""
-    return jobs.join(landed.select("file_name").distinct(), "file_name", "left_anti")
+    return jobs.join(_names(landed), "file_name", "left_anti")
 
 
 def download_summary(plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -45,7 +55,7 @@ def download_summary(plan: DataFrame, failed: DataFrame | None = None) -> DataFr
     """
     fetch_failed = F.lit(False)
     if failed is not None:
-        names = failed.select("file_name").distinct().withColumn("_failed", F.lit(True))
+        names = _names(failed).withColumn("_failed", F.lit(True))
         plan = plan.join(names, "file_name", "left")
         fetch_failed = (F.col("status") == FETCH) & F.col("_failed").isNotNull()
     lost = (F.col("status") == NO_URL) | fetch_failed

@@ -59,8 +59,9 @@ def stream_dedup(
         try:
             earlier = batch.sparkSession.read.parquet(target).where(F.col("batch_id") < batch_id)
             fresh = fresh.join(earlier.select(url), url, "left_anti")
-        except AnalysisException:
-            pass  # the first batch: the table is not there yet
+        except AnalysisException as err:  # the first batch: the table is not there yet
+            if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
         fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (

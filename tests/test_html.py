@@ -1,5 +1,7 @@
 """The page reader and the extraction of whole pages."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ def test_tree_rules():
     assert Page("<pre>  \n </pre><p>  \n </p>").text() == "  \n \n"
 
 
+def test_unclosed_elements_cost_no_more_than_closed_ones():
+    start = time.perf_counter()
+    page = Page("<p><b>x</i>" * 30_000)
+    assert len(page.elements) == 60_000 and len(page.text()) == 30_000
+    assert Selector.compile("p b").first(page) is page.elements[1]
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize(
     "css, expected",
     [

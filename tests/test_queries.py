@@ -6,7 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from pyspark.sql import functions as F
+
+from jobquarry.operators import downloads
 from jobquarry.queries import ORACLE, QUERIES
+from jobquarry.sources import readers
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +65,39 @@ def test_scans_read_only_what_is_used(spark, name, columns):
 
 def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*In\(label", plan(QUERIES["filtered_knn"](spark, SMALL)))
+
+
+@pytest.fixture
+def small_joins_shuffle(spark):
+    """Joins as they are on large tables: shuffled, with skew noticed from 64 KB on."""
+    settings = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("operator", ["download_plan", "skip_existing", "latest_snapshot"])
+def test_a_hot_key_is_split(spark, small_joins_shuffle, operator):
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    rows = spark.range(0, 200_000, 1, 8).select(
+        hot.cast("string").alias("file_name"), F.sha2(F.col("id").cast("string"), 256).alias("url"), F.when(F.col("id") % 5 == 0, "6").otherwise("7").alias("day")
+    )
+    landed = rows.where(F.col("file_name").cast("long") % 2 == 1)
+    result = {
+        "download_plan": lambda: downloads.download_plan(rows, landed),
+        "skip_existing": lambda: downloads.skip_existing(rows, landed),
+        "latest_snapshot": lambda: readers.latest_snapshot(rows, "file_name", "day"),
+    }[operator]()
+    tail = result.columns[-1]
+    counted = result.agg(F.count(F.lit(1)), F.max("url"), F.max(tail))
+    left = counted.collect()[0][0]
+    assert operator == "skip_existing" or left > 66_000
+    assert "skew=true" in plan(counted)
