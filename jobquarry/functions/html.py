@@ -366,7 +366,8 @@ class PageReader:
     """All probes of a job, run over one parse of each page."""
 
     probes: tuple[Probe, ...]
-    error_marks: tuple[str, ...] = field(default=())
+    error_marks: tuple[str, ...] = field(default=())  # looked for in the page's text
+    source_marks: tuple[str, ...] = field(default=())  # looked for in its markup
 
     def read(self, html: str | None) -> dict[str, Any]:
         row: dict[str, Any] = {"error_page": False, "failure": None}
@@ -378,6 +379,8 @@ class PageReader:
             if self.error_marks:
                 text = page.text().lower()
                 row["error_page"] = any(mark in text for mark in self.error_marks)
+            if self.source_marks and not row["error_page"]:
+                row["error_page"] = any(mark in html for mark in self.source_marks)
             if not row["error_page"]:
                 for probe in self.probes:
                     row[probe.name] = probe.read(page)

@@ -69,7 +69,10 @@ def number_or_null(text: Column) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """A double as Python prints it: no exponent between 1e-4 and 1e16."""
+    """A double as Python prints it: no exponent between 1e-4 and 1e16.
+
+    Java has none between 1e-3 and 1e7; only the rest is rewritten.
+    """
     java = value.cast("string")
     plain = F.regexp_replace(java.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
@@ -81,7 +84,7 @@ def float_text(value: Column) -> Column:
     scientific = F.concat(mantissa, sign, digits)
     size = F.abs(value)
     return (
-        F.when(~java.contains("E"), java)
+        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(scientific)
     )

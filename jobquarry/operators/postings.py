@@ -133,11 +133,13 @@ def extract_postings(
     default_platform: str = "",
     scraped_at: Column | None = None,
     error_marks: list[str] = ERROR_MARKS,
+    source_marks: list[str] = (),
 ) -> DataFrame:
     """Every page as posting columns plus ``status``; no shuffle beyond the first spread.
 
     Pages that give no posting stay as rows with the reason in ``status``, so one
     parse serves the postings, the rejects and the counts. ``keep`` columns come first.
+    ``error_marks`` are texts of error pages, ``source_marks`` pieces of their markup.
     """
     transforms = config.section("transformations")
     rules = {
@@ -150,7 +152,9 @@ def extract_postings(
         if name in names:
             css = rules[name].selectors[0]
             probes += [probe(f"{name}_items", "items", css), probe(f"{name}_block", "block", css)]
-    reader = PageReader(tuple(probes), tuple(mark.lower() for mark in error_marks))
+    reader = PageReader(
+        tuple(probes), tuple(mark.lower() for mark in error_marks), tuple(source_marks)
+    )
 
     given = F.col(source_url) if source_url else F.lit("")
     dom = spread(pages, *keep).select(

@@ -27,6 +27,20 @@ def infer_field_types(documents: DataFrame, document: str) -> DataFrame:
     )
 
 
+def expected_types(mapping: dict, index: str | None = None) -> dict[str, str]:
+    """Field types of an index mapping, as a search cluster exports it.
+
+    Takes the export of one index (or the ``index`` entry of several), or its bare
+    ``properties``.
+    """
+    if index is not None:
+        mapping = mapping[index]
+    mapping = mapping.get("mappings", mapping)
+    mapping = mapping.get("properties", mapping)
+    # A field with fields of its own carries no type and counts as an object.
+    return {name: rule.get("type", "object") for name, rule in mapping.items()}
+
+
 MISSING_KEY, TYPE_MISMATCH, NOT_JSON = "missing_key", "type_mismatch", "not_json"
 
 
@@ -151,3 +165,11 @@ def on_violation(
         checked = F.when(good, F.col(name)).otherwise(stop.cast(df.schema[name].dataType))
         return df.withColumn(name, checked)
     raise ValueError(f"unknown reaction {action!r}")
+
+
+def missing_required(
+    df: DataFrame, config: PatternConfig, *names: str, defaults: dict[str, Column] | None = None
+) -> DataFrame:
+    """The reaction the pattern file sets for rows without a key field (default: skip)."""
+    action = config.section("error_handling").get("missing_required_fields") or SKIP_RECORD
+    return on_violation(df, action, {name: not_empty(F.col(name)) for name in names}, defaults)

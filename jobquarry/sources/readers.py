@@ -159,6 +159,13 @@ def load_postings(documents: DataFrame, document: str, *keep: str) -> DataFrame:
     return conform_postings(rows, *keep, "pos", "reason")
 
 
+def read_job_lists(
+    spark: SparkSession, path: str | list[str], one_per_file: bool = True
+) -> DataFrame:
+    """JSON files (or lines) that each hold many postings; see ``load_postings``."""
+    return load_postings(read_json_documents(spark, path, one_per_file), "document", "file_path")
+
+
 PAGES_PER_CHUNK = 256
 
 

@@ -122,6 +122,14 @@ def test_pages_without_a_posting_keep_their_reason(spark, postings_by_file):
     assert set(postings_by_file) == {"1001_full", "1002_bullets", "1003_gone", "1004_no_id"}
 
 
+def test_marks_in_the_markup(spark):
+    pages = spark.createDataFrame([(1, "<div class='gone'><h1>T</h1><b>i</b>")], "page_id int, html string")
+    config = PatternConfig({"basic_info": {"job_id": "b", "title": "h1"}})
+    status = lambda **marks: postings.extract_postings(pages, config, "page_id", **marks).first().status
+    assert status(error_marks=["gone"]) == "ok"
+    assert status(source_marks=["gone"]) == "error_page"
+
+
 def test_null_page_and_bad_selector_do_not_stop_the_run(spark):
     pages = spark.createDataFrame([(1, None), (2, "<h1>T</h1><b>i</b>")], "page_id int, html string")
     config = PatternConfig({"basic_info": {"job_id": "b", "title": "h1", "company": "h1 > p"}})

@@ -147,6 +147,22 @@ def test_rules_and_reactions(spark, config):
     assert quality.on_violation(df.where("job_id = '1'"), "raise_error", ok).count() == 1
 
 
+def test_configured_reaction_to_missing_fields(spark, config):
+    df = spark.createDataFrame([("1", "a"), ("", "b"), (None, "c")], "job_id string, title string")
+    assert quality.missing_required(df, config, "job_id", "title").where("set_aside").count() == 2
+    repair = PatternConfig({"error_handling": {"missing_required_fields": "use_default"}})
+    fixed = quality.missing_required(df, repair, "job_id", defaults={"job_id": F.col("title")})
+    assert sorted(r.job_id for r in fixed.collect()) == ["1", "b", "c"]
+
+
+def test_expected_types():
+    mapping = {"jobs": {"mappings": {"properties": {"a": {"type": "text"}, "b": {"properties": {"c": {"type": "long"}}}}}}}
+    want = {"a": "text", "b": "object"}
+    assert quality.expected_types(mapping, "jobs") == want
+    assert quality.expected_types(mapping["jobs"]["mappings"]) == want
+    assert quality.expected_types({"a": {"type": "text"}}) == {"a": "text"}
+
+
 def test_posting_round_trip(spark):
     assert len(FIELD_KINDS) == 53
     source = spark.createDataFrame(
@@ -171,6 +187,16 @@ def test_load_postings_shapes(spark):
     assert sorted(r.i for r in rows if r.reason) == [2, 3, 4, 5, 8]
 
 
+def test_job_list_files(spark, tmp_path):
+    job = {"job_id": "1", "title": "t", "company": "c"}
+    write(tmp_path / "a" / "list.json", json.dumps([job, job], indent=1))
+    write(tmp_path / "object.json", json.dumps({"jobs": [job]}, indent=1))
+    write(tmp_path / "bad.json", "{}")
+    rows = readers.read_job_lists(spark, str(tmp_path)).collect()
+    assert sorted(r.file_path.rsplit("/", 1)[1] for r in rows if r.reason is None) == ["list.json", "list.json", "object.json"]
+    assert [r.file_path.rsplit("/", 1)[1] for r in rows if r.reason] == ["bad.json"]
+
+
 def write(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text, encoding="utf-8")
