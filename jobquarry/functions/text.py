@@ -73,18 +73,17 @@ def float_text(value: Column) -> Column:
 
     Java has none between 1e-3 and 1e7; only the rest is rewritten.
     """
-    java = value.cast("string")
-    plain = F.regexp_replace(java.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(java, "E", -1).try_cast("int")
-    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    digits = F.abs(exponent).cast("string")
-    digits = F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
-    scientific = F.concat(mantissa, sign, digits)
+    plain = F.regexp_replace(
+        value.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1"
+    )
+    scientific = value.cast("string")
+    for pattern, replacement in (
+        (r"\.0E", "E"), ("E-", "e-"), (r"E(\d)", "e+$1"), (r"e([+-])(\d)$", "e$10$2"),
+    ):
+        scientific = F.regexp_replace(scientific, pattern, replacement)
     size = F.abs(value)
     return (
-        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
+        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), value.cast("string"))
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(scientific)
     )
