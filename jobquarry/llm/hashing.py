@@ -90,10 +90,11 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray
         if high - low >= size:
             own = np.unique(rolled[low : high - size + 1])
         elif high > low:
-            total = np.uint64(high - low)
+            # One element arrays wrap around silently, as all sums here are meant to.
+            total = np.full(1, high - low, np.uint64)
             for word in words[low:high]:
-                total = mixed(np.array([total * BASE + word], np.uint64))[0]
-            own = np.array([total], np.uint64)
+                total = mixed(total * BASE + word)
+            own = total
         else:
             own = np.zeros(0, np.uint64)
         sets.append(own)
