@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobquarry.llm import decontamination, mixing, near_dedup, preference, suffix_dedup, url_filter, warc
+from jobquarry.llm import ann, decontamination, language_mixture, mixing, near_dedup, preference, suffix_dedup, url_filter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -236,3 +236,16 @@ FROM ruled LEFT JOIN trust{url_filter.ROUNDS} t ON t.host = ruled.host LEFT JOIN
 def op2_url_filter(spark, sf_dir):
     found = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+
+
+@query("op1_ann")
+def op1_ann(spark, sf_dir):
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 50 = 0")
+
+
+@query("op6_language_mixture")
+def op6_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_mixture.learn(docs.where(~language_mixture.held_out()).select("text", "lang"))
+    rows = docs.select("doc_id", language_mixture.held_out().alias("held_out"), "text")
+    return language_mixture.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
