@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobquarry.llm import ann, decontamination, language_mixture, mixing, near_dedup, preference, suffix_dedup, url_filter, warc
+from jobquarry.llm import ann, decontamination, language_mixture, mixing, near_dedup, preference, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -249,3 +249,11 @@ def op6_language_mixture(spark, sf_dir):
     model = language_mixture.learn(docs.where(~language_mixture.held_out()).select("text", "lang"))
     rows = docs.select("doc_id", language_mixture.held_out().alias("held_out"), "text")
     return language_mixture.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.learned(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    rows = docs.select("doc_id", toxicity.held_out().alias("held_out"), "text")
+    return toxicity.scored(rows, net).select("doc_id", "held_out", "score", "predicted")
