@@ -4,13 +4,13 @@
    from here on, so groups of copies never multiply.
 2. A class has a signature of 128 symbols of b = 16 bits, each the tail of one minimum
    hash. Two sets of similarity s differ in each symbol with probability 1 - s.
-3. Signatures are split into 32 chunks of four symbols. If two differ in at most r = 37 =
-   32 + 5 symbols, then by pigeonhole one of the first six chunks has at most one error,
-   or one of the other 26 has none. So a class is filed under each of the first six chunks
-   with each symbol left out in turn (all allowed errors) and under the other 26 as they
-   are: 50 keys, and every pair within the threshold shares one. At the link threshold of
-   0.85 the number of differing symbols has mean 19.2 and deviation 4.0; 37 is 4.4
-   deviations above.
+3. Signatures are split into 32 chunks of four symbols. If two differ in at most r = 32 + a
+   symbols, then by pigeonhole one of the first a + 1 chunks has at most one error, or one
+   of the others has none. So a class is filed under each of the first a + 1 chunks with
+   each symbol left out in turn (all allowed errors) and under the others as they are, and
+   every pair within the threshold r shares a key. r lies 4.4 deviations above the mean
+   number of differing symbols at the link threshold: 37 for 0.85 (50 keys), 46 for 0.8
+   (77 keys).
 4. Buckets with the same members are searched once. Large buckets are cut into blocks, and
    each pair of blocks is searched by itself; a search walks from signature to signature
    within r and returns one link per class reached, never all pairs.
@@ -35,9 +35,8 @@ from jobquarry.llm.hashing import mixed, shingle_sets
 
 SYMBOLS, BYTES_PER_SYMBOL = 128, 2
 CHUNKS, PER_CHUNK = 32, 4
-RADIUS = 37
-#: Chunks in which an error is allowed; the others must be equal (see step 3).
-LOOSE = RADIUS - CHUNKS + 1
+#: Deviations by which the signature threshold exceeds the mean distance at the link threshold.
+MARGIN = 4.4
 #: Classes per block of a large bucket or family.
 BLOCK = 1024
 #: Shingles per block of a large family.
@@ -48,6 +47,15 @@ _FACTORS = _RANDOM.integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
 
 
+def radius_of(percent: int) -> int:
+    """The signature threshold for a similarity; at most one error per chunk is enumerated."""
+    differing = 1 - percent / 100
+    radius = round(SYMBOLS * differing + MARGIN * (SYMBOLS * differing * (1 - differing)) ** 0.5)
+    if not 0 < percent <= 100 or radius >= 2 * CHUNKS:
+        raise ValueError(f"a similarity of {percent} % needs more than one error per chunk")
+    return radius
+
+
 def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of symbols per set; sets must not be empty."""
     out = np.empty((len(offsets) - 1, SYMBOLS), np.uint16)
@@ -89,14 +97,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def chunk_keys(signature: str = "signature"):
+def chunk_keys(radius: int, signature: str = "signature"):
     """The keys a signature is filed under, as an array column."""
+    loose = radius - CHUNKS + 1
     size = PER_CHUNK * BYTES_PER_SYMBOL
     piece = lambda at, length: F.substring(F.col(signature), at + 1, length)
     keys = []
     for c in range(CHUNKS):
         at = c * size
-        if c < LOOSE:
+        if c < loose:
             for s in range(PER_CHUNK):
                 cut = s * BYTES_PER_SYMBOL
                 after = cut + BYTES_PER_SYMBOL
@@ -128,25 +137,29 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _close_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close_signatures(radius: int):
     """Links between signatures of a bucket that are within the radius."""
-    for table in whole_groups(batches, ["key", "bi", "bj"]):
-        nodes = table.column("node").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        new = np.zeros(len(nodes), bool)
-        for name in ("key", "bi", "bj"):
-            values = table.column(name).to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        starts = np.flatnonzero(np.concatenate([[True], new[1:]]))
-        ends = np.append(starts[1:], len(nodes))
-        twos = starts[ends - starts == 2]
-        close = (rows[twos] != rows[twos + 1]).sum(1) <= RADIUS
-        pairs = list(zip(nodes[twos[close]].tolist(), nodes[twos[close] + 1].tolist(), strict=True))
-        for low, high in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-            own = rows[low:high]
-            near = lambda i, others, own=own: (own[others] != own[i]).sum(1) <= RADIUS
-            pairs += [(int(nodes[low + i]), int(nodes[low + j])) for i, j in walk(near, high - low)]
-        yield _links(pairs)
+
+    def close_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key", "bi", "bj"]):
+            nodes = table.column("node").to_numpy()
+            rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            new = np.zeros(len(nodes), bool)
+            for name in ("key", "bi", "bj"):
+                values = table.column(name).to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            starts = np.flatnonzero(np.concatenate([[True], new[1:]]))
+            ends = np.append(starts[1:], len(nodes))
+            twos = starts[ends - starts == 2]
+            close = (rows[twos] != rows[twos + 1]).sum(1) <= radius
+            pairs = list(zip(nodes[twos[close]].tolist(), nodes[twos[close] + 1].tolist(), strict=True))
+            for low, high in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                own = rows[low:high]
+                near = lambda i, others, own=own: (own[others] != own[i]).sum(1) <= radius
+                pairs += [(int(nodes[low + i]), int(nodes[low + j])) for i, j in walk(near, high - low)]
+            yield _links(pairs)
+
+    return close_signatures
 
 
 def _similar_sets(percent: int):
@@ -200,6 +213,7 @@ def in_blocks(df: DataFrame, key: str, blocks) -> DataFrame:
 
 def _components(rows: DataFrame, percent: int) -> DataFrame:
     """``id, fp, n_shingles, node, component_id`` for the rows of :func:`keyed`."""
+    radius = radius_of(percent)
     described = stored(
         arrow_map(
             rows.select("id", "fp", "text"),
@@ -216,7 +230,7 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
         .select("node", "first.id", "first.fp", "n_shingles", "signature"),
         "nodes",
     )
-    filed = nodes.select("node", F.explode(chunk_keys()).alias("key"))
+    filed = nodes.select("node", F.explode(chunk_keys(radius)).alias("key"))
     members = filed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -227,7 +241,7 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
     signed = bucketed.join(nodes.select("node", "signature"), "node")
     close = arrow_map(
         signed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").select("key", "bi", "bj", "node", "signature"),
-        _close_signatures,
+        _close_signatures(radius),
         "a long, b long",
     )
     family = connected_components(close).select("node", F.col("root").alias("family"))

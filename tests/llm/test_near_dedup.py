@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from jobquarry.llm import near_dedup
@@ -60,9 +61,10 @@ def got(spark, rows, **more):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.components(docs, **more).collect()), key=str)
 
 
-def test_equals_all_pairs(spark):
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_equals_all_pairs(spark, percent):
     rows = corpus(1)
-    assert got(spark, rows) == brute(rows)
+    assert got(spark, rows, percent=percent) == brute(rows, percent)
 
 
 def test_large_groups_in_blocks(spark, monkeypatch):
@@ -83,20 +85,28 @@ def test_null_ids_repeats_and_clashing_names(spark):
     assert near_dedup.components(docs.limit(0)).count() == 0
 
 
-def test_pairs_within_the_radius_share_a_key(spark):
-    """Pigeonhole: any two signatures that differ in at most RADIUS symbols meet."""
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_pairs_within_the_radius_share_a_key(spark, percent):
+    """Pigeonhole: any two signatures that differ in at most as many symbols meet."""
+    radius = near_dedup.radius_of(percent)
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 1 << 16, near_dedup.SYMBOLS, dtype=np.uint16)
     rows = [(0, base.tobytes())]
     for i in range(1, 300):
         other = base.copy()
-        other[rnd.choice(near_dedup.SYMBOLS, near_dedup.RADIUS, replace=False)] += np.uint16(1)
+        other[rnd.choice(near_dedup.SYMBOLS, radius, replace=False)] += np.uint16(1)
         rows.append((i, other.tobytes()))
-    keys = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "i long, signature binary").select("i", F.explode(near_dedup.chunk_keys()).alias("key"))
+    keys = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "i long, signature binary").select("i", F.explode(near_dedup.chunk_keys(radius)).alias("key"))
     first = keys.where("i = 0").select("key")
     assert keys.join(first, "key").select("i").distinct().count() == len(rows)
 
 
+def test_thresholds_that_chunks_cannot_hold_are_refused():
+    assert near_dedup.radius_of(85) == 37 and near_dedup.radius_of(80) == 46
+    with pytest.raises(ValueError):
+        near_dedup.radius_of(60)
+
+
 def test_shingles_are_cut_per_text():
     texts = ["a b c d e f", None, "", "a b c d e f", "x", " b c d e f", "A B C D E"]
     values, at = shingle_sets(pa.array(texts))
