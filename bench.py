@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,9 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="jobquarry-bench-"))
+        # The sample tables are one row group each, which would be one task.
+        .config("jobquarry.read.pieces", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .getOrCreate()
     )

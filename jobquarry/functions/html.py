@@ -53,7 +53,7 @@ class Page(HTMLParser):
         self._open_count: dict[str, int] = {}
         self._open_own_text: list[str] = []
         self._pending: list[str] = []
-        self._closed_void: list[str] = []
+        self._closed_void: dict[str, int] = {}
         self.feed(html)
         self.close()
         self._flush()
@@ -90,7 +90,7 @@ class Page(HTMLParser):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
             self._close_last()
-            self._closed_void.append(tag)
+            self._closed_void[tag] = self._closed_void.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self._start(tag, attrs)
@@ -111,8 +111,8 @@ class Page(HTMLParser):
             self._open_own_text.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self._closed_void:
-            self._closed_void.remove(tag)
+        if self._closed_void.get(tag):
+            self._closed_void[tag] -= 1
             return
         self._flush()
         # A closing tag without its opening one is ignored; there is no implied closing.
@@ -277,20 +277,29 @@ class Selector:
         if last.tag:
             indexes = page.by_tag.get(last.tag, [])
             candidates = indexes[bisect_left(indexes, low) : bisect_left(indexes, high)]
+        met: dict[int, int] = {}
         for index in candidates:
             element = page.elements[index]
-            if last.accepts(element) and self._ancestors(steps, element, floor):
+            if last.accepts(element) and self._met(steps, element.parent, floor, met) == len(steps) - 1:
                 yield index
 
     @staticmethod
-    def _ancestors(steps: tuple[Compound, ...], element: Element, floor: int) -> bool:
-        left = len(steps) - 2
-        node = element.parent
-        while left >= 0 and node is not None and node.index >= floor:
-            if steps[left].accepts(node):
-                left -= 1
+    def _met(steps: tuple[Compound, ...], node: Element | None, floor: int, met: dict[int, int]) -> int:
+        """How many leading steps the node and those around it meet, outermost first.
+
+        ``met`` remembers it per element, so that no element is looked at twice however
+        deeply a broken page nests.
+        """
+        above = []
+        while node is not None and node.index >= floor and node.index not in met:
+            above.append(node)
             node = node.parent
-        return left < 0
+        count = met[node.index] if node is not None and node.index >= floor else 0
+        for node in reversed(above):
+            if count < len(steps) - 1 and steps[count].accepts(node):
+                count += 1
+            met[node.index] = count
+        return count
 
 
 # -- page probes ------------------------------------------------------------------

@@ -10,7 +10,6 @@ from jobquarry.functions.html import PageReader, page_links, probe
 from jobquarry.functions.regex import translate
 from jobquarry.functions.urls import is_job_url, page_url, resolve_url
 from jobquarry.operators.unnest import unnest
-from jobquarry.session import spread
 
 # Metadata fields with a column of their own, and pagination defaults.
 LISTING_FIELDS = ["title", "location", "department", "job_type", "posted_date"]
@@ -18,7 +17,6 @@ NEXT_BUTTON = 'button[data-analytics-pagination="next"]'
 NEXT_LINK = ".pagination .next, .pager .next"
 PAGE_OF_TEXT = r"Page \d+ of (\d+)"
 RESULT_LINE = r"(\d+)-(\d+) of (\d+)"
-PAGE_CAP = 200
 
 
 def extract_links(
@@ -35,9 +33,10 @@ def extract_links(
     ``pos`` orders the links of a page as the selectors and the document do. Only the
     ``keep`` columns and the page source are read, and the page source stops here.
     """
+    config.require("job_url_selectors")
     base = F.lit(home_url) if isinstance(home_url, str) else home_url
     links = unnest(
-        spread(pages, *keep).select(
+        pages.select(
             *keep, base.alias("_home"), page_links(F.col(html), config.link_selectors).alias("_links")
         ),
         F.col("_links"),
@@ -80,7 +79,7 @@ def has_next_page(pages: DataFrame, config: PatternConfig, *keep: str, html: str
         )
     )
     return (
-        spread(pages, *keep)
+        pages
         .select(*keep, F.inline_outer(reader.column(F.col(html))))
         .select(
             *keep,
@@ -95,17 +94,19 @@ def has_next_page(pages: DataFrame, config: PatternConfig, *keep: str, html: str
 
 
 def detect_page_count(
-    pages: DataFrame, config: PatternConfig, *keep: str, html: str = "html"
+    pages: DataFrame, config: PatternConfig, *keep: str, html: str = "html", cap: int | None = None
 ) -> DataFrame:
     """How many listing pages there are, from whatever pagination a page shows.
 
     Tried in turn: the configured text, page numbers in links, a "last" link, and the
-    "a-b of n" line (only with a next button, capped); otherwise one page.
+    "a-b of n" line (only with a next button); otherwise one page. With a ``cap``, a
+    number from that line is cut to it, and ``capped`` says where.
     """
     rule = config.pagination
     detection = rule.get("page_detection") or {}
     if detection.get("method", "selector") == "manual":
-        return pages.select(*keep, F.lit(rule.get("max_pages", 1)).cast("long").alias("page_count"))
+        count = F.lit(rule.get("max_pages", 1)).cast("long")
+        return pages.select(*keep, count.alias("page_count"), F.lit(False).alias("capped"))
 
     by_selector = detection.get("method", "selector") == "selector"
     probes = [probe("next", "exists", detection.get("next_button_selector") or NEXT_LINK)]
@@ -114,7 +115,7 @@ def detect_page_count(
         probes.append(probe("labels", "values", "a[href*='page=']"))
         if detection.get("selector"):
             probes.append(probe("texts", "values", detection["selector"]))
-    read = spread(pages, *keep).select(
+    read = pages.select(
         *keep, F.col(html).alias("_html"), F.inline_outer(PageReader(tuple(probes)).column(F.col(html)))
     )
 
@@ -134,10 +135,15 @@ def detect_page_count(
     first, until, total = (_number(F.col("_html"), RESULT_LINE, group) for group in (1, 2, 3))
     read = read.withColumns({"_per_page": until - first + 1, "_total": total})
     pages_needed = F.when(
-        F.col("next") & (F.col("_per_page") > 0),
-        F.least(F.expr("(_total + _per_page - 1) div _per_page"), F.lit(PAGE_CAP)),
+        F.col("next") & (F.col("_per_page") > 0), F.expr("(_total + _per_page - 1) div _per_page")
+    )
+    read = read.withColumn("_shown", F.coalesce(*steps, F.lit(None).cast("long"))).withColumn("_needed", pages_needed)
+    bit = F.col("_shown").isNull() & (F.col("_needed") > cap) if cap is not None else F.lit(False)
+    return read.select(
+        *keep,
+        F.coalesce("_shown", F.least("_needed", F.lit(cap).cast("long")), F.lit(1)).cast("long").alias("page_count"),
+        F.coalesce(bit, F.lit(False)).alias("capped"),
     )
-    return read.select(*keep, F.coalesce(*steps, pages_needed, F.lit(1)).cast("long").alias("page_count"))
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:

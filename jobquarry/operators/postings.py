@@ -19,7 +19,6 @@ from jobquarry.schema import (
     WORK_ARRANGEMENTS,
     conform_postings,
 )
-from jobquarry.session import spread
 
 # A page whose text has one of these is an error page.
 ERROR_MARKS = [
@@ -108,7 +107,7 @@ def select_fields(
     parsed = [FieldRule.of(name, rule, transforms or {}) for name, rule in rules.items()]
     probes = [p for p in (rule.probe() for rule in parsed) if p]
     url = F.col(source_url) if source_url else F.lit("")
-    read = spread(pages, *keep).select(
+    read = pages.select(
         *keep,
         url.alias("_url"),
         F.explode_outer(PageReader(tuple(probes)).column(F.col(html))).alias("_dom"),
@@ -135,7 +134,7 @@ def extract_postings(
     error_marks: list[str] = ERROR_MARKS,
     source_marks: list[str] = (),
 ) -> DataFrame:
-    """Every page as posting columns plus ``status``; no shuffle beyond the first spread.
+    """Every page as posting columns plus ``status``; no shuffle.
 
     Pages that give no posting stay as rows with the reason in ``status``, so one
     parse serves the postings, the rejects and the counts. ``keep`` columns come first.
@@ -157,7 +156,7 @@ def extract_postings(
     )
 
     given = F.col(source_url) if source_url else F.lit("")
-    dom = spread(pages, *keep).select(
+    dom = pages.select(
         *keep, given.alias("_given"), F.explode_outer(reader.column(F.col(html))).alias("_dom")
     )
     now = scraped_at if scraped_at is not None else _iso_now()
@@ -250,7 +249,7 @@ def not_error_page(
 ) -> DataFrame:
     """Pages whose text, in any case, has no error mark, with that text as ``page_text``."""
     reader = PageReader((probe("page_text", "page"),), tuple(mark.lower() for mark in error_marks))
-    read = spread(pages, *keep).select(*keep, F.inline_outer(reader.column(F.col(html))))
+    read = pages.select(*keep, F.inline_outer(reader.column(F.col(html))))
     return read.where(~F.col("error_page") & F.col("failure").isNull()).select(*keep, "page_text")
 
 

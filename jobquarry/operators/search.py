@@ -16,7 +16,6 @@ from jobquarry.functions.vectors import (
     embed_text,
     vector_matrix,
 )
-from jobquarry.session import spread
 
 # A query block of at most this size is sent to every task; larger ones take the grid.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
@@ -168,8 +167,8 @@ def shape_hits(
 def embed_table(
     df: DataFrame, text: str, make_model: Callable[[], EmbedFn], *keep: str, into: str = "embedding"
 ) -> DataFrame:
-    """A table with its vector column added, spread over all cores for the model."""
-    return spread(df, *keep).select(*keep, embed_text(F.col(text), make_model).alias(into))
+    """A table with its vector column added."""
+    return df.select(*keep, embed_text(F.col(text), make_model).alias(into))
 
 
 def semantic_search(

@@ -8,8 +8,7 @@ from jobquarry.config import PatternConfig
 from jobquarry.functions.text import strip
 from jobquarry.operators import quality
 from jobquarry.queries.bindings import part_sql
-from jobquarry.queries.registry import query, table
-from jobquarry.session import spread
+from jobquarry.queries.registry import query, split_table, table
 
 
 def json_documents(spark, sf):
@@ -18,7 +17,7 @@ def json_documents(spark, sf):
         F.concat_ws(":", F.lit("event"), "event_id").alias("doc_key"), F.col("props").alias("document")
     )
     rows = {
-        "document": spread(table(spark, sf, "documents"), "doc_id").select(
+        "document": split_table(spark, sf, "documents", "doc_id").select(
             "doc_id", "text", "lang", (F.col("n_chars") > 1000).alias("is_long"),
             F.struct("source").alias("origin"), F.array("lang", "source").alias("tags"),
         ),

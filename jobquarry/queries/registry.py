@@ -22,5 +22,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def split_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for CPU-heavy Python steps, in as many pieces as the caller asks for.
+
+    ``jobquarry.read.pieces`` is unset by default: a table of many files or row groups is
+    never shuffled. It serves sample tables that are one row group, and so one task.
+    """
+    df = table(spark, sf_dir, name)
+    pieces = spark.conf.get("jobquarry.read.pieces", None)
+    return df.repartition(int(pieces), key) if pieces else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from jobquarry.functions.vectors import hashing_model, last_token_pool
 from jobquarry.operators import search
 from jobquarry.operators.unnest import unnest
-from jobquarry.queries.registry import query, table
+from jobquarry.queries.registry import query, split_table, table
 from jobquarry.sources.readers import document_pages_text
 
 DIMS = 64
@@ -116,7 +116,7 @@ buckets AS (
 def embed_text(spark, sf):
     """The hashing model over whole documents, non-zero values only."""
     vectors = search.embed_table(
-        table(spark, sf, "documents").select("doc_id", "text"), "text", hashing_model(TEXT_DIMS), "doc_id"
+        split_table(spark, sf, "documents", "doc_id").select("doc_id", "text"), "text", hashing_model(TEXT_DIMS), "doc_id"
     )
     values = unnest(vectors, F.col("embedding").cast("array<double>"), "doc_id", pos="dim", item="x")
     return values.where("x <> 0")
@@ -149,7 +149,7 @@ def resume_hits(spark, sf):
         table(spark, sf, "conversations"), "conv_id", "turn", "text"
     ).select(F.col("conv_id").alias("query_id"), F.col("text").alias("query_text"))
     corpus = search.embed_table(
-        table(spark, sf, "documents").select("doc_id", "text"), "text", hashing_model(TEXT_DIMS), "doc_id"
+        split_table(spark, sf, "documents", "doc_id").select("doc_id", "text"), "text", hashing_model(TEXT_DIMS), "doc_id"
     )
     return search.semantic_search(queries, corpus, K, TEXT_DIMS, hashing_model(TEXT_DIMS))
 

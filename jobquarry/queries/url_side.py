@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobquarry.config import PatternConfig
 from jobquarry.functions import urls
 from jobquarry.operators import dedup, downloads, links
 from jobquarry.plans import process_urls as plan
 from jobquarry.queries.bindings import HOME_URL, LINKS_SQL, SAMPLE
-from jobquarry.queries.registry import query, table
-from jobquarry.session import scratch_path, spread
+from jobquarry.queries.registry import query, split_table, table
+from jobquarry.session import scratch_path
 
 WITH_LINKS = "WITH" + LINKS_SQL
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, page_url, pos, url, metadata) of all links on all pages."""
-    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("page_url"), "html")
+    pages = split_table(spark, sf, "pages", "page_id").select("page_id", F.col("url").alias("page_url"), "html")
     return links.extract_links(
         pages, SAMPLE, HOME_URL, keep=["page_id", "page_url"], job_urls_only=False
     )
@@ -187,10 +188,30 @@ def page_frontier(spark, sf):
 
 @query(
     "detect_page_count",
-    "SELECT page_id, CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS BIGINT) AS page_count FROM pages",
+    """
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN page_id % 97 + 3 WHEN 2 THEN 12 WHEN 3 THEN (page_id * 7 + 19) // 20
+       WHEN 4 THEN 1 ELSE CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS BIGINT) END AS page_count,
+       page_id % 5 = 3 AND page_id * 7 > 20 * 150 AS capped_at_150
+FROM pages WHERE page_id > 5""",
 )
 def detect_page_count(spark, sf):
-    return links.detect_page_count(table(spark, sf, "pages"), SAMPLE, "page_id")
+    """Every way a page can show it: a text, links with numbers, a last link, a result line, or nothing."""
+    pages = split_table(spark, sf, "pages", "page_id").where("page_id > 5")
+    kind = F.col("page_id") % 5
+    plain = PatternConfig({"pagination": {}})
+    with_links = pages.where(kind == 1).withColumn(
+        "html", F.format_string("<a href='?page=2'>2</a><a href='?page=%d'>more</a>", (F.col("page_id") % 97 + 3).cast("int"))
+    )
+    with_last = pages.where(kind == 2).withColumn("html", F.lit("<a href='?page=0'>1</a><a href='?page=12'>Last »</a>"))
+    with_line = pages.where(kind == 3).withColumn(
+        "html", F.format_string("<p class='pager'><a class='next'>n</a></p>1-20 of %d results", F.col("page_id") * 7)
+    )
+    with_none = pages.where(kind == 4).withColumn("html", F.lit("<p>1-20 of 400 results</p>"))
+    texts = links.detect_page_count(pages.where(kind == 0), SAMPLE, "page_id")
+    counted = links.detect_page_count(with_links.unionByName(with_last).unionByName(with_line).unionByName(with_none), plain, "page_id")
+    cut = links.detect_page_count(with_line, plain, "page_id", cap=150).where("capped").select("page_id", F.lit(True).alias("cut"))
+    found = texts.union(counted).join(cut, "page_id", "left")
+    return found.select("page_id", "page_count", F.coalesce("cut", F.lit(False)).alias("capped_at_150"))
 
 
 @query(
@@ -198,7 +219,7 @@ def detect_page_count(spark, sf):
     "SELECT page_id, regexp_matches(html, '<a href=\"[^\"]*th') AS has_next FROM pages",
 )
 def has_next_page(spark, sf):
-    return links.has_next_page(table(spark, sf, "pages"), SAMPLE, "page_id")
+    return links.has_next_page(split_table(spark, sf, "pages", "page_id"), SAMPLE, "page_id")
 
 
 VALID_SQL = """
@@ -236,7 +257,7 @@ SELECT doc_id, array_to_string(list_transform(
 FROM documents""",
 )
 def prettify_title(spark, sf):
-    texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    texts = split_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
     return texts.select(
         "doc_id", urls.prettify_title(F.col("text")).alias("title")
     )

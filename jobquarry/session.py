@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "jobquarry", **conf: str) -> SparkSession:
@@ -32,29 +31,10 @@ def build_session(app_name: str = "jobquarry", **conf: str) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    A machine-local folder is only used where the session names none and the master
-    is local, since executors on other machines could not read it.
+    Raises where the session names none: a machine-local folder would be missing on
+    other machines.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="jobquarry-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a scan of a few files over all cores before CPU-heavy Python work.
-
-    One parquet row group is one task, however much parsing hangs on it. Tables with
-    at least as many files as cores come back unchanged, so large inputs are never
-    shuffled here, nor are streams. Hash partitioning (not round robin) keeps retried
-    tasks identical.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # Only the length: ``inputFiles()`` would fetch a large table's file names one by one.
-    if len(df._jdf.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -11,13 +11,15 @@ FIXTURES = ROOT / "tests" / "fixtures"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("jobquarry.read.pieces", "8")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -37,20 +37,16 @@ def test_strip_and_spaces_like_python(spark):
     assert values(spark, inputs, text.normalize_space(F.col("s"))) == [" ".join(s.split()) for s in inputs]
 
 
-def bullets(value):
-    items = []
-    for line in (part.strip() for part in value.split("\n")):
-        if line[:1] in tuple("•-*▪‣▸") and line:
-            items.append(line.lstrip("•-*▪‣▸ ").strip())
-        elif len(line) > 10:
-            items.append(line)
-    items = [i for i in items if i]
-    return items or ([value.strip()] if value.strip() else [])
-
-
 def test_split_bullets(spark):
-    inputs = random_texts("ab •-*▪\n\n ", n=300, longest=40) + ["", " \n ", "• ", "-", "short\nother"]
-    assert values(spark, inputs, text.split_bullets(F.col("s"))) == [bullets(s) for s in inputs]
+    expected = {
+        "": [], " \n ": [], "• ": ["•"], "-": ["-"], "short\nother": ["short\nother"],
+        "- one\n* two\n▪three": ["one", "two", "three"],
+        "• - * both\n\n  ‣ indented  \n▸": ["both", "indented"],
+        "a line of eleven\nten chars.\n- x": ["a line of eleven", "x"],
+        "no mark but long enough": ["no mark but long enough"], "  a b  ": ["a b"],
+        "x - y\n•a": ["a"], "elevenchars\ntencharsss": ["elevenchars"],
+    }
+    assert values(spark, list(expected), text.split_bullets(F.col("s"))) == list(expected.values())
 
 
 def test_float_text_like_python(spark):
@@ -131,21 +127,20 @@ def test_resolve_like_python(spark):
     assert [(p, g) for p, g, w in zip(pairs, got, want) if g != w] == []
 
 
-def page_url(home, number, param="page"):
-    parts = urlparse(home)
-    query = parse_qs(parts.query)
-    if number == 1 and param not in query:
-        return home
-    query[param] = [str(number)]
-    return urlunparse(parts._replace(query=urlencode(query, doseq=True)))
-
-
-def test_page_url_like_python(spark):
-    homes = ["http://h/l", "http://h/l?page=3", "http://h/l?a=1&page=2&b=x%20y&a=2#top", "http://h/?e=&f&page=",
-             "http://h/l?q=a+b*~%C3%A9%zz&=1", "http://h/l?page=1&page=4&z=/?"]
-    for number in (1, 2, 17):
-        got = values(spark, homes, urls.page_url(F.col("s"), F.lit(number)))
-        assert got == [page_url(h, number) for h in homes]
+def test_page_url(spark):
+    expected = {
+        "http://h/l": ["http://h/l", "http://h/l?page=2", "http://h/l?page=17"],
+        "http://h/l?page=3": ["http://h/l?page=1", "http://h/l?page=2", "http://h/l?page=17"],
+        "http://h/l?a=1&page=2&b=x%20y&a=2#top": [f"http://h/l?a=1&a=2&page={n}&b=x+y#top" for n in (1, 2, 17)],
+        "http://h/?e=&f&page=": ["http://h/?e=&f&page=", "http://h/?page=2", "http://h/?page=17"],
+        "http://h/l?q=a+b*~%C3%A9%zz&=1": [
+            "http://h/l?q=a+b*~%C3%A9%zz&=1", *(f"http://h/l?q=a+b%2A~%C3%A9%25zz&=1&page={n}" for n in (2, 17))
+        ],
+        "http://h/l?page=1&page=4&z=/?": [f"http://h/l?page={n}&z=%2F%3F" for n in (1, 2, 17)],
+    }
+    for k, number in enumerate((1, 2, 17)):
+        got = values(spark, list(expected), urls.page_url(F.col("s"), F.lit(number)))
+        assert got == [urls_[k] for urls_ in expected.values()]
 
 
 def test_url_param_like_python(spark):
@@ -154,17 +149,17 @@ def test_url_param_like_python(spark):
     assert values(spark, inputs, urls.url_param(F.col("s"), "team")) == want
 
 
-def file_name(url, job_id=None):
-    path = urlparse(url).path.replace("/", "_")
-    name = f"{job_id}_{path}" if job_id else path
-    name = re.sub(r'[<>:"|?*]', "_", name).strip("_")
-    return name if name.endswith(".html") else name + ".html"
-
-
-def test_page_file_name_like_python(spark):
-    inputs = ["http://h/en/details/1/a-b?x=1", "http://h/a.html", "http://h/", "http://h", "http://h/a:b|c*/_d_", "http://h/a;p=1"]
-    got = values(spark, inputs, urls.page_file_name(F.col("s")), urls.page_file_name(F.col("s"), F.lit("7|x")))
-    assert got == [(file_name(u), file_name(u, "7|x")) for u in inputs]
+def test_page_file_name(spark):
+    expected = {
+        "http://h/en/details/1/a-b?x=1": ("en_details_1_a-b.html", "7_x__en_details_1_a-b.html"),
+        "http://h/a.html": ("a.html", "7_x__a.html"),
+        "http://h/": (".html", "7_x.html"),
+        "http://h": (".html", "7_x.html"),
+        "http://h/a:b|c*/_d_": ("a_b_c___d.html", "7_x__a_b_c___d.html"),
+        "http://h/a;p=1": ("a.html", "7_x__a.html"),
+    }
+    got = values(spark, list(expected), urls.page_file_name(F.col("s")), urls.page_file_name(F.col("s"), F.lit("7|x")))
+    assert got == list(expected.values())
 
 
 def test_job_url(spark):

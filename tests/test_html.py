@@ -44,6 +44,25 @@ def test_unclosed_elements_cost_no_more_than_closed_ones():
     assert time.perf_counter() - start < 20
 
 
+@pytest.mark.parametrize(
+    "piece, css",
+    [("<br><p>x</p>", "p"), ("<div><i><a href=x>", "div i a"), ("<div><a href=x>", "table div a"), ("<p>a<li>", "ul p li")],
+)
+def test_broken_pages_cost_time_in_proportion(piece, css):
+    selector = Selector.compile(css)
+
+    def seconds(n):
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            selector.select(Page(piece * n))
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    seconds(500)
+    assert seconds(16_000) < 2.8 * seconds(8_000)
+
+
 @pytest.mark.parametrize(
     "css, expected",
     [
@@ -184,7 +203,7 @@ def test_next_page_and_page_count(spark, config):
         6: ("<a href='?page=3'>3</a><a href='?page=12'>12</a><a href='?page=x'>x</a>", False, 12),
         7: ("<a href='?page=0'>Last</a>", False, 0),
         8: ("<div class=pager><i class=next></i></div><p>1-20 of 3380 results", False, 169),
-        9: ("<div class=pager><i class=next></i></div><p>1-10 of 33800 results", False, 200),
+        9: ("<div class=pager><i class=next></i></div><p>1-10 of 33800 results", False, 3380),
         10: ("<p>1-20 of 3380 results", False, 1),
     }
     pages = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "page_id int, html string")
@@ -192,5 +211,7 @@ def test_next_page_and_page_count(spark, config):
     counts = {r.page_id: r.page_count for r in links.detect_page_count(pages, config, "page_id").collect()}
     assert has_next == {k: v[1] for k, v in cases.items()}
     assert counts == {k: v[2] for k, v in cases.items()}
+    cut = links.detect_page_count(pages, config, "page_id", cap=200).where("capped").collect()
+    assert [(r.page_id, r.page_count) for r in cut] == [(9, 200)]
     manual = PatternConfig({"pagination": {"max_pages": 9, "page_detection": {"method": "manual"}}})
     assert {r.page_count for r in links.detect_page_count(pages, manual, "page_id").collect()} == {9}
