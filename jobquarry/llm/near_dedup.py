@@ -251,6 +251,8 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
         member.join(sizes, "family"), "family", F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)
     ).select(F.col("id").alias("rep_id"), F.col("fp").alias("rep_fp"), "node", "family", "bi", "bj")
     placed = stored(placed, "placed")
+    # Always shuffled: the list of members grows with the corpus, so it is nothing to broadcast.
+    placed = placed.hint("merge")
     texts = rows.join(placed, rows["id"].eqNullSafe(placed["rep_id"]) & (rows["fp"] == placed["rep_fp"]))
     links = arrow_map(
         texts.select("family", "bi", "bj", "node", "text").repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj"),
@@ -297,6 +299,7 @@ def first_of_each(docs: DataFrame, percent: int = 85, text: str = "text", doc_id
     wordless = found.where("node IS NULL").select("id", "fp").distinct()
     chosen = found.where("node IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("id", "fp")).alias("at"))
     stays = stored(wordless.union(chosen.select("at.id", "at.fp")), "stays")
+    stays = stays.hint("merge")
     kept = rows.join(stays, same_row(rows, stays)).select(rows["id"], rows["fp"], "row")
     # Rows equal in id and text all come through the join; one of each goes on.
     several = stored(
