@@ -55,19 +55,43 @@ def rank_type(rank: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, TYPE_ORDER)), rank.cast("int"))
 
 
-def _parsed(document: Column) -> Column:
-    """The text as the one element of an array, which no text but one whole value gives."""
-    return F.try_parse_json(F.concat(F.lit("["), document, F.lit("]")))
+# As a JSON library reads: NaN and infinities are numbers, quotes are double.
+JSON_OPTIONS = {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"}
+
+
+def one_value(document: Column, kind: str) -> Column:
+    """The text as one JSON value of a type; null unless it is one value and nothing after it.
+
+    It is read as the one element of an array, which no other text gives. A repeated key
+    counts with its last value, and there is no limit of size but that of a string.
+    """
+    items = F.from_json(F.concat(F.lit("["), document, F.lit("]")), f"array<{kind}>", JSON_OPTIONS)
+    # One lambda variable: the text is parsed once, not once per use.
+    single = F.transform(F.array(items), lambda found: F.when(F.size(found) == 1, F.get(found, 0)))
+    return F.get(single, 0)
 
 
 def is_json(document: Column) -> Column:
     """Whether a text is one JSON value and nothing after it."""
-    items = F.try_variant_get(_parsed(document), "$", "array<variant>")
+    items = F.from_json(F.concat(F.lit("["), document, F.lit("]")), "array<string>", JSON_OPTIONS)
     return F.coalesce(F.size(items) == 1, F.lit(False))
 
 
 def document_fields(document: Column) -> Column:
-    """A JSON object as map of field to variant; null when it is not one object."""
-    items = F.try_variant_get(_parsed(document), "$", "array<variant>")
-    whole = F.when(F.size(items) == 1, F.get(items, 0))
-    return F.try_variant_get(whole, "$", "map<string,variant>")
+    """A JSON object as map of field to variant; null when it is not one object.
+
+    Null as well when an object inside it repeats a key, which a variant cannot hold.
+    """
+
+    def last_of_each(fields: Column) -> Column:
+        keys = F.map_keys(fields)
+        later = lambda i: F.slice(keys, i + 2, F.size(keys))
+        last = F.filter(F.map_entries(fields), lambda entry, i: ~F.array_contains(later(i), entry["key"]))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), fields).otherwise(F.map_from_entries(last))
+
+    return F.get(F.transform(F.array(one_value(document, "map<string,variant>")), last_of_each), 0)
+
+
+def document_keys(document: Column) -> Column:
+    """The keys of a JSON object; null when the text is not one."""
+    return F.map_keys(one_value(document, "map<string,string>"))

@@ -102,50 +102,76 @@ class BestHits:
     """The running top k of every query, fed with blocks of corpus vectors.
 
     Order is score down, id up, decided on rounded scores, so the result does not
-    depend on how the corpus was cut into blocks.
+    depend on how the corpus was cut into blocks. Work is done in tiles of some queries by
+    some corpus rows; the state is k places per query, and only queries with a hit in a
+    tile have theirs merged.
     """
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries.astype(np.float64), k
         norms = np.linalg.norm(self.queries, axis=1)
-        self.norms = np.where(norms > 0, norms, np.nan)
-        self.rows = np.empty(0, dtype=np.int64)
-        self.scores = np.empty(0)
+        # Scores of unit vectors are products; a query without direction matches nothing.
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.queries /= np.where(norms > 0, norms, np.nan)[:, None]
+        self.scores = np.full((len(queries), k), -np.inf)
         self.ids: np.ndarray | None = None
-        self.floor = np.full(len(queries), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        # Neither the scores of a block nor its vectors as doubles take more than a block.
-        step = max(1, BLOCK_ELEMENTS // max(1, *self.queries.shape))
-        for start in range(0, len(ids), step):
-            part = slice(start, start + step)
-            self._add_block(ids[part], vectors[part].astype(np.float64))
-
-    def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.linalg.norm(vectors, axis=1)
+        norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
         usable = np.isfinite(norms) & (norms > 0)
-        if not usable.all():
-            ids, vectors, norms = ids[usable], vectors[usable], norms[usable]
-        with np.errstate(invalid="ignore"):
-            cosine = (self.queries @ vectors.T) / (self.norms[:, None] * norms[None, :])
-            scores = np.round((1.0 + cosine) / 2.0, SCORE_DIGITS)
-        floor = self.floor
-        if len(ids) > self.k:
-            # The block's own k-th best already rules most of it out; ties stay in.
-            cut = np.partition(np.nan_to_num(scores, nan=-np.inf), -self.k, axis=1)[:, -self.k]
-            floor = np.maximum(floor, cut)
-        rows, columns = np.nonzero(scores >= floor[:, None])
-        if len(rows) == 0:
+        # By id, so that of equal scores those further left win.
+        order = np.argsort(ids, kind="stable")
+        order = order[usable[order]]
+        if not len(order):
             return
-        all_rows = np.concatenate([self.rows, rows])
-        all_scores = np.concatenate([self.scores, scores[rows, columns]])
-        new_ids = ids[columns]
-        all_ids = new_ids if self.ids is None else np.concatenate([self.ids, new_ids])
-        order = np.lexsort((all_ids, -all_scores, all_rows))
-        sorted_rows = all_rows[order]
-        starts = np.searchsorted(sorted_rows, sorted_rows, side="left")
-        place = np.arange(len(order)) - starts
-        keep = order[place < self.k]
-        self.rows, self.scores, self.ids = all_rows[keep], all_scores[keep], all_ids[keep]
-        full = order[place == self.k - 1]
-        self.floor[all_rows[full]] = all_scores[full]
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, ids.dtype)
+        elif self.ids.dtype != ids.dtype:
+            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
+        step = max(1, min(len(order), BLOCK_ELEMENTS // vectors.shape[1], BLOCK_ELEMENTS))
+        for start in range(0, len(order), step):
+            part = order[start : start + step]
+            block = vectors[part].astype(np.float64) / norms[part, None]
+            rows = max(1, BLOCK_ELEMENTS // len(part))
+            for first in range(0, len(self.queries), rows):
+                self._tile(slice(first, first + rows), ids[part], block)
+
+    def _tile(self, own: slice, ids: np.ndarray, block: np.ndarray) -> None:
+        scores = self.queries[own] @ block.T
+        np.nan_to_num(scores, copy=False, nan=-np.inf)
+        floor = self.scores[own, -1]
+        # Nothing below a query's last place needs rounding or sorting.
+        rows = np.flatnonzero(scores.max(1) >= 2 * floor - 1 - 1e-8)
+        rows = rows[np.isfinite(scores[rows].max(1))]
+        if not len(rows):
+            return
+        scores = scores if len(rows) == len(scores) else scores[rows]
+        take = min(self.k, len(ids))
+        if take < len(ids):
+            cut = -np.partition(-scores, take - 1, axis=1)[:, take - 1] - 4e-9
+            row, column = np.nonzero(scores >= cut[:, None])
+        else:
+            row, column = np.nonzero(np.isfinite(scores))
+        rounded = np.round((1.0 + scores[row, column]) / 2.0, SCORE_DIGITS)
+        # Rows come in order and columns by id, so a stable sort by score settles ties.
+        order = np.lexsort((-rounded, row))
+        row, column, rounded = row[order], column[order], rounded[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = (place < take) & np.isfinite(rounded)
+        best = np.full((len(rows), take), -np.inf)
+        found = np.zeros((len(rows), take), ids.dtype)
+        best[row[kept], place[kept]] = rounded[kept]
+        found[row[kept], place[kept]] = ids[column[kept]]
+        at = np.arange(len(self.queries))[own][rows]
+        both = np.concatenate([self.scores[at], best], axis=1)
+        both_ids = np.concatenate([self.ids[at], found], axis=1)
+        order = np.lexsort((both_ids, -both), axis=1)[:, : self.k]
+        self.scores[at] = np.take_along_axis(both, order, 1)
+        self.ids[at] = np.take_along_axis(both_ids, order, 1)
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query rows, ids and scores of all places taken, best first within a query."""
+        if self.ids is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        row, place = np.nonzero(np.isfinite(self.scores))
+        return row, self.ids[row, place], self.scores[row, place]

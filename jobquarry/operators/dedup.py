@@ -136,7 +136,10 @@ def empty_page_runs(
     )
     since_filled = F.when(F.col("_filled_at").isNotNull(), F.col("_at") - F.col("_filled_at"))
     run = F.when(F.col("is_empty"), F.coalesce(since_filled, F.col("_carry") + F.col("_at")))
-    return local.join(carried, [crawl, "_chunk"]).select(
+    carried = carried.select(F.col(crawl).alias("_crawl"), F.col("_chunk").alias("_piece"), "_carry")
+    # Null crawls and page numbers are a crawl and a chunk of their own.
+    same = F.col(crawl).eqNullSafe(F.col("_crawl")) & F.col("_chunk").eqNullSafe(F.col("_piece"))
+    return local.join(carried, same).select(
         crawl,
         page_number,
         *keep,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobquarry.config import PatternConfig
-from jobquarry.functions.json_types import document_fields, is_json, rank_type, value_rank
+from jobquarry.functions.json_types import document_fields, document_keys, is_json, rank_type, value_rank
 from jobquarry.functions.text import strip
 from jobquarry.operators.unnest import unnest
 
@@ -14,7 +14,8 @@ from jobquarry.operators.unnest import unnest
 def infer_field_types(documents: DataFrame, document: str) -> DataFrame:
     """One row per field over all documents: the type that holds all its values.
 
-    The maximum of the type ranks decides, so each task sends one row per field.
+    The maximum of the type ranks decides, so each task sends one row per field. Texts
+    that are no JSON object have no fields; ``unreadable_documents`` counts them.
     """
     entries = unnest(documents, F.map_entries(document_fields(F.col(document))), item="entry")
     ranked = entries.select(
@@ -27,6 +28,22 @@ def infer_field_types(documents: DataFrame, document: str) -> DataFrame:
     )
 
 
+NOT_AN_OBJECT, NOT_TYPED = "not an object", "an inner object repeats a key"
+
+
+def unreadable_documents(documents: DataFrame, document: str) -> DataFrame:
+    """How many documents ``infer_field_types`` could not look into, by ``reason``."""
+    text = F.col(document)
+    reason = (
+        F.when(~is_json(text), F.lit(NOT_JSON))
+        .when(document_keys(text).isNull(), F.lit(NOT_AN_OBJECT))
+        .when(document_fields(text).isNull(), F.lit(NOT_TYPED))
+    )
+    return documents.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("documents")
+    )
+
+
 def expected_types(mapping: dict, index: str | None = None) -> dict[str, str]:
     """Field types of an index mapping, as a search cluster exports it.
 
@@ -79,12 +96,8 @@ def check_mapping(
 def mapping_passed(documents: DataFrame, document: str, expected: dict[str, str], *keep: str) -> DataFrame:
     """A document passes when it is JSON and has every expected key, mismatches or not."""
     names = F.array(*(F.lit(name) for name in expected)).cast("array<string>")
-    keys = F.json_object_keys(F.col(document))
-    readable = is_json(F.col(document))
-    return documents.select(
-        *keep,
-        F.coalesce(readable & (F.size(F.array_except(names, keys)) == 0), F.lit(False)).alias("passed"),
-    )
+    missing = F.array_except(names, document_keys(F.col(document)))
+    return documents.select(*keep, F.coalesce(F.size(missing) == 0, F.lit(False)).alias("passed"))
 
 
 # -- rules of the pattern file --------------------------------------------------------

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,11 @@ from jobquarry.functions.vectors import (
     embed_text,
     vector_matrix,
 )
+from jobquarry.session import shared_file, stored
 
-# A query block of at most this size is sent to every task; larger ones take the grid.
+# Query vectors held at once in a task, and corpus vectors they meet.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-# Corpus rows that meet one query block in one grid cell.
-GRID_CORPUS_ROWS = 100_000
+CORPUS_BLOCK_BYTES = 32 * 1024 * 1024
 
 
 def topk_hits(hits: DataFrame, k: int, query: str = "query_id", order: str = "vec_id") -> DataFrame:
@@ -54,23 +55,25 @@ def knn_search(
     corpus_id: str = "vec_id",
     corpus_vector: str = "embedding",
     where: Column | None = None,
-    block_bytes: int = QUERY_BLOCK_BYTES,
-    grid_rows: int = GRID_CORPUS_ROWS,
+    query_bytes: int = QUERY_BLOCK_BYTES,
+    corpus_bytes: int = CORPUS_BLOCK_BYTES,
 ) -> DataFrame:
     """The k corpus rows nearest to each query: (query, id, score, hit_rank).
 
     score = (1 + cosine) / 2. ``where`` filters the corpus before ranking. Only the id
-    and the vector of the corpus are read, and each task keeps k rows per query.
+    and the vector of the corpus are read.
 
-    The query side is looked at when this is called: up to ``block_bytes`` it goes to
-    every task, and the corpus is scored where it lies. A larger one is cut into blocks
-    that meet pieces of the corpus in a grid. Both give the same rows.
+    The query side is computed once and stored in the shared folder. The corpus stays
+    where it lies: each task takes a block of it at a time, reads the stored queries block
+    by block, and returns k rows per query and corpus block. So memory is two blocks and
+    the hits of one, whatever the number of queries.
     """
     if where is not None:
         corpus = corpus.where(where)
     wanted = usable_vectors(queries, query_id, query_vector, dims).select(
-        F.col(query_id), F.col(query_vector).alias("_qv")
+        F.col(query_id), F.col(query_vector).cast("array<double>").alias("_qv")
     )
+    wanted = stored(wanted, "query-vectors")
     rows = usable_vectors(corpus, corpus_id, corpus_vector, dims).select(
         F.col(corpus_id), F.col(corpus_vector).alias("_cv")
     )
@@ -78,64 +81,48 @@ def knn_search(
     schema = (
         f"`{query_id}` {id_type(wanted, query_id)}, `{corpus_id}` {id_type(rows, corpus_id)}, score double"
     )
-    block_rows = max(1, block_bytes // (dims * 8))
-    block = wanted.limit(block_rows + 1).toArrow()
-    if block.num_rows <= block_rows:
-        scored = _score_with_block(rows, block, k, dims, schema, query_id, corpus_id)
-    else:
-        scored = _score_on_grid(wanted, rows, k, dims, schema, query_id, corpus_id, block_rows, grid_rows)
+    files = sorted(wanted.inputFiles())
+    query_rows, corpus_rows = max(1, query_bytes // (dims * 8)), max(1, corpus_bytes // (dims * 8))
+    scored = rows.mapInArrow(_scorer(files, k, dims, query_rows, corpus_rows, [query_id, corpus_id, "score"]), schema)
     return topk_hits(scored, k, query_id, corpus_id)
 
 
-def _hit_batch(best: BestHits, query_ids: pa.Array, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
-    ids = best.ids.tolist() if best.ids is not None else []
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(best.rows)), pa.array(ids, id_type), pa.array(best.scores)], names
-    )
+def _scorer(files: list[str], k: int, dims: int, query_rows: int, corpus_rows: int, names: list[str]):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, count = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, corpus_rows):
+                part = batch.slice(start, corpus_rows)
+                if held and count + part.num_rows > corpus_rows:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, count = [], 0
+                held.append(part)
+                count += part.num_rows
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            found = block.column(0).combine_chunks()
+            ids, vectors = comparable(found), vector_matrix(block.column(1).combine_chunks(), dims)
+            for query_ids, matrix in _stored_queries(files, dims, query_rows):
+                best = BestHits(matrix, k)
+                best.add(ids, vectors)
+                row, hit_ids, scores = best.hits()
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(row)), pa.array(hit_ids.tolist(), found.type), pa.array(scores)], names
+                )
 
-def _score_with_block(rows, block, k, dims, schema, query_id, corpus_id):
-    query_ids = block.column(0).combine_chunks()
-    vectors = vector_matrix(block.column(1).combine_chunks(), dims) if block.num_rows else np.empty((0, dims))
-    shared = rows.sparkSession.sparkContext.broadcast((query_ids, vectors))
-    names = [query_id, corpus_id, "score"]
+    return score
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        best, id_type = BestHits(matrix, k), None
-        for batch in batches:
-            id_type = batch.column(0).type
-            if len(ids):
-                best.add(comparable(batch.column(0)), vector_matrix(batch.column(1), dims))
-        if best.ids is not None:
-            yield _hit_batch(best, ids, names, id_type)
-
-    return rows.mapInArrow(score, schema)
-
-
-def _score_on_grid(wanted, rows, k, dims, schema, query_id, corpus_id, block_rows, grid_rows):
-    """Query blocks by corpus pieces, each pair scored in one bounded group."""
-    blocks = -(-wanted.count() // block_rows)
-    pieces = max(1, -(-rows.count() // grid_rows))
-    cell = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = wanted.select("*", cell(query_id, blocks).alias("_b"), every(pieces).alias("_p"))
-    right = rows.select("*", cell(corpus_id, pieces).alias("_p"), every(blocks).alias("_b"))
-    names = [query_id, corpus_id, "score"]
-
-    def score(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        ids = queries.column(0).combine_chunks()
-        found = corpus.column(0).combine_chunks()
-        best = BestHits(vector_matrix(queries.column(1).combine_chunks(), dims), k)
-        if len(ids) and len(found):
-            best.add(comparable(found), vector_matrix(corpus.column(1).combine_chunks(), dims))
-        return pa.Table.from_batches([_hit_batch(best, ids, names, found.type)])
-
-    return (
-        left.groupBy("_b", "_p")
-        .cogroup(right.groupBy("_b", "_p"))
-        .applyInArrow(score, schema)
-    )
+
+def _stored_queries(files: list[str], dims: int, rows: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    for name in files:
+        system, path = shared_file(name)
+        with system.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(batch_size=rows):
+                if batch.num_rows:
+                    yield batch.column(0), vector_matrix(batch.column(1), dims)
 
 
 def shape_hits(
@@ -149,8 +136,11 @@ def shape_hits(
 ) -> DataFrame:
     """Hits as JSON ``{title, url, job, score}``, the vector left out of ``job``.
 
-    The wide corpus rows are only joined here, to k rows per query.
+    The wide corpus rows are only joined here, to k rows per query. The hits are stored
+    first, so Spark knows their size: few are broadcast, and the corpus then stays where
+    it is; many are shuffled with it.
     """
+    hits = stored(hits, "hits")
     fields = [name for name in corpus.columns if name != vector]
     wide = corpus.select(F.col(corpus_id), F.struct(*fields).alias("job"))
     answer = F.struct(

@@ -18,7 +18,7 @@ URL_COLUMNS = ["job_id", "team", "job_title"]
 
 def validate_urls(rows: DataFrame, config: PatternConfig, url: str = "url") -> DataFrame:
     """Adds ``valid`` and ``extracted_fields`` (null for an invalid URL)."""
-    rule = UrlRule.of(F.col(url), config.url_validation)
+    rule = UrlRule.of(F.col(url), config.require("url_validation").url_validation)
     pairs = [part for name, column in rule.fields.items() for part in (F.lit(name), column)]
     fields = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return rows.withColumn("valid", rule.valid).withColumn(

@@ -456,7 +456,7 @@ def union_runs(spark, sf):
 SELECT page_id, pos, 'https://careers.example.com' || href AS url FROM links ORDER BY page_id, pos""",
 )
 def crawl_order(spark, sf):
-    return dedup.crawl_order(page_links(spark, sf), "page_id", "pos").select("page_id", "pos", "url")
+    return dedup.crawl_order(stored_links(spark, sf), "page_id", "pos").select("page_id", "pos", "url")
 
 
 @query(

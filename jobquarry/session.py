@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "jobquarry", **conf: str) -> SparkSession:
@@ -38,3 +41,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again, with its lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_file(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a shared file, for reading it inside a task."""
+    local = re.sub(r"^file:/+", "/", uri)
+    return (fs.LocalFileSystem(), unquote(local)) if local.startswith("/") else fs.FileSystem.from_uri(uri)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobquarry.functions.json_types import is_json
+from jobquarry.functions.json_types import is_json, one_value
 from jobquarry.schema import LISTING_SCHEMA, POSTING_SCHEMA, conform_postings
 
 
@@ -65,9 +68,10 @@ def latest_snapshot(df: DataFrame, company: str, snapshot: str) -> DataFrame:
     The maxima are one row per company, so a huge company costs no extra shuffle of its
     rows when that side is small enough for Spark to broadcast it.
     """
-    numbered = df.withColumn(
-        "_snapshot", F.when(F.col(snapshot).rlike(r"^\d+$"), F.col(snapshot).try_cast("bigint"))
-    )
+    # Digits of any length: the longer number is greater, then the later text.
+    digits = F.regexp_replace(snapshot, "^0+(?=.)", "")
+    number = F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+    numbered = df.withColumn("_snapshot", F.when(F.col(snapshot).rlike(r"\A[0-9]+\z"), number))
     newest = (
         numbered.where(F.col("_snapshot").isNotNull())
         .groupBy(company)
@@ -76,16 +80,24 @@ def latest_snapshot(df: DataFrame, company: str, snapshot: str) -> DataFrame:
     return numbered.join(newest, [company, "_snapshot"], "left_semi").select(*df.columns)
 
 
+def _root_pattern(root: str) -> str:
+    """A pattern for a root folder at the start of a file's full path, with or without scheme."""
+    below = posixpath.normpath(re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", root)).strip("/")
+    return rf"[^:]*:?/*(?:.*?/)?\Q{below}\E"
+
+
 def snapshot_files(spark: SparkSession, root: str) -> DataFrame:
-    """JSON files of ``root/company/snapshot/``: (path, company, snapshot).
+    """JSON files anywhere below ``root/company/snapshot/``: (path, company, snapshot).
 
     File contents are not read: only the path column of the binary source is used.
     """
-    parts = r"/([^/]+)/([^/]+)/[^/]+$"
+    parts = f"^{_root_pattern(root)}/([^/]+)/([^/]+)/.+$"
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.json")
-        .load(f"{root.rstrip('/')}/*/*")
+        .option("recursiveFileLookup", True)
+        .load(root)
+        .where(F.col("path").rlike(parts))
         .select(
             "path",
             F.regexp_extract("path", parts, 1).alias("company"),
@@ -101,8 +113,11 @@ def read_latest_snapshots(spark: SparkSession, root: str, one_per_file: bool = T
     old snapshots are never scanned.
     """
     newest = latest_snapshot(snapshot_files(spark, root), "company", "snapshot")
-    folders = newest.select(F.regexp_replace("path", "/[^/]+$", "").alias("folder")).distinct()
-    paths = [row.folder for row in folders.toLocalIterator()]
+    folders = newest.select(
+        F.regexp_extract("path", f"^({_root_pattern(root)}/[^/]+/[^/]+)/", 1).alias("folder")
+    ).distinct()
+    # Paths are read as patterns, so signs of patterns in folder names are escaped.
+    paths = [re.sub(r"([*?\[\]{}\\])", r"\\\1", row.folder) for row in folders.toLocalIterator()]
     return read_json_documents(spark, paths, one_per_file) if paths else read_no_documents(spark)
 
 
@@ -110,13 +125,17 @@ def read_json_documents(
     spark: SparkSession, path: str | list[str], one_per_file: bool = True
 ) -> DataFrame:
     """JSON texts below a folder, with ``readable`` telling the broken ones."""
-    texts = (
+    texts = _json_texts(spark, path, one_per_file)
+    return texts.select("*", F.explode(F.array(is_json(F.col("document")))).alias("readable"))
+
+
+def _json_texts(spark: SparkSession, path: str | list[str], one_per_file: bool) -> DataFrame:
+    return (
         spark.read.option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", True)
         .text(path, wholetext=one_per_file)
         .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("document"))
     )
-    return texts.select("*", F.explode(F.array(is_json(F.col("document")))).alias("readable"))
 
 
 def read_no_documents(spark: SparkSession) -> DataFrame:
@@ -131,12 +150,13 @@ def read_postings_tree(
     spark: SparkSession, path: str | list[str], one_per_file: bool = True
 ) -> DataFrame:
     """Postings of all JSON files below a folder; ``reason`` marks texts that are not JSON."""
-    parsed = read_json_documents(spark, path, one_per_file).select(
-        "file_path",
-        F.when(~F.col("readable"), F.lit(BAD_JSON)).alias("reason"),
-        F.when(F.col("readable"), F.from_json("document", POSTING_SCHEMA)).alias("_p"),
+    texts = _json_texts(spark, path, one_per_file)
+    parsed = texts.select(
+        "file_path", "document", F.explode(F.array(one_value(F.col("document"), POSTING_SCHEMA.simpleString()))).alias("_p")
     )
-    return conform_postings(parsed.select("file_path", "reason", "_p.*"), "file_path", "reason")
+    # Only a text that gave no posting is looked at again.
+    reason = F.when(F.col("_p").isNull(), F.when(~is_json(F.col("document")), F.lit(BAD_JSON)))
+    return conform_postings(parsed.select("file_path", reason.alias("reason"), "_p.*"), "file_path", "reason")
 
 
 def load_postings(documents: DataFrame, document: str, *keep: str) -> DataFrame:
@@ -145,16 +165,17 @@ def load_postings(documents: DataFrame, document: str, *keep: str) -> DataFrame:
     A text of another shape is one row with its ``reason``, which is null for postings.
     """
     element = POSTING_SCHEMA.simpleString()
-    text = F.ltrim(F.col(document), F.lit(" \t\r\n"))
-    jobs = F.when(
-        F.left(text, F.lit(1)) == "[", F.from_json(text, f"array<{element}>")
-    ).when(F.left(text, F.lit(1)) == "{", F.from_json(text, f"struct<jobs: array<{element}>>")["jobs"])
-    readable = documents.select(*keep, F.when(is_json(F.col(document)), jobs).alias("_jobs"))
-    flagged = readable.select(
-        *keep,
-        F.when(F.col("_jobs").isNull(), F.lit(BAD_SHAPE)).alias("reason"),
-        F.posexplode_outer("_jobs").alias("pos", "_job"),
-    ).where(F.col("_job").isNotNull() | F.col("reason").isNotNull())
+    text = F.col(document)
+    first = F.left(F.ltrim(text, F.lit(" \t\r\n")), F.lit(1))
+    jobs = F.when(first == "[", one_value(text, f"array<{element}>")).when(
+        first == "{", one_value(text, f"struct<jobs: array<{element}>>")["jobs"]
+    )
+    # The reason is settled below the generator, so that no row carries the whole list.
+    readable = documents.select(*keep, F.explode(F.array(jobs)).alias("_jobs"))
+    judged = readable.withColumn("reason", F.when(F.col("_jobs").isNull(), F.lit(BAD_SHAPE)))
+    flagged = judged.select(*keep, "reason", F.posexplode_outer("_jobs").alias("pos", "_job")).where(
+        F.col("_job").isNotNull() | F.col("reason").isNotNull()
+    )
     rows = flagged.select(*keep, "reason", F.col("pos").cast("long").alias("pos"), "_job.*")
     return conform_postings(rows, *keep, "pos", "reason")
 

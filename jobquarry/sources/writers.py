@@ -82,7 +82,9 @@ def index_corpus(df: DataFrame, vector: str, dims: int, path: str, *partition: s
     if "reason" in df.columns:
         reason = F.coalesce(F.col("reason"), reason)
     flagged = df.withColumn("reason", reason).withColumn("searchable", F.col("reason").isNull())
-    flagged.write.mode("append").partitionBy("searchable", *partition).parquet(path)
+    # Each part of the table goes to few tasks, and a large one to as many as its size asks for.
+    gathered = flagged.hint("rebalance", "searchable", *partition)
+    gathered.write.mode("append").partitionBy("searchable", *partition).parquet(path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

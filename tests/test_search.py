@@ -55,7 +55,7 @@ def frames(spark, data, id_type="long"):
 @pytest.mark.parametrize("k", [1, 10, 400])
 def test_search_is_exact(spark, data, id_type, grid, k):
     queries, corpus = frames(spark, data, id_type)
-    sizes = {"block_bytes": 5 * DIMS * 8, "grid_rows": 40} if grid else {}
+    sizes = {"query_bytes": 5 * DIMS * 8, "corpus_bytes": 40 * DIMS * 8} if grid else {}
     got = {}
     hits = search.knn_search(queries, corpus, k, DIMS, **sizes)
     for r in hits.orderBy("query_id", "hit_rank").collect():
@@ -95,7 +95,8 @@ def test_blocks_of_scores(monkeypatch):
     )
     for row in range(5):
         order = sorted((i for i in range(200) if np.isfinite(scores[row, i])), key=lambda i: (-round(scores[row, i] / 2, 9), i))
-        assert best.ids[best.rows == row].tolist() == order[:7]
+        rows, ids, _ = best.hits()
+        assert ids[rows == row].tolist() == order[:7]
 
 
 def test_pooling(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobquarry import PatternConfig, load_patterns, scratch_path
-from jobquarry.operators import dedup, downloads, quality
+from jobquarry.operators import dedup, downloads, links, quality
 from jobquarry.operators.postings import extract_postings
 from jobquarry.plans import process_urls as plan
 from jobquarry.plans.process_pages import process_pages
@@ -323,3 +323,56 @@ def test_scratch_follows_the_session(spark):
     path = scratch_path(spark, "x")
     assert path != scratch_path(spark, "x")
     assert root is None or path.startswith(root)
+
+
+def test_snapshot_folders_decide(spark, tmp_path):
+    job = lambda n: json.dumps({"job_id": str(n)})
+    write(tmp_path / "acme" / "9" / "a.json", job("old"))
+    write(tmp_path / "acme" / "10" / "sub" / "a.json", job("new"))
+    write(tmp_path / "beta" / "1" / "sub" / "x.json", job("b"))
+    write(tmp_path / "big [1]" / "99999999999999999999999" / "x.json", job("big"))
+    write(tmp_path / "big [1]" / "100" / "x.json", job("small"))
+    for root in (str(tmp_path), f"file:{tmp_path}/", f"file://{tmp_path}"):
+        rows = readers.read_latest_snapshots(spark, root).collect()
+        assert sorted(json.loads(r.document)["job_id"] for r in rows) == ["b", "big", "new"]
+
+
+def test_json_as_libraries_read_it(spark):
+    texts = [
+        '[{"job_id": "1", "title": "a", "job_id": "2"}]', '{"jobs": [{"job_id": "3", "salary_min": NaN}]}',
+        '[{"job_id": "4"}] trailing', "{broken", "3", '[{"job_id": "5"}],[]', '  {"jobs": []}',
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, d string")
+    rows = readers.load_postings(docs, "d", "i").select("i", "job_id", "reason").collect()
+    assert sorted((r.i, r.job_id) for r in rows if r.reason is None) == [(0, "2"), (1, "3")]
+    assert sorted(r.i for r in rows if r.reason) == [2, 3, 4, 5]
+
+    fields = ['{"a": 1, "a": "x"}', '{"b": NaN}', "{broken", '{"c": {"d": 1, "d": 2}}', "[1]"]
+    docs = spark.createDataFrame(list(enumerate(fields)), "i int, d string")
+    found = {r.field: r.field_type for r in quality.infer_field_types(docs, "d").collect()}
+    assert found == {"a": "text", "b": "float"}
+    left_out = {r.reason: r.documents for r in quality.unreadable_documents(docs, "d").collect()}
+    assert left_out == {"not_json": 1, "an inner object repeats a key": 1, "not an object": 1}
+    issues = {(r.i, r.issue, r.got) for r in quality.check_mapping(docs.where("i < 3"), "d", {"a": "text", "b": "long"}, "i").collect()}
+    assert issues == {(0, "missing_key", None), (1, "missing_key", None), (1, "type_mismatch", "float"), (2, "not_json", None)}
+
+
+def test_a_list_of_more_than_128_mb(spark):
+    piece = '{"job_id": "1", "title": "' + "x" * 4000 + '"},'
+    big = spark.range(1).select(F.concat(F.lit("["), F.repeat(F.lit(piece), 35_000), F.lit('{"job_id": "last"}]')).alias("d"))
+    loaded = readers.load_postings(big, "d").groupBy("reason").count().collect()
+    assert [(r.reason, r["count"]) for r in loaded] == [(None, 35_001)]
+
+
+def test_empty_runs_keep_rows_with_nulls(spark):
+    rows = [("a", 1, 0), ("a", 2, 0), ("a", None, 0), (None, 1, 0), (None, None, 3)]
+    found = dedup.empty_page_runs(spark.createDataFrame(rows, "c string, n int, jobs int"), "c", "n", "jobs").collect()
+    assert len(found) == 5 and {(r.c, r.n): r.empty_run for r in found}[("a", 2)] >= 2
+
+
+def test_missing_sections_raise(spark):
+    pages = spark.createDataFrame([("u", "h")], "url string, html string")
+    with pytest.raises(ValueError, match="url_validation"):
+        plan.validate_urls(pages, PatternConfig({}))
+    with pytest.raises(ValueError, match="job_url_selectors"):
+        links.extract_links(pages, PatternConfig({}), "http://h", keep=["url"])
