@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobquarry.llm.frames import chunks
+from jobquarry.llm.frames import chunks, stored
 from jobquarry.llm.hashing import BASE, BYTE, INVERSE, mixed, powers
 
 #: Words per window and from one window to the next.
@@ -33,8 +33,8 @@ WORD_ROWS, TRIGRAM_ROWS, WIDTH, HIDDEN, ATTEND = 8192, 4096, 8, 8, 8
 STEPS, BATCH, RESCORE = 500, 128, 100
 #: Pull of the learned word vectors towards nothing, so that a small sample is not learned by heart.
 DECAY = 3e-4
-#: The sample: documents per class, and the longest text (in characters) that is drawn.
-SAMPLE, SAMPLE_CHARS = 1200, 20_000
+#: The sample: documents without and with the label, and the longest text (in characters) that is drawn.
+SAMPLE, SAMPLE_CHARS = (2000, 1000), 12_000
 TOKEN = re.compile(r"\w+")
 INPUT = 2 * WIDTH + 1
 
@@ -74,9 +74,9 @@ def windows_of(count: int) -> list[int]:
     return list(range(0, max(1, count - (WINDOW - STRIDE)), STRIDE)) if count else []
 
 
-def index_windows(tokens: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def index_windows(tokens: list) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all windows (-1 beyond the end of a text), and whose text each is."""
-    flat = np.fromiter((t for text in tokens for t in text), np.int64)
+    flat = np.concatenate([np.asarray(t, np.int64) for t in tokens]) if tokens else np.zeros(0, np.int64)
     lengths = np.array([len(t) for t in tokens], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths)])
     starts = [windows_of(n) for n in lengths.tolist()]
@@ -164,6 +164,15 @@ class Network:
     def project(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
         return {s: inputs @ self.p[f"in_{s}"] + self.p[f"inb_{s}"] for s in ("f", "b")}
 
+    def project_words(self, words: Words, evidence: np.ndarray, block: int = 20_000) -> dict[str, np.ndarray]:
+        """Projected inputs of many words, a block at a time."""
+        parts = []
+        for start in range(0, len(words.row), block):
+            begins = words.begins[start : start + block + 1]
+            part = Words(words.row[start : start + block], words.trigrams[begins[0] : begins[-1]], begins - begins[0], evidence[start : start + block])
+            parts.append(self.project(self.inputs(part)))
+        return {s: np.concatenate([p[s] for p in parts]) for s in ("f", "b")}
+
     def gradients(self, words: Words, at: np.ndarray, target: np.ndarray, learned: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the windows, and its gradient for every parameter.
 
@@ -215,15 +224,6 @@ class Network:
         return loss, g
 
 
-def evidence_of(texts: list[set[str]], labels: np.ndarray) -> tuple[dict[str, list[int]], int, int]:
-    """In how many clean and toxic documents each word occurs."""
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(texts, labels.tolist(), strict=True):
-        for word in words:
-            seen.setdefault(word, [0, 0])[label] += 1
-    return seen, int((labels == 0).sum()), int((labels == 1).sum())
-
-
 def log_odds(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
     """Smoothed and shrunk by how little has been seen."""
     odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
@@ -252,33 +252,38 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None, seed
     if not (labels == 1).any() or not (labels == 0).any():
         net.constant = float(labels.mean()) if len(labels) else 0.0
         return net
-    split = [TOKEN.findall(t.lower()) for t in texts]
-    seen, n_clean, n_toxic = evidence_of([set(w) for w in split], labels)
-    number = {w: i for i, w in enumerate(seen)}
+    number: dict[str, int] = {}
+    tokens = [np.array([number.setdefault(w, len(number)) for w in TOKEN.findall(t.lower())], np.int64) for t in texts]
     if not number:
         net.constant = float(labels.mean())
         return net
-    counts = np.array(list(seen.values()), np.float64)
-    known = log_odds(counts[:, 0], counts[:, 1], n_clean, n_toxic).tolist()
-    net.evidence = {w: x for (w, i), n in zip(number.items(), counts.sum(1).tolist(), strict=True) if n > 1 and (x := known[i])}
-    words = Words.of(list(number), net.evidence)
+    counts = np.zeros((len(number), 2))
+    for own, k in zip(tokens, labels.tolist(), strict=True):
+        counts[np.unique(own), k] += 1
+    n_clean, n_toxic = int((labels == 0).sum()), int((labels == 1).sum())
+    known = np.where(counts.sum(1) > 1, log_odds(counts[:, 0], counts[:, 1], n_clean, n_toxic), 0)
+    told = np.flatnonzero(known)
+    names = list(number)
+    net.evidence = dict(zip((names[i] for i in told.tolist()), known[told].tolist(), strict=True))
+    words = Words.of(names, {})
+    del number, names
     # What a document itself adds to a word's counts must not speak for its label.
     less = np.maximum(counts - 1, 0)
     without = np.stack([log_odds(less[:, 0], counts[:, 1], n_clean - 1, n_toxic), log_odds(counts[:, 0], less[:, 1], n_clean, n_toxic - 1)])
-    windows, owner = index_windows([[number[w] for w in text] for text in split])
+    windows, owner = index_windows(tokens)
+    windows = windows.astype(np.int32)
     label = labels[owner]
     rng = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
 
     def score_all() -> np.ndarray:
-        both = [Words(words.row, words.trigrams, words.begins, without[k]) for k in (0, 1)]
-        projected = [net.project(net.inputs(b)) for b in both]
         out = np.empty(len(windows), np.float32)
         for k in (0, 1):
+            projected = net.project_words(words, without[k])
             mine = np.flatnonzero(label == k)
-            for start in range(0, len(mine), 8192):
-                part = mine[start : start + 8192]
-                out[part] = net.forward(projected[k], windows[part])[0]
+            for start in range(0, len(mine), 4096):
+                part = mine[start : start + 4096]
+                out[part] = net.forward(projected, windows[part])[0]
         return out
 
     order = np.argsort(owner, kind="stable")
@@ -325,24 +330,36 @@ def _calibrated(top: np.ndarray, truth: np.ndarray, prior: float) -> tuple[float
     return max(1e-3, float(w[0])), float(w[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, longest: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, float]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE, longest: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, float]:
     """A bounded sample of labelled rows: ``per_class`` of each label, in the order of a hash.
 
     Returns texts, labels and the share of toxic rows among all that could be drawn.
 
-    At most ``2 * per_class * longest`` characters reach the driver. Rows without a text,
-    an id or a label of 0 or 1 are not drawn; a document labelled twice counts as its
-    highest label.
+    At most ``sum(per_class) * longest`` characters reach the driver. Rows without a text,
+    an id or a label of 0 or 1 are not drawn, nor are ids that occur twice; a document
+    labelled twice counts as its highest label.
     """
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(marked, "doc_id")
-    keyed = joined.select("toxic", "doc_id", "text", F.xxhash64("doc_id", F.lit(11)).alias("draw"))
-    rows = [r for k in (0, 1) for r in keyed.where(F.col("toxic") == k).orderBy("draw", "doc_id", "text").limit(per_class).collect()]
-    share = joined.agg(F.avg("toxic")).first()[0]
-    return [r.text for r in rows], np.array([int(r.toxic) for r in rows], np.int64), float(share or 0.0)
-
-
-def learned(docs: DataFrame, labels: DataFrame, **bounds: int) -> Network:
+    # Only ids and lengths are shuffled and ordered; the texts of those drawn are read at the end.
+    lengths = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("length")
+    )
+    light = stored(
+        lengths.join(marked, "doc_id").where((F.col("n") == 1) & (F.col("length") <= longest)).select("doc_id", "toxic"), "labelled"
+    )
+    draw = F.xxhash64("doc_id", F.lit(11))
+    drawn = {
+        r.doc_id: int(r.toxic)
+        for k in (0, 1)
+        for r in light.where(F.col("toxic") == k).orderBy(draw, "doc_id").limit(per_class[k]).collect()
+    }
+    rows = docs.where(F.col("doc_id").isin(list(drawn))).select("doc_id", "text").collect() if drawn else []
+    texts = {r.doc_id: r.text for r in rows}
+    share = light.agg(F.avg("toxic")).first()[0]
+    return [texts[i] for i in drawn], np.array(list(drawn.values()), np.int64), float(share or 0.0)
+
+
+def learned(docs: DataFrame, labels: DataFrame, **bounds) -> Network:
     """The network of a bounded sample of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
     return train(*sample(docs, labels, **bounds))
 
@@ -366,7 +383,8 @@ def probabilities(net: Network, texts: list[str | None]) -> np.ndarray:
     tokens = [[number.setdefault(w, len(number)) for w in TOKEN.findall((t or "").lower())] for t in texts]
     highest = np.full(len(texts), float(net.p["bias"][0]))
     if number:
-        projected = net.project(net.inputs(Words.of(list(number), net.evidence)))
+        words = Words.of(list(number), net.evidence)
+        projected = net.project_words(words, words.evidence)
         windows, owner = index_windows(tokens)
         logits = np.empty(len(windows), np.float32)
         for start in range(0, len(windows), 4096):
