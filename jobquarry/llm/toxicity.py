@@ -15,6 +15,9 @@ its texts with the network's weights, a few hundred kilobytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -49,7 +52,18 @@ class Words:
     evidence: np.ndarray
 
     @staticmethod
-    def of(words: list[str], evidence: dict[str, float]) -> Words:
+    def of(words: list[str], evidence: dict[str, float], block: int = 30_000) -> Words:
+        """Built a block of words at a time, since its hashing takes many times their bytes."""
+        parts = [Words._of(words[start : start + block], evidence) for start in range(0, len(words), block)]
+        ends = np.cumsum([0] + [len(p.trigrams) for p in parts])
+        begins = [p.begins[:-1] + end for p, end in zip(parts, ends[:-1].tolist(), strict=True)]
+        return Words(
+            np.concatenate([p.row for p in parts]), np.concatenate([p.trigrams for p in parts]),
+            np.concatenate([*begins, ends[-1:]]), np.concatenate([p.evidence for p in parts]),
+        )
+
+    @staticmethod
+    def _of(words: list[str], evidence: dict[str, float]) -> Words:
         data = "".join(f"<{w}>" for w in words).encode()
         lengths = np.fromiter((len(w.encode()) + 2 for w in words), np.int64, len(words))
         bytes_ = np.frombuffer(data, np.uint8)
@@ -66,7 +80,7 @@ class Words:
         inside[begins[1:] - 2] = False
         kept = np.concatenate([[0], np.cumsum(inside)])
         known = np.fromiter((evidence.get(w, 0.0) for w in words), np.float32, len(words))
-        return Words((whole & np.uint64(WORD_ROWS - 1)).astype(np.int64), hashed[inside].astype(np.int64), kept[begins], known)
+        return Words((whole & np.uint64(WORD_ROWS - 1)).astype(np.int32), hashed[inside].astype(np.int32), kept[begins], known)
 
 
 def windows_of(count: int) -> list[int]:
@@ -266,7 +280,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None, seed
     names = list(number)
     net.evidence = dict(zip((names[i] for i in told.tolist()), known[told].tolist(), strict=True))
     words = Words.of(names, {})
-    del number, names
+    del number, names, known, told
     # What a document itself adds to a word's counts must not speak for its label.
     less = np.maximum(counts - 1, 0)
     without = np.stack([log_odds(less[:, 0], counts[:, 1], n_clean - 1, n_toxic), log_odds(counts[:, 0], less[:, 1], n_clean, n_toxic - 1)])
@@ -361,7 +375,16 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMP
 
 def learned(docs: DataFrame, labels: DataFrame, **bounds) -> Network:
     """The network of a bounded sample of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
-    return train(*sample(docs, labels, **bounds))
+    net = train(*sample(docs, labels, **bounds))
+    _give_back()
+    return net
+
+
+def _give_back() -> None:
+    """Return what training took and freed to the system, where the C library can do that."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _score(net: Network):
