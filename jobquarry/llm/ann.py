@@ -9,15 +9,19 @@
 3. Descent: in each tree a query finds the range of strings that share its first 1, 2, ...
    symbols, by binary search, down to the longest prefix that occurs.
 4. Synchronous ascent: all trees give way symbol by symbol together, until the ranges of
-   the query's level hold enough candidates over all trees. What is needed for that is one
-   count per query, tree and level.
+   the query's level hold enough candidates over all trees: a share of the index, and as
+   many as ``DENSE`` times the largest range of one symbol, which is about the size of the
+   cluster a query is in. Ranges of one cluster overlap, so a share of the index alone would
+   be reached there with few different candidates. What is needed is one count per query,
+   tree and level.
 5. The candidates are compared by exact cosine where they lie; a task returns the best few
-   of each query. Queries that have too few candidates even at one symbol (tiny tables)
-   ascend to the root and meet all rows, in blocks.
+   of each query. Queries that have too few candidates even at one symbol (tiny tables), or
+   whose ranges together hold more than the whole index (large clusters), ascend to the
+   root and meet all rows once, in blocks, which is exact.
 
 ``candidates`` is a share of the index: among vectors without structure, neighbours are
-hardly nearer than the rest, and no index reaches a recall of 0.9 with less. On clustered
-vectors a query stops far below that level, and a small share can be set.
+hardly nearer than the rest, and no index reaches a recall of 0.9 with less. Within a
+cluster the same holds for the cluster's rows.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from jobquarry.llm.frames import stored, whole_groups
 TREES = 40
 #: Candidates (over all trees) at which the ascent stops: this share of the index, and this many.
 SHARE, LEAST = 0.05, 256
+#: And this many times the largest range of one symbol, so that it also holds inside clusters.
+DENSE = 1.5
 #: Strings have at most this many symbols: 12 is what 63 bits hold at best for 12 or more symbols.
 LEVELS = 12
 #: Vectors per task of a tree's first symbol.
@@ -138,8 +144,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = _ranges(index, wanted, np.full(len(wanted), k + 1), dim)
             counts[:, k] = high - low
         yield pa.RecordBatch.from_arrays(
-            [pa.array(group.column("class").to_numpy()[asks]), *(pa.array(counts[:, k].copy()) for k in range(LEVELS))],
-            ["class", *(f"n{k + 1}" for k in range(LEVELS))],
+            [pa.array(group.column("class").to_numpy()[asks]), pa.array(group.column("tree").to_numpy()[asks]), *(pa.array(counts[:, k].copy()) for k in range(LEVELS))],
+            ["class", "tree", *(f"n{k + 1}" for k in range(LEVELS))],
         )
 
 
@@ -217,13 +223,17 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int
     blocks = stored(light.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
     counted = _in_blocks(light, blocks, on).select(*_KEYS, "class", "code", "asks")
     counted = counted.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(
-        _counts, "class long, " + ", ".join(f"n{i + 1} long" for i in range(LEVELS))
+        _counts, "class long, tree int, " + ", ".join(f"n{i + 1} long" for i in range(LEVELS))
     )
-    totals = counted.groupBy("class").agg(*(F.sum(f"n{i + 1}").alias(f"n{i + 1}") for i in range(LEVELS)))
+    # Over the blocks of a symbol first: the largest range is one tree's.
+    summed = [F.sum(f"n{i + 1}").alias(f"n{i + 1}") for i in range(LEVELS)]
+    totals = counted.groupBy("class", "tree").agg(*summed).groupBy("class").agg(*summed, F.max("n1").alias("widest"))
     asked = classes.where("is_query").select("class", "dim").join(totals, "class", "left")
-    level = F.lit(0)
+    level, rows_in_all = F.lit(0), F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.lit(None).cast("map<int,long>")
+    needed = F.greatest(F.element_at(enough, F.col("dim")), DENSE * F.coalesce("widest", F.lit(0)))
     for i in range(1, LEVELS + 1):
-        level = F.when(F.coalesce(F.col(f"n{i}"), F.lit(0)) >= F.element_at(enough, F.col("dim")), F.lit(i)).otherwise(level)
+        n = F.coalesce(F.col(f"n{i}"), F.lit(0))
+        level = F.when(n >= needed, F.when(n <= F.element_at(rows_in_all, F.col("dim")), F.lit(i)).otherwise(F.lit(0))).otherwise(level)
     levels = stored(asked.select("class", level.cast("int").alias("level")), "levels")
 
     heavy = classes.mapInArrow(_hashed(trees, True), "class long, dim int, tree int, head int, code long, is_query boolean, first long, v binary")

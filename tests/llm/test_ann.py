@@ -64,3 +64,21 @@ def test_near_vectors_share_longer_prefixes():
     same = np.mean([ann.strings(x, t) >> 42 == ann.strings(near, t) >> 42 for t in range(8)])
     other = np.mean([ann.strings(x, t) >> 42 == ann.strings(near[::-1], t) >> 42 for t in range(8)])
     assert same > 0.5 > 0.01 > other
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.3, 0.6, 1.0])
+def test_recall_inside_a_hot_cluster(spark, noise):
+    """A third of the rows around one centre, whose strings share long prefixes."""
+    rng = np.random.default_rng(7)
+    rows = rng.standard_normal((6000, 64))
+    rows[::3] = rng.standard_normal(64) + noise * rng.standard_normal((2000, 64))
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    want = brute(list(range(6000)), rows)
+    hot = [q for q in want if q % 3 == 0]
+    got = {}
+    for r in ann.nearest_neighbours(docs, IS_QUERY).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = {q: len(got[q] & {v for v, _ in want[q]}) for q in want}
+    assert set(got) == set(want)
+    print("hot cluster", noise, sum(found[q] for q in hot) / (5 * len(hot)), "all", sum(found.values()) / (5 * len(want)))
+    assert sum(found[q] for q in hot) / (5 * len(hot)) >= 0.9
