@@ -214,6 +214,16 @@ def detect_page_count(spark, sf):
     return found.select("page_id", "page_count", F.coalesce("cut", F.lit(False)).alias("capped_at_150"))
 
 
+@query(
+    "detect_page_count_own_html",
+    "SELECT page_id, CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS BIGINT) AS page_count FROM pages",
+)
+def detect_page_count_own_html(spark, sf):
+    """Every page by its own html; the branches that no page takes are in ``detect_page_count``."""
+    pages = split_table(spark, sf, "pages", "page_id")
+    return links.detect_page_count(pages, SAMPLE, "page_id").select("page_id", "page_count")
+
+
 @query(
     "has_next_page",
     "SELECT page_id, regexp_matches(html, '<a href=\"[^\"]*th') AS has_next FROM pages",

@@ -97,3 +97,16 @@ def test_a_hot_key_is_split(spark, small_joins_shuffle, operator):
     left = counted.collect()[0][0]
     assert operator == "skip_existing" or left > 66_000
     assert "skew=true" in plan(counted)
+
+
+def test_every_page_is_counted_by_its_own_html(spark, tmp_path):
+    """Ids up to 5, null ids and every remainder by 5 keep their page and its text."""
+    rows = [(i, f"https://h.org/{i}", f"<script>track({100 + (i or 0)})</script>") for i in (None, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    texts = {r.page_id: r.html for r in pages.where("page_id <= 10").select("page_id", "html").collect()}
+    made = spark.createDataFrame([(i, u, texts[min(texts)] if i is None else texts.get(i, h)) for i, u, h in rows], "page_id long, url string, html string")
+    made.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.page_count for r in QUERIES["detect_page_count_own_html"](spark, str(tmp_path)).collect()}
+    want = {r.page_id: int(re.search(r"track\((\d+)\)", r.html)[1]) for r in made.collect() if "track(" in r.html}
+    assert set(got) == {i for i, _, _ in rows}
+    assert {i: got[i] for i in want} == want and len(want) >= 6
