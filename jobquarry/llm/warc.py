@@ -212,8 +212,11 @@ def _head_at(window: _Window, start: int, compressed: bool) -> tuple[dict[str, s
         end = head.find(b"\r\n\r\n")
         if end >= 0:
             return _headers(head[:end]), end + 4
-        if len(head) < size or size >= 1 << 20:
+        if len(head) < size:
             raise Damaged("no end of headers")
+        # No limit on a header, but what is none ends early.
+        if not all(b":" in line for line in head.split(b"\r\n")[1:-1]):
+            raise Damaged("bad header line")
         size *= 4
 
 
@@ -289,14 +292,17 @@ def salvage(window: _Window) -> Iterator[dict]:
         yield {"start": bad, "end": window.size, "kind": "gap", "reason": reason}
 
 
-def _reader(payloads: bool):
+def _reader(payloads: bool, strict: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, records in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 system, path = open_folder(name)
-                rows, held = [], 0
+                rows, held, count = [], 0, 0
                 with system.open_input_file(path) as file:
                     for row in salvage(_Window(file)):
+                        if strict and row["kind"] == "gap":
+                            raise ValueError(f"{name}: gap from {row['start']} to {row['end']}: {row['reason']}")
+                        count += 1
                         held += len(row.get("payload") or b"") + 200
                         row["file"] = name
                         if not payloads:
@@ -305,6 +311,8 @@ def _reader(payloads: bool):
                         if held > 8_000_000 or len(rows) >= 10_000:
                             yield _batch(rows)
                             rows, held = [], 0
+                if strict and count != records:
+                    raise ValueError(f"{name}: {count} records, {records} in the manifest")
                 yield _batch(rows)
 
     return read
@@ -314,19 +322,21 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(_NAMES, _KINDS, strict=True)], _NAMES)
 
 
-def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, payloads: bool = True, strict: bool = False) -> DataFrame:
     """A row per record and per quarantined gap (``kind``) of the files in ``manifest.file``.
 
     Files may be gzip members, plain records, or a mixture after damage. Gaps have their
-    bytes in ``start`` and ``end`` and the first failed check in ``reason``.
+    bytes in ``start`` and ``end`` and the first failed check in ``reason``. ``strict`` is
+    for archives that must be whole: a gap, or another number of records than
+    ``manifest.records``, is an error.
     """
-    files = manifest.select("file")
+    files = manifest.select("file", F.col("records") if strict else F.lit(None).cast("long").alias("records"))
     # One file per task: the files are few and large, and their names are all that moves.
     spread = files.repartition(max(1, min(files.count(), 100_000)), "file")
-    return spread.mapInArrow(_reader(payloads), RECORD)
+    return spread.mapInArrow(_reader(payloads, strict), RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Pages written to archives in the shared folder and read back from them."""
     manifest = write_archives(pages, scratch_path(spark, "archives"))
-    return read_archives(manifest, payloads=False)
+    return read_archives(manifest, payloads=False, strict=True)

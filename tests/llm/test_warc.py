@@ -104,3 +104,21 @@ def test_tables_round_trip(spark, tmp_path, compressed):
         assert row.payload is None if shared else bytes(row.payload) == data
     empty = warc.write_archives(df.limit(0), str(tmp_path / "none"))
     assert warc.read_archives(empty).count() == 0
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_headers_have_no_limit(compressed):
+    rows = [(1, "http://h/1", "a"), (2, "http://h/" + "é" * 400_000, "b"), (3, "http://h/3", "c")]
+    found = read(b"".join(archive(rows, compressed)))
+    assert [(f["kind"], f.get("page_id")) for f in found] == [("record", 1), ("record", 2), ("record", 3)]
+
+
+@pytest.mark.parametrize("damage", ["gap", "missing"])
+def test_a_strict_read_reports_lost_records(spark, tmp_path, damage):
+    records = archive(pages(5))
+    broken = b"".join([*records[:2], *([records[2][:-9]] if damage == "gap" else []), *records[3:]])
+    (tmp_path / "a.warc.gz").write_bytes(broken)
+    manifest = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", len(broken), 5)], warc.MANIFEST)
+    assert warc.read_archives(manifest).where("kind = 'record'").count() == 4
+    with pytest.raises(Exception, match="gap from" if damage == "gap" else "4 records, 5 in the manifest"):
+        warc.read_archives(manifest, strict=True).collect()
