@@ -102,7 +102,7 @@ def _hashed(trees: int, vectors: bool):
                                    pa.array((codes >> shift).astype(np.int32)), pa.array(codes), part.column("is_query")]
                         names = ["class", "dim", "tree", "head", "code", "is_query"]
                         if vectors:
-                            columns, names = [*columns, part.column("first"), part.column("v")], [*names, "first", "v"]
+                            columns, names = [*columns, *(part.column(c) for c in ("first", "single", "v"))], [*names, "first", "single", "v"]
                         yield pa.RecordBatch.from_arrays(columns, names)
 
     return hashed
@@ -163,21 +163,29 @@ def _nearest(k: int):
             low, high = _ranges(codes[order], codes[asks], level, dim)
             queries, asked = vectors[asks], classes[asks]
             index, first = vectors[order], group.column("first").to_numpy()[order]
+            single = group.column("single").to_numpy(zero_copy_only=False)[order]
+            names = group.column("own").filter(pa.array(asks)).to_pylist()
             norms, own = np.sqrt((index * index).sum(1)), np.sqrt((queries * queries).sum(1))
             out: list[tuple[np.ndarray, ...]] = []
+            own_ids: list[int | None] = []
             for start in range(0, len(queries), 256):
                 rough = (queries[start : start + 256] @ index.T) / norms
                 for i, row in enumerate(rough, start):
                     at = np.arange(low[i], high[i])
+                    if names[i] is not None:
+                        # Rows that only the query's own id has are not its neighbours.
+                        at = at[~(single[at] & (first[at] == names[i]))]
                     if len(at) > 2 * k:
                         # All that may tie, up to rounding, with the last one needed.
                         at = at[row[at] >= -np.partition(-row[at], 2 * k)[2 * k] - 1e-9 * own[i]]
                     # The same order of sums for every pair, whatever the block.
                     exact = (index[at] * queries[i]).sum(1) / (norms[at] * own[i])
                     best = np.lexsort((first[at], -exact))[: k + 2]
+                    own_ids.extend([names[i]] * len(best))
                     out.append((np.full(len(best), asked[i]), classes[order[at[best]]], exact[best]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "class", "score"])
+                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array(own_ids, pa.int64()), *columns[1:]], ["query", "own", "class", "score"])
 
     return nearest
 
@@ -209,9 +217,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int
     )
     rows = rows.select("id", F.xxhash64("v").alias("class"), F.size("v").alias("dim"), "v")
     ids = stored(rows.select("id", "class", asking.alias("is_query")).distinct(), "ids")
-    classes = rows.groupBy("class", "dim").agg(F.min("id").alias("first"), F.first("v").alias("v"), F.max(asking.cast("int")).cast("boolean").alias("is_query"))
+    classes = rows.groupBy("class", "dim").agg(F.min("id").alias("first"), (F.min("id") == F.max("id")).alias("single"), F.first("v").alias("v"), F.max(asking.cast("int")).cast("boolean").alias("is_query"))
     classes = stored(
-        classes.mapInArrow(_packed, "class long, dim int, first long, v binary, is_query boolean"), "vectors"
+        classes.mapInArrow(_packed, "class long, dim int, first long, single boolean, v binary, is_query boolean"), "vectors"
     )
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     enough = F.create_map(*(F.lit(x) for dim, n in sizes.items() for x in (dim, max(least, int(share * n))))) if sizes else F.lit(None).cast("map<int,int>")
@@ -234,39 +242,44 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int
     for i in range(1, LEVELS + 1):
         n = F.coalesce(F.col(f"n{i}"), F.lit(0))
         level = F.when(n >= needed, F.when(n <= F.element_at(rows_in_all, F.col("dim")), F.lit(i)).otherwise(F.lit(0))).otherwise(level)
-    levels = stored(asked.select("class", level.cast("int").alias("level")), "levels")
+    # One search per class that asks; one more for each of its ids that other vectors have too.
+    several = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    repeated = ids.where("is_query").join(several, "id").select("class", F.col("id").alias("own"))
+    searches = stored(ids.where("is_query").join(several, "id", "left_anti").select("class", F.lit(None).cast("long").alias("own")).distinct().union(repeated), "searches")
+    levels = stored(asked.select("class", level.cast("int").alias("level")).join(searches, "class"), "levels")
 
-    heavy = classes.mapInArrow(_hashed(trees, True), "class long, dim int, tree int, head int, code long, is_query boolean, first long, v binary")
+    heavy = classes.mapInArrow(_hashed(trees, True), "class long, dim int, tree int, head int, code long, is_query boolean, first long, single boolean, v binary")
     found = _search(_in_blocks(heavy, blocks, on).join(levels.withColumnRenamed("class", "asked"), F.col("asks") & (F.col("class") == F.col("asked")), "left"), k)
     at_root = levels.where("level = 0")
     if not at_root.isEmpty():
         whole = classes.withColumns({"tree": F.lit(-1), "head": F.lit(-1), "code": F.lit(0).cast("long")})
         count = F.create_map(*(F.lit(x) for dim, n in sizes.items() for x in (dim, -(-n // block))))
         whole = whole.withColumn("blocks", F.element_at(count, F.col("dim"))).drop("is_query")
-        index = whole.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).withColumn("level", F.lit(None).cast("int"))
+        index = whole.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).withColumn("level", F.lit(None).cast("int")).withColumn("own", F.lit(None).cast("long"))
         at_all = whole.join(at_root, "class").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
         found = found.union(_search(index.union(at_all.select(index.columns)), k))
-    best = found.groupBy("query", "class").agg(F.max("score").alias("score"))
-    return _expanded(best, ids, k)
+    best = found.groupBy("query", "own", "class").agg(F.max("score").alias("score"))
+    return _expanded(best, ids, searches, k)
 
 
 def _search(rows: DataFrame, k: int) -> DataFrame:
-    wanted = rows.where("NOT asks OR level IS NOT NULL").select(*_KEYS, "class", "code", "asks", F.coalesce("level", F.lit(-1)).alias("level"), "first", "v")
+    wanted = rows.where("NOT asks OR level IS NOT NULL").select(*_KEYS, "class", "code", "asks", F.coalesce("level", F.lit(-1)).alias("level"), "own", "first", "single", "v")
     # Queries that search at the root are not asked for in the trees.
     wanted = wanted.where("NOT asks OR level > 0 OR tree < 0")
-    return wanted.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_nearest(k), "query long, class long, score double")
+    return wanted.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_nearest(k), "query long, own long, class long, score double")
 
 
-def _expanded(best: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _expanded(best: DataFrame, ids: DataFrame, searches: DataFrame, k: int) -> DataFrame:
     """Classes to rows: of each class its k + 1 smallest ids, one more for the query itself."""
     few = Window.partitionBy("class").orderBy("id")
     members = stored(ids.withColumn("place", F.row_number().over(few)).where(F.col("place") <= k + 1).select("class", "id"), "members")
     first = members.groupBy("class").agg(F.min("id").alias("first"))
-    nearest = Window.partitionBy("query").orderBy(F.col("score").desc(), "first")
+    nearest = Window.partitionBy("query", "own").orderBy(F.col("score").desc(), "first")
     top = best.join(first, "class").withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1)
-    top = stored(top.select("query", "class", "score"), "best")
-    asking = ids.where("is_query").select(F.col("class").alias("query"), F.col("id").alias("query_id"))
-    pairs = asking.join(top, "query").join(members, "class").where("id <> query_id")
+    top = stored(top.select("query", "own", "class", "score"), "best")
+    named = searches.where("own IS NOT NULL").select("class", F.col("own").alias("id"), "own")
+    asking = ids.where("is_query").join(named, ["class", "id"], "left").select(F.col("class").alias("query"), F.col("id").alias("query_id"), F.col("own").alias("asker"))
+    pairs = asking.join(top, "query").where("asker <=> own").drop("asker", "own").join(members, "class").where("id <> query_id")
     order = Window.partitionBy("query", "query_id").orderBy(F.col("score").desc(), "id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -82,3 +82,30 @@ def test_recall_inside_a_hot_cluster(spark, noise):
     assert set(got) == set(want)
     print("hot cluster", noise, sum(found[q] for q in hot) / (5 * len(hot)), "all", sum(found.values()) / (5 * len(want)))
     assert sum(found[q] for q in hot) / (5 * len(hot)) >= 0.9
+
+
+@pytest.mark.parametrize("least", [ann.LEAST, 20])
+def test_an_id_with_many_near_vectors_gets_its_neighbours(spark, least):
+    """The query's own other vectors are nearer than all others, at the root and in the trees."""
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    near = lambda n, noise: (centre + noise * rng.standard_normal((n, 16))).tolist()
+    others = near(60, 0.2)
+    rows = [(0, v) for v in near(12, 0.01)] + list(enumerate(others, 1))
+    # A copy: two ids ask with one vector, and only one of them has more.
+    rows.append((50, rows[0][1]))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    got = {}
+    for r in ann.nearest_neighbours(docs, IS_QUERY, least=least).collect():
+        got.setdefault(r.query_id, []).append((round(r.score, 9), r.vec_id))
+    # A row per query vector and rank: 12 vectors of id 0, and two of id 50.
+    assert len(got[0]) == 12 * 5 and len(got[50]) == 2 * 5
+    assert all(v != 0 for _, v in got[0])
+    if least == ann.LEAST:
+        cosine = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+        for q in (0, 50):
+            mine = [i for i, (d, _) in enumerate(rows) if d == q]
+            free = [i for i, (d, _) in enumerate(rows) if d != q]
+            want = [s for m in mine for s in sorted(cosine[m, free])[-5:]]
+            assert np.allclose(sorted(s for s, _ in got[q]), sorted(want), atol=1e-8)
