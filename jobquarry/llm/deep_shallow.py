@@ -1,7 +1,8 @@
 """Deep-shallow suffix sorting of byte strings, in groups.
 
-Shallow: multikey quicksort over characters of eight bytes down to a small depth. Deep:
-what is still tied there shares a long prefix, and is ordered by a blind trie, whose
+Shallow: a vectorised sort by one character of eight bytes after the other, down to a small
+depth; not the multikey quicksort with its three-way partition, though with the same order.
+Deep: what is still tied there shares a long prefix, and is ordered by a blind trie, whose
 inner nodes hold one skipped depth and one branching character each, so that inserting a
 suffix compares its bytes once.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes ordered by multikey quicksort before the blind tries take over.
+#: Bytes ordered character by character before the blind tries take over.
 SHALLOW = 24
 
 
@@ -97,7 +98,7 @@ def suffix_order(texts: list[bytes], groups: np.ndarray, known: int = 0) -> tupl
     characters = head.view(">u8").astype(np.uint64)
     lengths = np.fromiter(map(len, texts), np.int64, count)
 
-    # Multikey quicksort: partition by one character at a time, only where rows still tie.
+    # Shallow: sort by one character at a time, only where rows still tie.
     order = np.arange(count)
     part = groups.astype(np.int64)
     for k in range(characters.shape[1]):
