@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobquarry.llm import ann, decontamination, language_mixture, mixing, near_dedup, preference, suffix_dedup, toxicity, url_filter, warc
+from jobquarry.llm import ann, decontamination, jaccard_join, language_mixture, mixing, near_dedup, preference, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -257,3 +257,33 @@ def op8_toxicity(spark, sf_dir):
     net = toxicity.learned(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     rows = docs.select("doc_id", toxicity.held_out().alias("held_out"), "text")
     return toxicity.scored(rows, net).select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op13_jaccard_join",
+    """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
+      THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 90 * (x.n + y.n - common)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+)
+def op13_jaccard_join(spark, sf_dir):
+    found = jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
