@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobquarry.llm import ann, decontamination, jaccard_join, language_mixture, mixing, near_dedup, preference, suffix_dedup, toxicity, url_filter, warc
+from jobquarry.llm import ann, decontamination, jaccard_join, language_mixture, mixing, near_dedup, preference, repair, suffix_dedup, toxicity, url_filter, warc, whitening
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -287,3 +287,81 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON
 def op13_jaccard_join(spark, sf_dir):
     found = jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained"))
+    return rows.select("vec_id", "n", "deviation", "identity_error", parts).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error"
+    )
+
+
+def _edits_sql() -> str:
+    """Cheapest edits from the last row to the first: per state {c: cost, a: edits, r: turns}."""
+    after = repair.NEXT
+    option = lambda cost, edit, to, turn: f"{{'c': {cost} + {to}.c, 'a': '{edit}' || {to}.a, 'r': {f'[{turn}] || ' if turn else ''}{to}.r}}"
+    taken = []
+    for s in range(4):
+        kept = " ".join(f"WHEN NOT gone AND initial = '{i}' THEN {option('late', 'K', f'f{to[s]}', quoted)}" for i, to in repair.KEPT.items() if to[s] is not None for quoted in ["role || ':' || text"])
+        role = repair.ROLE[after[s]]
+        moved = f"CASE WHEN NOT gone THEN {option('2 + late', 'R', f'f{after[s]}', repr(role + ':') + ' || text')} END"
+        taken.append(f"list_min([{option('3', 'D', f'f{s}', '')}, CASE {kept} END, {moved}]) AS g{s}")
+    best = []
+    for s in range(4):
+        one, two = after[s], after[after[s]]
+        turn = lambda t: repr(repair.ROLE[t] + ":")
+        best.append(f"list_min([g{s}, {option('2', 'I', f'g{one}', turn(one))}, {option('4', 'II', f'g{two}', turn(one) + ', ' + turn(two))}]) AS f{s}")
+    none = "[]::VARCHAR[]"
+    ends = [f"{{'c': 0, 'a': '', 'r': {none}}}", "{'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}", "{'c': 2, 'a': 'I', 'r': ['assistant:']}", f"{{'c': 0, 'a': '', 'r': {none}}}"]
+    return f"""
+edits AS (
+  SELECT conv, count(*) AS pos, {", ".join(f"{e} AS f{s}" for s, e in enumerate(ends))} FROM judged GROUP BY conv
+  UNION ALL
+  SELECT conv, pos, {", ".join(best)} FROM (
+    SELECT j.conv, j.pos, {", ".join(taken)}
+    FROM edits e JOIN judged j ON j.conv IS NOT DISTINCT FROM e.conv AND j.pos = e.pos - 1))"""
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+WITH RECURSIVE crc(t) AS (
+  SELECT list(c ORDER BY i) FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+fated AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(str_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ord(x)::BIGINT),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM fated WHERE fate <> 0),
+numbered AS (
+  SELECT conv, turn, role, text, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM damaged),
+flagged AS (
+  SELECT *, regexp_full_match(text, '[\x20\x09-\x0D]*') AS is_blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS is_again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS is_cut, lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial AS pair
+  FROM numbered),
+judged AS (
+  SELECT conv, pos, turn, role, text, initial, pair, is_blank OR is_again AS gone, is_blank, NOT is_blank AND is_again AS is_again,
+         NOT is_blank AND NOT is_again AND is_cut AS is_cut, CASE WHEN NOT is_blank AND NOT is_again AND is_cut THEN 1 ELSE 0 END AS late
+  FROM flagged),"""
+    + _edits_sql()
+    + """,
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE is_blank) AS blank,
+         count(*) FILTER (WHERE is_again) AS duplicate, count(*) FILTER (WHERE is_cut) AS truncated,
+         count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(f0.c, 0)::BIGINT AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN edits e ON e.conv IS NOT DISTINCT FROM o.conv_id AND e.pos = 0""",
+)
+def op11_conversation_repair(spark, sf_dir):
+    return repair.repair_of_damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
