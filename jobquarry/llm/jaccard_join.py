@@ -5,9 +5,9 @@ A document is its set of 3-word shingles (*tokens*); documents with the same set
 either set x misses at most t(x) = |x| - ceil(percent * |x| / 100) of its tokens in the other.
 
 1. **Token classes.** All texts are counted into a sketch of 2**22 counters, whose rounded
-   logarithms (4 MB at any size of the corpus) go to every task. A token whose counter is
-   small is *rare* (class 1), then come *frequent* (2) and *very frequent* ones (3). The
-   sketch only decides what is cheap; every result is the same with any sketch.
+   logarithms (4 MB at any size of the corpus) go to every task. A token whose counter does
+   not stand out is *rare* (class 1), then come *frequent* (2) and *very frequent* ones (3).
+   The sketch only decides what is cheap; every result is the same with any sketch.
 2. **Extended prefixes.** Tokens are ordered by counter, then hash. Tokens of class k fall
    into groups; in a group, a prefix with p tokens loses all its k-combinations only after
    p - k + 1 misses. The prefix is extended until the groups together need t(x) + 1 misses.
@@ -18,7 +18,7 @@ either set x misses at most t(x) = |x| - ceil(percent * |x| / 100) of its tokens
    bands by powers of two; a set that may link into the next band is filed there too.
    Sets too small for the argument, and those that may link with them, are filed under
    the plain prefix of t(x) + 1 tokens as well.
-4. **Verification.** Members of a bucket meet by rounds of leaders (:mod:`leaders`) and are
+4. **Verification.** Members of a bucket meet by leaders and crowds (:mod:`leaders`) and are
    linked where their full sets are similar enough. Components of the links are the result.
 
 Texts are read three times and shuffled only where a class has someone to meet; what is
@@ -40,9 +40,13 @@ from jobquarry.llm.hashing import STEPS, mixed, shingle_sets
 from jobquarry.llm.leaders import components_of_buckets, similar_pairs
 
 #: The sketch has 2 ** SKETCH_BITS counters, sent in pieces.
-SKETCH_BITS, PIECES = 22, 64
-#: Largest counters of rare and of frequent tokens, as rounded logarithms to base 2.
-RARE, FREQUENT = 2, 8
+SKETCH_BITS, PIECES = 22, 16
+#: A level is this many times the logarithm to base 2 of a counter.
+STEPS_PER_OCTAVE = 4
+#: Counters of rare tokens reach this many times the mean, but ``LEAST`` at least: below
+#: that, a counter tells chance meetings in it rather than its tokens. Those of frequent
+#: ones reach ``FREQUENT`` times as much.
+RARE, LEAST, FREQUENT = 2, 4, 64
 #: Misses per group that a set at the lower end of its band can have.
 PER_GROUP = 4
 
@@ -107,41 +111,49 @@ def _slots(values: np.ndarray) -> np.ndarray:
 
 
 def _count(words: int):
-    """Counters of a task's texts, copies once, in pieces."""
+    """Counters of a task's texts, copies once, in pieces; they stop at 65,535 per task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
+        counters, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         for chunk in chunks(batches, "text"):
             values, at = shingle_sets(chunk.column("text"), words)
             new = _first_seen(_classes(values, at), seen)
             np.add.at(counters, _slots(values[np.repeat(new, np.diff(at))]), 1)
         if counters.any():
-            for i, piece in enumerate(np.split(counters, PIECES)):
+            short = np.minimum(counters, 0xFFFF).astype(np.uint16)
+            for i, piece in enumerate(np.split(short, PIECES)):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([piece.tobytes()], pa.binary())], ["piece", "counters"])
 
     return count
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the pieces that a task gets; only rounded logarithms leave the last step."""
+    """Sums of the pieces that a task gets; a byte per counter leaves it, and the total."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, data in zip(batch.column("piece").to_pylist(), batch.column("counters"), strict=True):
-            part = np.frombuffer(data.as_buffer(), np.int32)
+            part = np.frombuffer(data.as_buffer(), np.uint16)
             sums[i] = sums[i] + part if i in sums else part.astype(np.int64)
     for i, total in sums.items():
-        levels = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([levels.tobytes()], pa.binary())], ["piece", "levels"])
+        data = level_of(total).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data], pa.binary()), pa.array([int(total.sum())])], ["piece", "levels", "total"])
 
 
-def levels_of(rows: DataFrame, words: int) -> np.ndarray:
-    """The rounded logarithm of each counter: 2 ** SKETCH_BITS bytes, whatever the corpus."""
+def level_of(count: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.rint(STEPS_PER_OCTAVE * np.log2(np.maximum(count, 1)))).astype(np.uint8)
+
+
+def sketch_of(rows: DataFrame, words: int) -> tuple[np.ndarray, int, int]:
+    """The level of each counter (2 ** SKETCH_BITS bytes, whatever the corpus), and the
+    highest levels of rare and of frequent tokens."""
     counted = arrow_map(rows.select("text"), _count(words), "piece long, counters binary")
-    summed = arrow_map(counted.repartition(PIECES, "piece"), _sum, "piece long, levels binary")
-    levels = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.uint8)
+    summed = arrow_map(counted.repartition(PIECES, "piece"), _sum, "piece long, levels binary, total long")
+    levels, total = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.uint8), 0
     for row in summed.collect():
         levels[row.piece] = np.frombuffer(row.levels, np.uint8)
-    return levels.reshape(-1)
+        total += row.total
+    rare = max(LEAST, RARE * total >> SKETCH_BITS)
+    return levels.reshape(-1), int(level_of(np.array(rare))), int(level_of(np.array(FREQUENT * rare)))
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -156,14 +168,17 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.arange(len(keys)) - np.repeat(starts, lengths)
 
 
-def prefix_keys(values: np.ndarray, sizes: np.ndarray, bands: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(
+    values: np.ndarray, sizes: np.ndarray, bands: np.ndarray, sketch: tuple[np.ndarray, int, int], percent: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sets laid end to end in ``values``, and the number of the set of each key.
 
     ``bands`` below 0 ask for the plain prefix: all tokens count as rare.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    levels, rare, frequent = sketch
     level = levels[_slots(values)]
-    kind = np.where(bands[owner] < 0, 1, np.where(level <= RARE, 1, np.where(level <= FREQUENT, 2, 3)))
+    kind = np.where((bands[owner] < 0) | (level <= rare), 1, np.where(level <= frequent, 2, 3))
     misses = allowed_misses(sizes, percent)
     groups = groups_of(np.maximum(bands, 0), percent)
     order = np.lexsort((values, level, owner))
@@ -201,13 +216,13 @@ def prefix_keys(values: np.ndarray, sizes: np.ndarray, bands: np.ndarray, levels
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _file(levels, words: int, percent: int):
+def _file(levels, rare: int, frequent: int, words: int, percent: int):
     """The keys of each class, once per task."""
     small = small_below(percent)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        table = np.frombuffer(levels.value, np.uint8)
+        sketch = np.frombuffer(levels.value, np.uint8), rare, frequent
         for chunk in chunks(batches, "text"):
             values, at = shingle_sets(chunk.column("text"), words)
             classes, sizes = _classes(values, at), np.diff(at)
@@ -224,7 +239,7 @@ def _file(levels, words: int, percent: int):
                 at_rows = np.flatnonzero(rows)
                 if not len(at_rows):
                     continue
-                keys, owner = prefix_keys(values[np.repeat(rows, sizes)], sizes[rows], bands[rows], table, percent)
+                keys, owner = prefix_keys(values[np.repeat(rows, sizes)], sizes[rows], bands[rows], sketch, percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(classes[at_rows][owner].view(np.int64)), pa.array(sizes[at_rows][owner])], ["key", "node", "n"]
                 )
@@ -250,11 +265,12 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, text: str = "
         .select("node", "first.id", "first.fp"),
         "nodes",
     )
-    levels = docs.sparkSession.sparkContext.broadcast(levels_of(rows, words).tobytes())
-    filed = stored(arrow_map(rows.select("text"), _file(levels, words, percent), "key long, node long, n long"), "filed")
+    levels, rare, frequent = sketch_of(rows, words)
+    sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
+    filed = stored(arrow_map(rows.select("text"), _file(sent, rare, frequent, words, percent), "key long, node long, n long"), "filed")
     shared = filed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     members = stored(filed.join(stored(shared, "shared"), "key").distinct(), "bucketed")
-    roots = components_of_buckets(members, percent, lambda pairs: similar_pairs(pairs, nodes, rows, percent, words))
+    roots = components_of_buckets(members, nodes, rows, percent, words, lambda pairs: similar_pairs(pairs, nodes, rows, percent, words))
     labelled = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     component = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = stored(labelled.join(component, "root").select("node", "component_id"), "components")

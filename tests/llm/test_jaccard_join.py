@@ -68,20 +68,27 @@ def test_equals_all_pairs(spark, percent, seed):
     assert got(spark, rows, percent=percent) == brute(rows, percent)
 
 
+def test_large_buckets_in_crowds(spark, monkeypatch):
+    for name, value in (("SMALL", 3), ("BLOCK", 5), ("PASSING", 11), ("MEETING", 7)):
+        monkeypatch.setattr(leaders, name, value)
+    rows = corpus(6, groups=8, copies=50, longest=60)
+    assert got(spark, rows) == brute(rows)
+
+
 def test_any_token_classes_give_the_same(spark, monkeypatch):
     """All tokens frequent, all very frequent: combinations only, the same links."""
     rows = corpus(4, groups=12)
     want = brute(rows)
-    for rare, frequent in ((-1, 99), (-1, -1)):
-        monkeypatch.setattr(jaccard_join, "RARE", rare)
-        monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    sketch = jaccard_join.sketch_of
+    for rare, frequent in ((-1, 255), (-1, -1)):
+        monkeypatch.setattr(jaccard_join, "sketch_of", lambda *a, r=rare, f=frequent: (sketch(*a)[0], r, f))
         assert got(spark, rows) == want
 
 
 def test_linked_sets_share_a_key():
     """Random sets at the threshold, with random counters."""
     rnd = np.random.default_rng(5)
-    levels = rnd.integers(0, 12, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
+    sketch = rnd.integers(0, 12, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8), 2, 8
     for percent in (70, 90):
         small = jaccard_join.small_below(percent)
         for _ in range(150):
@@ -92,7 +99,7 @@ def test_linked_sets_share_a_key():
             sizes = np.array([len(x), len(y)])
             keys = [set(), set()]
             for bands in (np.log2(sizes).astype(int), np.log2(sizes * 100 // percent).astype(int)):
-                k, owner = jaccard_join.prefix_keys(np.concatenate([x, y]), sizes, bands, levels, percent)
+                k, owner = jaccard_join.prefix_keys(np.concatenate([x, y]), sizes, bands, sketch, percent)
                 for i in (0, 1):
                     keys[i] |= set(k[owner == i].tolist())
             assert keys[0] & keys[1]
