@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from jobquarry.operators.dedup import dedup_url
+from jobquarry.streaming.seen import SeenSet
 
 
 def ingest(
@@ -43,25 +42,28 @@ def ingest(
 
 
 def stream_dedup(
-    links: DataFrame, target: str, checkpoint: str, *order: str, url: str = "url"
+    links: DataFrame,
+    target: str,
+    checkpoint: str,
+    *order: str,
+    url: str = "url",
+    seen: str | None = None,
+    buckets: int = 64,
+    filter_bits: int = 1 << 17,
 ) -> StreamingQuery:
     """Append each URL's first row, over all runs, to ``target``.
 
-    The rows already in ``target`` are the seen-set, as a crawl's earlier output is, so
-    nothing has to be kept in a state store for ever. Each micro-batch owns one folder
-    and reads only earlier ones: a batch that is run again after a failure gives the
-    same result. Inside a batch the first row wins, with one row per URL and task
-    shuffled.
+    The URLs of earlier batches are a :class:`SeenSet` (at ``seen``; beside the target by
+    default), so a batch reads the filters of the buckets it touches, and URLs only of
+    those buckets where one of its own may have been seen. Each micro-batch owns its
+    folders: one that is run again after a failure gives the same result. Inside a batch
+    the first row wins, with one row per URL and task shuffled. Null URLs are one URL.
     """
+    table = seen or f"{target.rstrip('/')}-seen"
 
     def add_new(batch: DataFrame, batch_id: int) -> None:
-        fresh = dedup_url(batch, *order, url=url)
-        try:
-            earlier = batch.sparkSession.read.parquet(target).where(F.col("batch_id") < batch_id)
-            fresh = fresh.join(earlier.select(url), url, "left_anti")
-        except AnalysisException as err:  # the first batch: the table is not there yet
-            if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+        known = SeenSet(batch.sparkSession, table, buckets, filter_bits)
+        fresh = known.add(dedup_url(batch, *order, url=url), url, batch_id)
         fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
