@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobquarry.plans import process_urls as plan
 from jobquarry.queries.bindings import SAMPLE
-from jobquarry.queries.registry import query, table
+from jobquarry.queries.registry import query, split_table, table
 from jobquarry.queries.url_side import (
     FIRST_LINKS_SQL,
     FIRST_SQL,
@@ -16,52 +16,104 @@ from jobquarry.queries.url_side import (
     page_links,
 )
 from jobquarry.schema import POSTING_SCHEMA, conform_postings, postings_from_json
-from jobquarry.sources import readers, writers
+from jobquarry.sources import envelopes, readers, writers
+from jobquarry.sources.files import write_files
 from jobquarry.session import scratch_path
 from jobquarry.streaming.incremental import ingest, stream_dedup
 
 
-@query(
-    "read_listings",
-    WITH_LINKS + """
-SELECT page_url AS listing_url, pos, 'https://careers.example.com' || href AS url, substr(href, 2) AS title,
-       'x' || page_id AS tag
-FROM links""",
-)
-def read_listings(spark, sf):
-    """One envelope per page is written, one per line, and read back."""
-    links = table(spark, sf, "pages").select(
-        "url", "page_id",
-        F.transform(
-            F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)),
-            lambda href: F.struct(
-                F.concat(F.lit("https://careers.example.com"), href).alias("url"),
-                F.substr(href, F.lit(2)).alias("title"),
-                F.create_map(F.lit("tag"), F.concat(F.lit("x"), F.col("page_id"))).alias("metadata"),
-            ),
-        ).alias("jobs"),
+LISTINGS_SQL = WITH_LINKS + """
+SELECT CAST(page_id AS VARCHAR) AS file, page_url AS listing_url, pos, 'https://careers.example.com' || href AS url,
+       substr(href, 2) AS title, 'x' || page_id AS tag, CAST(NULL AS VARCHAR) AS reason
+FROM links WHERE NOT suffix(page_url, '.html') AND page_id % 10 <> 3
+UNION ALL
+SELECT CAST(page_id AS VARCHAR), CASE WHEN page_id % 10 = 3 THEN url END, NULL, NULL, NULL, NULL,
+       CASE WHEN page_id % 10 = 3 THEN 'no list of jobs' ELSE 'invalid JSON' END
+FROM pages WHERE suffix(url, '.html') OR page_id % 10 = 3"""
+
+
+def envelope_files(spark, sf):
+    """One envelope file per page: of several lines, without a list of jobs, or cut off."""
+    links = F.transform(
+        F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)),
+        lambda href: F.struct(
+            F.concat(F.lit("https://careers.example.com"), href).alias("url"),
+            F.substr(href, F.lit(2)).alias("title"),
+            F.create_map(F.lit("tag"), F.concat(F.lit("x"), F.col("page_id"))).alias("metadata"),
+        ),
     )
+    head = F.struct(F.col("url").alias("source_url"), F.size(links).alias("total_jobs"))
+    whole = F.to_json(F.struct(F.col("url").alias("source_url"), F.size(links).alias("total_jobs"), links.alias("jobs")), {"pretty": "true"})
+    text = F.when(F.col("page_id") % 10 == 3, F.to_json(head)).when(F.col("url").endswith(".html"), F.left(whole, F.length(whole) - 2)).otherwise(whole)
     path = scratch_path(spark, "listings")
-    links.select(
-        F.col("url").alias("source_url"), F.size("jobs").alias("total_jobs"), "jobs"
-    ).write.json(path)
-    rows = readers.read_listings(spark, path, multi_line=False)
-    return rows.select("listing_url", "pos", "url", "title", F.col("metadata")["tag"].alias("tag"))
+    write_files(split_table(spark, sf, "pages", "page_id"), path, F.concat("page_id", F.lit(".json")), text)
+    return path
+
+
+def listing_columns(rows):
+    return rows.select(
+        F.regexp_extract("file_path", r"([^/]*)\.json$", 1).alias("file"), "listing_url", "pos", "url", "title",
+        F.col("metadata")["tag"].alias("tag"), "reason",
+    )
+
+
+@query("read_listings", LISTINGS_SQL)
+def read_listings(spark, sf):
+    """Envelope files of many lines, some of them broken, read whole."""
+    return listing_columns(readers.read_listings(spark, envelope_files(spark, sf)))
+
+
+@query("read_huge_listings", LISTINGS_SQL)
+def read_huge_listings(spark, sf):
+    """The same files read in pieces, as one huge envelope would be."""
+    return listing_columns(envelopes.read_huge_listings(spark, envelope_files(spark, sf)))
+
+
+@query("read_html_dump", "SELECT 'page ' || page_id AS file_stem, md5(html) AS html_md5 FROM pages WHERE html <> ''")
+def read_html_dump(spark, sf):
+    """One html file per page, as a crawl leaves them."""
+    path = scratch_path(spark, "dump")
+    pages = split_table(spark, sf, "pages", "page_id")
+    write_files(pages, path, F.concat(F.lit("page "), "page_id", F.lit(".html")), F.col("html"))
+    return readers.read_html_dump(spark, path).select("file_stem", F.md5("html").alias("html_md5"))
 
 
 @query(
-    "read_html_dump",
+    "read_packed_dump",
     """
 SELECT regexp_replace(regexp_extract(url, '([^/]+//?[^/]*)$', 1), '[.][^.]*$', '') AS file_stem,
        md5(html) AS html_md5 FROM pages""",
 )
-def read_html_dump(spark, sf):
-    """The packed form of a dump; the one-file-per-page form is read in the tests."""
+def read_packed_dump(spark, sf):
+    """The packed form of a dump, in one table."""
     name = F.regexp_extract("url", "([^/]+//?[^/]*)$", 1)
     pages = readers.read_packed_dump(spark, f"{sf}/pages.parquet", name)
     return pages.select("file_stem", F.md5("html").alias("html_md5"))
 
 
+@query(
+    "read_latest_snapshots",
+    """
+SELECT 'c' || page_id % 40 AS company, CAST(page_id * 31 % 7 AS VARCHAR) AS snapshot, page_id, md5(url) AS url_md5
+FROM pages WHERE page_id % 9 <> 4
+QUALIFY rank() OVER (PARTITION BY page_id % 40 ORDER BY page_id * 31 % 7 DESC) = 1""",
+)
+def read_latest_snapshots(spark, sf):
+    """A tree of one JSON file per page below company and snapshot; some snapshots are no numbers."""
+    path = scratch_path(spark, "tree")
+    number = (F.col("page_id") * 31 % 7).cast("string")
+    snapshot = F.when(F.col("page_id") % 9 == 4, F.concat(F.lit("v9"), number)).otherwise(number)
+    name = F.concat(F.lit("c"), F.col("page_id") % 40, F.lit("/"), snapshot, F.lit("/"), "page_id", F.lit(".json"))
+    write_files(split_table(spark, sf, "pages", "page_id"), path, name, F.to_json(F.struct("page_id", "url")))
+    rows = readers.read_latest_snapshots(spark, path).where("readable")
+    parts = r"([^/]+)/([^/]+)/[^/]+$"
+    fields = F.from_json("document", "page_id long, url string")
+    return rows.select(
+        F.regexp_extract("file_path", parts, 1).alias("company"), F.regexp_extract("file_path", parts, 2).alias("snapshot"),
+        fields["page_id"].alias("page_id"), F.md5(fields["url"]).alias("url_md5"),
+    )
+
+
 @query(
     "latest_snapshot",
     """
@@ -114,10 +166,11 @@ def write_postings(spark, sf):
 
 @query("read_postings_tree", POSTINGS_SQL)
 def read_postings_tree(spark, sf):
-    """Postings below company and snapshot folders, one JSON text per line."""
+    """Postings below company and snapshot folders, one JSON file per posting."""
     path = scratch_path(spark, "tree")
-    writers.write_postings(conform_postings(link_postings(spark, sf)), f"{path}/sample/1")
-    return posting_columns(readers.read_postings_tree(spark, path, one_per_file=False))
+    rows = writers.posting_json(conform_postings(link_postings(spark, sf)), "job_id")
+    write_files(rows, path, F.concat(F.lit("sample/1/"), "job_id", F.lit(".json")), F.col("posting"))
+    return posting_columns(readers.read_postings_tree(spark, path))
 
 
 def posting_documents(spark, sf):
@@ -209,11 +262,9 @@ SELECT url, job_id, lang AS title, (SELECT count(*) FROM checked) AS original_to
 FROM firsts""",
 )
 def write_processed_envelope(spark, sf):
-    """The written summary beside each of the written rows."""
+    """The written summary beside each of the written rows, counted while they were written."""
     path = scratch_path(spark, "processed")
-    rows = listing_input(spark, sf)
-    header = plan.processed_header(plan.processing_stats(rows, SAMPLE), "pages", SAMPLE.company_name, 1)
-    writers.write_processed(plan.process_urls(rows, SAMPLE, "page_id").drop("page_id"), header, path)
+    plan.run_process_urls(listing_input(spark, sf), SAMPLE, path, "pages", 1, "page_id")
     summary = spark.read.json(f"{path}/summary").first()  # one row by construction
     return spark.read.json(f"{path}/jobs").select(
         "url", "job_id", "title",
@@ -246,10 +297,9 @@ def index_corpus(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", label.alias("company"), spoilt.alias("embedding"))
     path = scratch_path(spark, "corpus")
     writers.index_corpus(rows, "embedding", 64, path, "company")
-    searchable = F.col("searchable").cast("boolean")
-    return spark.read.parquet(path).select(
-        "vec_id", "company", "reason", searchable.alias("searchable"),
-        F.when(searchable, F.size("embedding").cast("long")).alias("dims"),
+    return writers.read_indexed(spark, path).select(
+        "vec_id", "company", "reason", "searchable",
+        F.when(F.col("searchable"), F.size("embedding").cast("long")).alias("dims"),
     )
 
 

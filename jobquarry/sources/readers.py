@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,34 +9,39 @@ from pyspark.sql import functions as F
 
 from jobquarry.functions.json_types import is_json, one_value
 from jobquarry.schema import LISTING_SCHEMA, POSTING_SCHEMA, conform_postings
+from jobquarry.session import stored
+from jobquarry.sources.envelopes import BAD_ENVELOPE, NO_JOBS
+from jobquarry.sources.files import opens_in_tasks
+from jobquarry.sources.snapshots import file_texts, folder_files, snapshot_folders
 
 
-def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_listings(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Listing envelopes as one row per job, in the envelope's order.
 
     ``pos`` is the place in the envelope. A crawl's single JSON document needs
-    ``multi_line``; envelopes kept one per line do not, and split over tasks.
+    ``multi_line``; envelopes kept one per line do not, and split over tasks. An envelope
+    that is no JSON, or has no list of jobs, is one row with its ``reason``, which is null
+    for jobs. ``read_huge_listings`` cuts an envelope too large for one row.
     """
-    envelopes = (
-        spark.read.schema(LISTING_SCHEMA)
-        .option("multiLine", multi_line)
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
-    )
-    return envelopes.select(
-        "file_path",
-        F.col("source_url").alias("listing_url"),
-        "company_name",
-        "total_pages_crawled",
-        F.posexplode("jobs").alias("pos", "job"),
-    ).select(
+    texts = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    texts = texts.where(F.trim("text", F.lit(" \t\r\n")) != "")
+    # Parsed once; only a text without a list is looked at again.
+    parsed = texts.select("*", F.explode(F.array(one_value(F.col("text"), LISTING_SCHEMA.simpleString()))).alias("_e"))
+    reason = F.when(F.col("_e.jobs").isNull(), F.when(is_json(F.col("text")), F.lit(NO_JOBS)).otherwise(F.lit(BAD_ENVELOPE)))
+    # The reason is settled below the generator, so that no row carries the whole list.
+    judged = parsed.select(
         "file_path",
-        "listing_url",
-        "company_name",
-        "total_pages_crawled",
-        F.col("pos").cast("long").alias("pos"),
-        "job.*",
+        F.col("_e.source_url").alias("listing_url"),
+        "_e.company_name",
+        "_e.total_pages_crawled",
+        reason.alias("reason"),
+        "_e.jobs",
+    )
+    header = ["file_path", "listing_url", "company_name", "total_pages_crawled"]
+    rows = judged.select(*header, "reason", F.posexplode_outer("jobs").alias("pos", "job")).where(
+        F.col("job").isNotNull() | F.col("reason").isNotNull()
     )
+    return rows.select(*header, F.col("pos").cast("long").alias("pos"), "job.*", "reason")
 
 
 def read_html_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -46,11 +50,16 @@ def read_html_dump(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("pathGlobFilter", "*.html")
         .option("recursiveFileLookup", False)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("html"))
+        .select(_decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("html"))
     )
     return with_file_stem(pages)
 
 
+def _decoded(name: Column) -> Column:
+    """A file's name as it is; Spark gives it with its blanks and signs encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_packed_dump(spark: SparkSession, path: str, name: Column, html: str = "html") -> DataFrame:
     """A dump packed into parquet, for page counts no file system likes as files."""
     packed = spark.read.parquet(path).select(name.alias("file_name"), F.col(html).alias("html"))
@@ -69,9 +78,8 @@ def latest_snapshot(df: DataFrame, company: str, snapshot: str) -> DataFrame:
     rows when that side is small enough for Spark to broadcast it.
     """
     # Digits of any length: the longer number is greater, then the later text.
-    digits = F.regexp_replace(snapshot, "^0+(?=.)", "")
-    number = F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
-    numbered = df.withColumn("_snapshot", F.when(F.col(snapshot).rlike(r"\A[0-9]+\z"), number))
+    digits = F.ltrim(F.col(snapshot), F.lit("0"))
+    numbered = df.withColumn("_snapshot", F.when(F.col(snapshot).rlike(r"\A[0-9]+\z"), F.struct(F.length(digits), digits)))
     newest = (
         numbered.where(F.col("_snapshot").isNotNull())
         .groupBy(company)
@@ -80,44 +88,28 @@ def latest_snapshot(df: DataFrame, company: str, snapshot: str) -> DataFrame:
     return numbered.join(newest, [company, "_snapshot"], "left_semi").select(*df.columns)
 
 
-def _root_pattern(root: str) -> str:
-    """A pattern for a root folder at the start of a file's full path, with or without scheme."""
-    below = posixpath.normpath(re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", root)).strip("/")
-    return rf"[^:]*:?/*(?:.*?/)?\Q{below}\E"
-
-
-def snapshot_files(spark: SparkSession, root: str) -> DataFrame:
-    """JSON files anywhere below ``root/company/snapshot/``: (path, company, snapshot).
-
-    File contents are not read: only the path column of the binary source is used.
-    """
-    parts = f"^{_root_pattern(root)}/([^/]+)/([^/]+)/.+$"
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.json")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .where(F.col("path").rlike(parts))
-        .select(
-            "path",
-            F.regexp_extract("path", parts, 1).alias("company"),
-            F.regexp_extract("path", parts, 2).alias("snapshot"),
-        )
-    )
+def newest_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Company, snapshot and folder of every company's newest snapshot, with or without files."""
+    return latest_snapshot(snapshot_folders(spark, root), "company", "snapshot")
 
 
 def read_latest_snapshots(spark: SparkSession, root: str, one_per_file: bool = True) -> DataFrame:
-    """Documents of every company's newest snapshot folder.
+    """Documents of every company's newest snapshot folder, that is, of no other one.
 
-    The folders to read (one per company, a directory listing) are settled first, so
-    old snapshots are never scanned.
+    Folders are listed and files are read in tasks (:mod:`snapshots`), and no path passes
+    through the driver. Only where tasks cannot open the file system, the newest folders
+    (one per company) are handed to Spark's reader by name.
     """
-    newest = latest_snapshot(snapshot_files(spark, root), "company", "snapshot")
-    folders = newest.select(
-        F.regexp_extract("path", f"^({_root_pattern(root)}/[^/]+/[^/]+)/", 1).alias("folder")
-    ).distinct()
+    newest = newest_folders(spark, root)
+    if opens_in_tasks(root):
+        files = stored(folder_files(newest, "folder", ".json", "company", "snapshot"), "files")
+        texts = file_texts(files)
+        if not one_per_file:
+            lines = F.explode(F.split("document", "\r\n|\r|\n"))
+            texts = texts.select("file_path", lines.alias("document")).where("document <> ''")
+        return texts.select("*", F.explode(F.array(is_json(F.col("document")))).alias("readable"))
     # Paths are read as patterns, so signs of patterns in folder names are escaped.
-    paths = [re.sub(r"([*?\[\]{}\\])", r"\\\1", row.folder) for row in folders.toLocalIterator()]
+    paths = [re.sub(r"([*?\[\]{}\\])", r"\\\1", row.folder) for row in newest.toLocalIterator()]
     return read_json_documents(spark, paths, one_per_file) if paths else read_no_documents(spark)
 
 
