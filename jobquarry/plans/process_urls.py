@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobquarry.config import PatternConfig
 from jobquarry.functions.urls import UrlRule
 from jobquarry.operators.dedup import dedup_job_id
+from jobquarry.sources.writers import write_processed
 
 # Listing fields carried over, and fields taken from the URL.
 LISTING_COLUMNS = [
@@ -95,3 +96,31 @@ def processed_header(stats: DataFrame, source_url: str, company: str, pages_craw
         F.lit(company).alias("company_name"),
         F.lit(pages_crawled).cast("long").alias("total_pages_crawled"),
     )
+
+
+def run_process_urls(
+    rows: DataFrame, config: PatternConfig, path: str, source_url: str, pages_crawled: int, *order: str
+) -> DataFrame:
+    """Validate, deduplicate and write listing rows, counting them on the way; returns the summary.
+
+    The input is read once. Two writes without a shuffle behind their counting points
+    observe the counts, so tasks and stages that are run again count once: the valid rows
+    (original and valid counts), then the first row of each job id (the final count).
+    """
+    spark = rows.sparkSession
+    seen, kept = Observation(), Observation()
+    checked = validate_urls(rows, config).observe(
+        seen, F.count(F.lit(1)).alias("original"), F.count_if("valid").alias("valid")
+    )
+    processed_rows(checked.where("valid"), *order).write.mode("errorifexists").parquet(f"{path}/valid")
+    firsts = dedup_job_id(spark.read.parquet(f"{path}/valid"), *order)
+    firsts = firsts.observe(kept, F.count(F.lit(1)).alias("final"))
+    firsts.write.mode("errorifexists").parquet(f"{path}/firsts")
+    original, valid, final = (int(o.get.get(n) or 0) for o, n in ((seen, "original"), (seen, "valid"), (kept, "final")))
+    stats = spark.createDataFrame(
+        [(original, valid, original - valid, valid - final, final)],
+        "original_count long, valid_count long, invalid_count long, duplicate_count long, final_count long",
+    )
+    header = processed_header(stats, source_url, config.company_name, pages_crawled)
+    write_processed(spark.read.parquet(f"{path}/firsts"), header, path)
+    return header
