@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobquarry.session import stored
+
 # Fixed value: as many empty pages in a row end a crawl.
 MAX_EMPTY_PAGES = 5
-RUN_CHUNK = 4096
 
 
 def first_rows(df: DataFrame, key: Column | list[Column], *order: str) -> DataFrame:
@@ -98,21 +99,23 @@ def empty_page_runs(
     job_count: str,
     *keep: str,
     limit: int = MAX_EMPTY_PAGES,
-    chunk: int = RUN_CHUNK,
 ) -> DataFrame:
     """Length of the run of empty pages that each page ends, per crawl.
 
-    A crawl is cut into chunks of page numbers, so one huge crawl is not one task: runs
-    are counted inside each chunk, then one row per chunk carries the open run over the
-    border. Page numbers must be whole numbers, unique within a crawl.
+    Rows are cut into chunks by their rank in (crawl, page number), as Spark's range
+    partitioning deals them, so one huge crawl is not one task, however far apart its page
+    numbers lie. Runs are counted inside each chunk of a crawl, then one row per chunk
+    carries the open run over the border. Page numbers must be whole numbers, unique
+    within a crawl.
     """
-    flagged = pages.select(
+    ranged = pages.select(
         crawl,
         page_number,
         *keep,
-        F.expr(f"`{page_number}` div {chunk}").alias("_chunk"),
         (F.coalesce(F.col(job_count), F.lit(0)) == 0).alias("is_empty"),
-    )
+    ).repartitionByRange(crawl, page_number)
+    # Stored, so that every later step sees the same chunks.
+    flagged = stored(ranged.withColumn("_chunk", F.spark_partition_id()), "ranged")
     inside = Window.partitionBy(crawl, "_chunk").orderBy(page_number)
     local = flagged.withColumn("_at", F.row_number().over(inside)).withColumn(
         "_filled_at",

@@ -54,10 +54,34 @@ def test_empty_runs_against_a_loop(spark):
         run[crawl] = run.get(crawl, 0) + 1 if not jobs else 0
         want[crawl, page] = run[crawl]
     df = spark.createDataFrame(rows, "crawl string, page int, jobs int").repartition(5)
-    for chunk in (7, 1, 4096):
-        got = dedup.empty_page_runs(df, "crawl", "page", "jobs", chunk=chunk).collect()
-        assert {(r.crawl, r.page): r.empty_run for r in got} == want
-        assert all(r.limit_reached == (r.empty_run >= 5) for r in got)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for pieces in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", pieces)
+            got = dedup.empty_page_runs(df, "crawl", "page", "jobs").collect()
+            assert {(r.crawl, r.page): r.empty_run for r in got} == want
+            assert all(r.limit_reached == (r.empty_run >= 5) for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sparse_page_numbers_keep_tasks_even(spark, monkeypatch):
+    """One crawl with page numbers 4,096 apart is dealt like any other."""
+    held = []
+    monkeypatch.setattr(dedup, "stored", lambda df, name: held.append(df.cache()) or held[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(40_000).select(F.lit("c").alias("crawl"), (F.col("id") * 4096).alias("page"), (F.col("id") % 9 == 0).cast("int").alias("jobs"))
+        found = dedup.empty_page_runs(rows, "crawl", "page", "jobs")
+        assert found.where("empty_run = 8").count() == 40_000 // 9
+        sizes = [r["count"] for r in held[0].groupBy("_chunk").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for df in held:
+            df.unpersist()
 
 
 def test_merge_and_counts(spark):
@@ -255,6 +279,23 @@ def test_corpus_rejections(spark, tmp_path):
     assert readers and writers.read_corpus(spark, str(tmp_path / "c")).count() == 2  # indexing appends
 
 
+def test_an_append_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    rows = lambda ids: spark.createDataFrame([(i, [1.0, float(i)] if i else None) for i in ids], "i int, e array<float>")
+    writers.index_corpus(rows([0, 1]), "e", 2, path, batch="run 1/a")
+    with monkeypatch.context() as broken:
+        # The folder of the data is named, that of the commit no more.
+        calls, whole = [], writers.quote
+        broken.setattr(writers, "quote", lambda name, safe: 1 / 0 if calls else calls.append(1) or whole(name, safe))
+        with pytest.raises(ZeroDivisionError):
+            writers.index_corpus(rows([2, 3]), "e", 2, path, batch="2")
+    assert sorted(r.i for r in writers.read_indexed(spark, path).collect()) == [0, 1]
+    for _ in range(2):
+        writers.index_corpus(rows([2, 3, 4]), "e", 2, path, batch="2")
+    assert sorted(r.i for r in writers.read_indexed(spark, path).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.i for r in writers.read_corpus(spark, path).collect()) == [1, 2, 3, 4]
+
+
 def test_document_pages_in_order(spark):
     pages = [(d, p, f"<{d}.{p}>") for d in (1, 2) for p in range(700)]
     df = spark.createDataFrame(pages, "doc long, page long, text string").repartition(7)
