@@ -189,29 +189,33 @@ def page_frontier(spark, sf):
 @query(
     "detect_page_count",
     """
-SELECT page_id, CASE page_id % 5 WHEN 1 THEN page_id % 97 + 3 WHEN 2 THEN 12 WHEN 3 THEN (page_id * 7 + 19) // 20
-       WHEN 4 THEN 1 ELSE CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS BIGINT) END AS page_count,
-       page_id % 5 = 3 AND page_id * 7 > 20 * 150 AS capped_at_150
-FROM pages WHERE page_id > 5""",
+SELECT page_id, 'own' AS kind, CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS BIGINT) AS page_count, FALSE AS capped_at_150 FROM pages
+UNION ALL SELECT page_id, 'links', page_id % 97 + 3, FALSE FROM pages
+UNION ALL SELECT page_id, 'last', 12, FALSE FROM pages
+UNION ALL SELECT page_id, 'line', (page_id * 7 + 40) // 20, page_id * 7 + 21 > 20 * 150 FROM pages
+UNION ALL SELECT page_id, 'none', 1, FALSE FROM pages""",
 )
 def detect_page_count(spark, sf):
-    """Every way a page can show it: a text, links with numbers, a last link, a result line, or nothing."""
-    pages = split_table(spark, sf, "pages", "page_id").where("page_id > 5")
-    kind = F.col("page_id") % 5
+    """Every page's own html, and for every page each other way a page can show its count.
+
+    Those are links with numbers, a last link, a result line, or nothing.
+    """
+    pages = split_table(spark, sf, "pages", "page_id")
+    number = F.col("page_id")
+    made = {
+        "links": F.format_string("<a href='?page=2'>2</a><a href='?page=%d'>more</a>", (number % 97 + 3).cast("int")),
+        "last": F.lit("<a href='?page=0'>1</a><a href='?page=12'>Last »</a>"),
+        "line": F.format_string("<p class='pager'><a class='next'>n</a></p>1-20 of %d results", number * 7 + 21),
+        "none": F.lit("<p>1-20 of 400 results</p>"),
+    }
     plain = PatternConfig({"pagination": {}})
-    with_links = pages.where(kind == 1).withColumn(
-        "html", F.format_string("<a href='?page=2'>2</a><a href='?page=%d'>more</a>", (F.col("page_id") % 97 + 3).cast("int"))
-    )
-    with_last = pages.where(kind == 2).withColumn("html", F.lit("<a href='?page=0'>1</a><a href='?page=12'>Last »</a>"))
-    with_line = pages.where(kind == 3).withColumn(
-        "html", F.format_string("<p class='pager'><a class='next'>n</a></p>1-20 of %d results", F.col("page_id") * 7)
-    )
-    with_none = pages.where(kind == 4).withColumn("html", F.lit("<p>1-20 of 400 results</p>"))
-    texts = links.detect_page_count(pages.where(kind == 0), SAMPLE, "page_id")
-    counted = links.detect_page_count(with_links.unionByName(with_last).unionByName(with_line).unionByName(with_none), plain, "page_id")
-    cut = links.detect_page_count(with_line, plain, "page_id", cap=150).where("capped").select("page_id", F.lit(True).alias("cut"))
-    found = texts.union(counted).join(cut, "page_id", "left")
-    return found.select("page_id", "page_count", F.coalesce("cut", F.lit(False)).alias("capped_at_150"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), html.alias("html")) for k, html in made.items())))
+    cases = pages.select("page_id", kinds.alias("case")).select("page_id", "case.kind", "case.html")
+    own = links.detect_page_count(pages.withColumn("kind", F.lit("own")), SAMPLE, "page_id", "kind")
+    found = own.unionByName(links.detect_page_count(cases, plain, "page_id", "kind")).drop("capped")
+    cut = links.detect_page_count(cases.where("kind = 'line'"), plain, "page_id", "kind", cap=150)
+    cut = cut.where("capped").select("page_id", "kind", F.lit(True).alias("cut"))
+    return found.join(cut, ["page_id", "kind"], "left").select("page_id", "kind", "page_count", F.coalesce("cut", F.lit(False)).alias("capped_at_150"))
 
 
 @query(
