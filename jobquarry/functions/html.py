@@ -496,23 +496,27 @@ class LinkRule:
 
 
 def page_links(html: Column, selector_rules: list[dict]) -> Column:
-    """Links of a page in selector and document order, each with its metadata map."""
+    """``links`` of a page in selector and document order, each with its metadata map.
+
+    A page that cannot be read has no links and a ``failure``, which is null otherwise.
+    """
     rules = [LinkRule.compile(rule) for rule in selector_rules]
-    arrow_type = pa.list_(
+    links_type = pa.list_(
         pa.struct([("link", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])
     )
+    arrow_type = pa.struct([("links", links_type), ("failure", pa.string())])
 
-    @F.arrow_udf("array<struct<link: string, metadata: map<string,string>>>")
+    @F.arrow_udf("struct<links: array<struct<link: string, metadata: map<string,string>>>, failure: string>")
     def read_links(batch: pa.Array) -> pa.Array:
-        def links(html: str | None):
-            if html is None:
-                return []
-            try:
-                page = Page(html)
-                return [link for rule in rules for link in rule.read(page)]
-            except Exception:  # as in the crawl, a bad page yields no links
-                return []
-
-        return pa.array((links(html.as_py()) for html in batch), type=arrow_type)
+        return pa.array((links_of(html.as_py(), rules) for html in batch), type=arrow_type)
 
     return read_links(html)
+
+
+def links_of(html: str | None, rules: list[LinkRule]) -> dict:
+    """The links of one page, or why it has none."""
+    try:
+        page = Page(html or "")
+        return {"links": [link for rule in rules for link in rule.read(page)], "failure": None}
+    except Exception as err:  # as in the crawl, a bad page yields no links
+        return {"links": [], "failure": f"{type(err).__name__}: {err}"}

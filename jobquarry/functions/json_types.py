@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # In a mix of types the later one wins.
@@ -95,3 +98,54 @@ def document_fields(document: Column) -> Column:
 def document_keys(document: Column) -> Column:
     """The keys of a JSON object; null when the text is not one."""
     return F.map_keys(one_value(document, "map<string,string>"))
+
+
+def with_field_ranks(documents: DataFrame, document: str, list_levels: int, *keep: str, names: list[str] | None = None) -> DataFrame:
+    """``keep``, the ``_keys`` of a JSON object and the ``_ranks`` of its values' types.
+
+    Both are null for a text that is not one object. ``names`` leaves other fields out of
+    the ranks. Fields are typed as variants; where an object has no variant form (an inner
+    object repeats a key, or it is too large), its text is read by the JSON library instead,
+    which gives the same ranks.
+    """
+    known = F.array(*map(F.lit, names or [])).cast("array<string>")
+
+    def typed(fields: Column) -> Column:
+        kept = fields if names is None else F.map_filter(fields, lambda k, _: F.array_contains(known, k))
+        return F.transform_values(kept, lambda _, v: value_rank(v, list_levels))
+
+    text = F.col(document)
+    # Outer generators of one row each, so that nothing is parsed once per use.
+    by_variant = F.get(F.transform(F.array(document_fields(text)), typed), 0)
+    read = documents.select(*keep, text.alias("_text"), F.explode_outer(F.array(F.struct(by_variant.alias("ranks"), document_keys(text).alias("keys")))).alias("_read"))
+    others = _ranks_of_text(list_levels, names)(F.when(F.col("_read.ranks").isNull(), F.col("_text")))
+    both = read.select(*keep, "_read", F.explode_outer(others).alias("_other"))
+    return both.select(*keep, F.col("_read.keys").alias("_keys"), F.coalesce("_read.ranks", "_other").alias("_ranks"))
+
+
+def _ranks_of_text(list_levels: int, names: list[str] | None):
+    def rank(value, levels: int) -> int | None:
+        if isinstance(value, bool):
+            return 2
+        if isinstance(value, int):
+            return 3 if abs(value) < 10**38 else 4
+        if isinstance(value, (str, float, dict)):
+            return {str: 1, float: 4, dict: 5}[type(value)]
+        if isinstance(value, list) and levels:
+            return max((r for r in (rank(v, levels - 1) for v in value) if r), default=None)
+        return None
+
+    @F.arrow_udf("array<map<string,int>>")
+    def ranks(batch: pa.Array) -> pa.Array:
+        def one(text: str | None):
+            try:
+                found = json.loads(text) if text is not None else None
+            except (ValueError, RecursionError):
+                return None
+            if not isinstance(found, dict):
+                return None
+            return [[(k, rank(v, list_levels)) for k, v in found.items() if names is None or k in names]]
+
+        return pa.array((one(t.as_py()) for t in batch), pa.list_(pa.map_(pa.string(), pa.int32())))
+
+    return ranks

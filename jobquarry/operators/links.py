@@ -37,9 +37,9 @@ def extract_links(
     base = F.lit(home_url) if isinstance(home_url, str) else home_url
     links = unnest(
         pages.select(
-            *keep, base.alias("_home"), page_links(F.col(html), config.link_selectors).alias("_links")
+            *keep, base.alias("_home"), page_links(F.col(html), config.link_selectors).alias("_read")
         ),
-        F.col("_links"),
+        F.col("_read.links"),
         *keep,
         "_home",
         item="_link",
@@ -50,6 +50,16 @@ def extract_links(
     return found.where(is_job_url(F.col("url"))) if job_urls_only else found
 
 
+def unread_pages(pages: DataFrame, config: PatternConfig, *keep: str, html: str = "html") -> DataFrame:
+    """``keep`` and the ``failure`` of pages whose links could not be read.
+
+    They have no rows in ``extract_links``, and must not pass for pages without jobs.
+    """
+    config.require("job_url_selectors")
+    read = pages.select(*keep, page_links(F.col(html), config.link_selectors).alias("_read"))
+    return read.select(*keep, F.col("_read.failure").alias("failure")).where("failure IS NOT NULL")
+
+
 def listing_rows(links: DataFrame, company: str, source_url: str, *keep: str) -> DataFrame:
     """Link rows in listing layout, absent metadata as ''."""
     return links.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobquarry.config import PatternConfig
-from jobquarry.functions.json_types import document_fields, document_keys, is_json, rank_type, value_rank
+from jobquarry.functions.json_types import document_keys, is_json, rank_type, with_field_ranks
 from jobquarry.functions.text import strip
 from jobquarry.operators.unnest import unnest
 
@@ -17,28 +17,21 @@ def infer_field_types(documents: DataFrame, document: str) -> DataFrame:
     The maximum of the type ranks decides, so each task sends one row per field. Texts
     that are no JSON object have no fields; ``unreadable_documents`` counts them.
     """
-    entries = unnest(documents, F.map_entries(document_fields(F.col(document))), item="entry")
-    ranked = entries.select(
-        F.col("entry.key").alias("field"), value_rank(F.col("entry.value"), 1).alias("rank")
-    )
+    entries = unnest(with_field_ranks(documents, document, 1), F.map_entries("_ranks"), item="entry")
     return (
-        ranked.groupBy("field")
-        .agg(F.max("rank").alias("rank"))
+        entries.groupBy(F.col("entry.key").alias("field"))
+        .agg(F.max("entry.value").alias("rank"))
         .select("field", rank_type(F.col("rank")).alias("field_type"))
     )
 
 
-NOT_AN_OBJECT, NOT_TYPED = "not an object", "an inner object repeats a key"
+NOT_AN_OBJECT = "not an object"
 
 
 def unreadable_documents(documents: DataFrame, document: str) -> DataFrame:
     """How many documents ``infer_field_types`` could not look into, by ``reason``."""
     text = F.col(document)
-    reason = (
-        F.when(~is_json(text), F.lit(NOT_JSON))
-        .when(document_keys(text).isNull(), F.lit(NOT_AN_OBJECT))
-        .when(document_fields(text).isNull(), F.lit(NOT_TYPED))
-    )
+    reason = F.when(~is_json(text), F.lit(NOT_JSON)).when(document_keys(text).isNull(), F.lit(NOT_AN_OBJECT))
     return documents.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(
         F.count(F.lit(1)).alias("documents")
     )
@@ -71,26 +64,20 @@ def check_mapping(
     """
     names = F.array(*(F.lit(name) for name in expected)).cast("array<string>")
     types = F.create_map(*(F.lit(x) for pair in expected.items() for x in pair)) if expected else None
-    fields = F.col("_fields")
+    ranks, keys = F.col("_ranks"), F.col("_keys")
     issue = lambda name, kind, got, want: F.struct(
         name.alias("field"), F.lit(kind).alias("issue"), got.alias("got"), want.alias("expected")
     )
     nothing = F.lit(None).cast("string")
     want = lambda name: F.try_element_at(types, name)
-    missing = F.transform(
-        F.filter(names, lambda n: ~F.array_contains(F.map_keys(fields), n)),
-        lambda n: issue(n, MISSING_KEY, nothing, want(n)),
-    )
-    got = lambda entry: rank_type(value_rank(entry["value"], 2))
-    compared = F.transform(
-        F.filter(F.map_entries(fields), lambda e: F.array_contains(names, e["key"])),
-        lambda e: issue(e["key"], TYPE_MISMATCH, got(e), want(e["key"])),
-    )
+    missing = F.transform(F.array_except(names, keys), lambda n: issue(n, MISSING_KEY, nothing, want(n)))
+    compared = F.transform(F.map_entries(ranks), lambda e: issue(e["key"], TYPE_MISMATCH, rank_type(e["value"]), want(e["key"])))
     wrong = F.filter(compared, lambda i: ~i["got"].eqNullSafe(i["expected"]))
     unreadable = F.array(issue(nothing, NOT_JSON, nothing, nothing))
-    parsed = documents.select(*keep, document_fields(F.col(document)).alias("_fields"))
-    issues = F.when(fields.isNull(), unreadable).otherwise(F.concat(missing, wrong))
-    return unnest(parsed, issues, *keep, item="_issue").select(*keep, "_issue.*")
+    # Only expected fields are typed; the keys are listed once.
+    typed = with_field_ranks(documents, document, 2, *keep, names=list(expected))
+    issues = F.when(ranks.isNull(), unreadable).otherwise(F.concat(missing, wrong))
+    return unnest(typed, issues, *keep, item="_issue").select(*keep, "_issue.*")
 
 
 def mapping_passed(documents: DataFrame, document: str, expected: dict[str, str], *keep: str) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +16,9 @@ from jobquarry.functions.vectors import (
     embed_text,
     vector_matrix,
 )
-from jobquarry.session import shared_file, stored
+from jobquarry.session import stored
 
-# Query vectors held at once in a task, and corpus vectors they meet.
+# Query vectors broadcast at once, and corpus vectors they meet.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 CORPUS_BLOCK_BYTES = 32 * 1024 * 1024
 
@@ -64,9 +63,10 @@ def knn_search(
     and the vector of the corpus are read.
 
     The query side is computed once and stored in the shared folder. The corpus stays
-    where it lies: each task takes a block of it at a time, reads the stored queries block
-    by block, and returns k rows per query and corpus block. So memory is two blocks and
-    the hits of one, whatever the number of queries.
+    where it lies and is scanned once for each group of queries, of ``query_bytes`` at most,
+    that is broadcast to the tasks. A task takes a block of the corpus at a time and returns
+    k rows per query and block. So memory is a group, a block and the hits of one, whatever
+    the number of queries, and all that is read, is read by Spark.
     """
     if where is not None:
         corpus = corpus.where(where)
@@ -81,13 +81,29 @@ def knn_search(
     schema = (
         f"`{query_id}` {id_type(wanted, query_id)}, `{corpus_id}` {id_type(rows, corpus_id)}, score double"
     )
-    files = sorted(wanted.inputFiles())
-    query_rows, corpus_rows = max(1, query_bytes // (dims * 8)), max(1, corpus_bytes // (dims * 8))
-    scored = rows.mapInArrow(_scorer(files, k, dims, query_rows, corpus_rows, [query_id, corpus_id, "score"]), schema)
+    corpus_rows = max(1, corpus_bytes // (dims * 8))
+    names = [query_id, corpus_id, "score"]
+    scored = None
+    for group in _query_groups(wanted, query_id, max(1, query_bytes // (dims * 8))):
+        part = rows.mapInArrow(_scorer(group, k, dims, corpus_rows, names), schema)
+        scored = part if scored is None else scored.union(part)
     return topk_hits(scored, k, query_id, corpus_id)
 
 
-def _scorer(files: list[str], k: int, dims: int, query_rows: int, corpus_rows: int, names: list[str]):
+def _query_groups(wanted: DataFrame, query_id: str, limit: int) -> Iterator[Broadcast]:
+    """The queries in groups of about ``limit`` rows, each sent to the tasks as one Arrow table."""
+    context, groups = wanted.sparkSession.sparkContext, max(1, -(-wanted.count() // limit))
+    for group in range(groups):
+        # Ids may repeat, but a group is a share of the ids' hashes and so of the rows.
+        part = wanted.where(F.pmod(F.xxhash64(query_id, "_qv"), F.lit(groups)) == group) if groups > 1 else wanted
+        table = part.toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        yield context.broadcast(sink.getvalue().to_pybytes())
+
+
+def _scorer(queries: Broadcast, k: int, dims: int, corpus_rows: int, names: list[str]):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, count = [], 0
         for batch in batches:
@@ -102,29 +118,22 @@ def _scorer(files: list[str], k: int, dims: int, query_rows: int, corpus_rows: i
             yield pa.Table.from_batches(held).combine_chunks()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(queries.value).read_all().combine_chunks()
+        if not table.num_rows:
+            return
+        query_ids, matrix = table.column(0).combine_chunks(), vector_matrix(table.column(1).combine_chunks(), dims)
         for block in blocks(batches):
             found = block.column(0).combine_chunks()
-            ids, vectors = comparable(found), vector_matrix(block.column(1).combine_chunks(), dims)
-            for query_ids, matrix in _stored_queries(files, dims, query_rows):
-                best = BestHits(matrix, k)
-                best.add(ids, vectors)
-                row, hit_ids, scores = best.hits()
-                yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(row)), pa.array(hit_ids.tolist(), found.type), pa.array(scores)], names
-                )
+            best = BestHits(matrix, k)
+            best.add(comparable(found), vector_matrix(block.column(1).combine_chunks(), dims))
+            row, hit_ids, scores = best.hits()
+            yield pa.RecordBatch.from_arrays(
+                [query_ids.take(pa.array(row)), pa.array(hit_ids.tolist(), found.type), pa.array(scores)], names
+            )
 
     return score
 
 
-def _stored_queries(files: list[str], dims: int, rows: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    for name in files:
-        system, path = shared_file(name)
-        with system.open_input_file(path) as file:
-            for batch in pq.ParquetFile(file).iter_batches(batch_size=rows):
-                if batch.num_rows:
-                    yield batch.column(0), vector_matrix(batch.column(1), dims)
-
-
 def shape_hits(
     hits: DataFrame,
     corpus: DataFrame,

@@ -391,13 +391,24 @@ def test_json_as_libraries_read_it(spark):
     fields = ['{"a": 1, "a": "x"}', '{"b": NaN}', "{broken", '{"c": {"d": 1, "d": 2}}', "[1]"]
     docs = spark.createDataFrame(list(enumerate(fields)), "i int, d string")
     found = {r.field: r.field_type for r in quality.infer_field_types(docs, "d").collect()}
-    assert found == {"a": "text", "b": "float"}
+    assert found == {"a": "text", "b": "float", "c": "object"}
     left_out = {r.reason: r.documents for r in quality.unreadable_documents(docs, "d").collect()}
-    assert left_out == {"not_json": 1, "an inner object repeats a key": 1, "not an object": 1}
+    assert left_out == {"not_json": 1, "not an object": 1}
     issues = {(r.i, r.issue, r.got) for r in quality.check_mapping(docs.where("i < 3"), "d", {"a": "text", "b": "long"}, "i").collect()}
     assert issues == {(0, "missing_key", None), (1, "missing_key", None), (1, "type_mismatch", "float"), (2, "not_json", None)}
 
 
+def test_fields_without_a_variant_form_are_typed_alike(spark):
+    """The same fields, once more beside an inner object that repeats a key."""
+    fields = '"a": "1", "b": 1, "c": 1.0, "d": true, "e": null, "f": {"x": 1}, "g": [1, "x"], "h": [[1.5], 2], "i": [], "j": 1e5, "k": 12345678901234567890, "l": NaN'
+    docs = spark.createDataFrame([(0, "{" + fields + "}"), (1, "{" + fields + ', "z": {"y": 1, "y": "2"}}')], "i int, d string")
+    by_row = [{r.field: r.field_type for r in quality.infer_field_types(docs.where(F.col("i") == i), "d").collect()} for i in (0, 1)]
+    assert by_row[1].pop("z") == "object" and by_row[0] == by_row[1] and len(by_row[0]) == 12
+    expected = {**{k: "text" for k in "abcdefghijkl"}, "missing": "long"}
+    issues = {i: {(r.field, r.issue, r.got) for r in quality.check_mapping(docs.where(F.col("i") == i), "d", expected).collect()} for i in (0, 1)}
+    assert issues[0] == issues[1] and ("missing", "missing_key", None) in issues[0] and ("h", "type_mismatch", "float") in issues[0]
+
+
 def test_a_list_of_more_than_128_mb(spark):
     piece = '{"job_id": "1", "title": "' + "x" * 4000 + '"},'
     big = spark.range(1).select(F.concat(F.lit("["), F.repeat(F.lit(piece), 35_000), F.lit('{"job_id": "last"}]')).alias("d"))
@@ -417,3 +428,16 @@ def test_missing_sections_raise(spark):
         plan.validate_urls(pages, PatternConfig({}))
     with pytest.raises(ValueError, match="job_url_selectors"):
         links.extract_links(pages, PatternConfig({}), "http://h", keep=["url"])
+
+
+def test_pages_whose_links_cannot_be_read_say_so(spark, config):
+    from jobquarry.functions.html import links_of
+
+    class Broken:
+        def read(self, page):
+            raise RecursionError("too deep")
+
+    assert links_of("<a href='/x'>x</a>", [Broken()]) == {"links": [], "failure": "RecursionError: too deep"}
+    assert links_of(None, []) == {"links": [], "failure": None}
+    pages = spark.createDataFrame([(1, "<a href='/x'>x</a>"), (2, None), (4, "")], "i int, html string")
+    assert links.unread_pages(pages, config, "i").count() == 0
