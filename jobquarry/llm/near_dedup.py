@@ -11,14 +11,12 @@
    every pair within the threshold r shares a key. r lies 4.4 deviations above the mean
    number of differing symbols at the link threshold: 37 for 0.85 (50 keys), 46 for 0.8
    (77 keys).
-4. Buckets with the same members are searched once. Large buckets are cut into blocks, and
-   each pair of blocks is searched by itself; a search walks from signature to signature
-   within r and returns one link per class reached, never all pairs.
-5. Classes connected by such links form a *family*: every true link lies within one. The
-   members' texts meet by family, large families again as pairs of blocks, and are linked
-   where their full sets are similar enough. A walk over the exact links leaves out what it
-   has reached already, so a tight group of n copies costs about n comparisons.
-6. Connected components of the exact links give the result.
+4. Buckets with the same members are searched once. The members of a bucket meet by leaders
+   and crowds (:mod:`leaders`), so a tight group of n copies costs a few times n comparisons
+   and no bucket, however large, is one task.
+5. Of those that meet, the ones whose signatures are within r have their full sets compared;
+   links are between similar sets only.
+6. Connected components of the links give the result.
 """
 
 from __future__ import annotations
@@ -30,17 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobquarry.llm.frames import arrow_map, chunks, connected_components, keyed, same_row, stored, unpacked, whole_groups
+from jobquarry.llm.frames import arrow_map, chunks, keyed, same_row, stored, unpacked
 from jobquarry.llm.hashing import mixed, shingle_sets
+from jobquarry.llm.leaders import components_of_buckets, similar_pairs
 
 SYMBOLS, BYTES_PER_SYMBOL = 128, 2
 CHUNKS, PER_CHUNK = 32, 4
 #: Deviations by which the signature threshold exceeds the mean distance at the link threshold.
 MARGIN = 4.4
-#: Classes per block of a large bucket or family.
-BLOCK = 1024
-#: Shingles per block of a large family.
-BLOCK_SHINGLES = 2_000_000
+#: Words of a shingle.
+WORDS = 5
 
 _RANDOM = np.random.default_rng(77)
 _FACTORS = _RANDOM.integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -74,7 +71,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of shingles, class and signature of each text."""
     for chunk in chunks(batches, "text"):
-        values, offsets = shingle_sets(chunk.column("text"))
+        values, offsets = shingle_sets(chunk.column("text"), WORDS)
         counts = np.diff(offsets)
         full = counts > 0
         classes = np.zeros(len(counts), np.uint64)
@@ -116,99 +113,23 @@ def chunk_keys(radius: int, signature: str = "signature"):
     return F.array(*keys)
 
 
-def walk(near, count: int) -> list[tuple[int, int]]:
-    """Links of a walk over rows 0..count-1; near(i, others) says which others link with i."""
-    links: list[tuple[int, int]] = []
-    left = np.arange(count)
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            hit = near(i, left)
-            found = left[hit].tolist()
-            links += [(i, j) for j in found]
-            queue += found
-            left = left[~hit]
-    return links
+def _within(radius: int):
+    """Pairs whose signatures differ in ``radius`` symbols at most."""
 
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("one", "two"))
+            close = pa.array((one != two).sum(1) <= radius)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(close), batch.column("b").filter(close)], ["a", "b"])
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return within
 
 
-def _close_signatures(radius: int):
-    """Links between signatures of a bucket that are within the radius."""
-
-    def close_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "bi", "bj"]):
-            nodes = table.column("node").to_numpy()
-            rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            new = np.zeros(len(nodes), bool)
-            for name in ("key", "bi", "bj"):
-                values = table.column(name).to_numpy()
-                new[1:] |= values[1:] != values[:-1]
-            starts = np.flatnonzero(np.concatenate([[True], new[1:]]))
-            ends = np.append(starts[1:], len(nodes))
-            twos = starts[ends - starts == 2]
-            close = (rows[twos] != rows[twos + 1]).sum(1) <= radius
-            pairs = list(zip(nodes[twos[close]].tolist(), nodes[twos[close] + 1].tolist(), strict=True))
-            for low, high in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                own = rows[low:high]
-                near = lambda i, others, own=own: (own[others] != own[i]).sum(1) <= radius
-                pairs += [(int(nodes[low + i]), int(nodes[low + j])) for i, j in walk(near, high - low)]
-            yield _links(pairs)
-
-    return close_signatures
-
-
-def _similar_sets(percent: int):
-    """Links between texts of a family (or two blocks of one) whose full sets are similar."""
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["family", "bi", "bj"], 2_000):
-            family, bi, bj = (table.column(c).to_numpy() for c in ("family", "bi", "bj"))
-            new = np.ones(len(family), bool)
-            new[1:] = (family[1:] != family[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(family))
-            for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
-                part = table.slice(low, high - low)
-                nodes, once = np.unique(part.column("node").to_numpy(), return_index=True)
-                if len(nodes) < 2:
-                    continue
-                values, offsets = shingle_sets(part.column("text").take(pa.array(once)).combine_chunks())
-                sizes = np.diff(offsets)
-                _, ids = np.unique(values, return_inverse=True)
-                flags = np.zeros(int(ids.max()) + 1, bool)
-
-                def near(i, others, ids=ids, offsets=offsets, sizes=sizes, flags=flags):
-                    own = ids[offsets[i] : offsets[i + 1]]
-                    flags[own] = True
-                    sums = np.concatenate([[0], np.cumsum(flags[ids[offsets[others[0]] :]])])
-                    base = offsets[others[0]]
-                    shared = sums[offsets[others + 1] - base] - sums[offsets[others] - base]
-                    flags[own] = False
-                    return 100 * shared >= percent * (sizes[i] + sizes[others] - shared)
-
-                yield _links([(int(nodes[i]), int(nodes[j])) for i, j in walk(near, len(nodes))])
-
-    return similar
-
-
-def in_blocks(df: DataFrame, key: str, blocks) -> DataFrame:
-    """Rows copied to every pair of blocks ``bi <= bj`` that their own block is part of."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return (
-        df.withColumn("blocks", F.greatest(F.lit(1), F.ceil(blocks)).cast("int"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("bi", F.least("own", "other"))
-        .withColumn("bj", F.greatest("own", "other"))
-        # A pair of the same block twice is only of use where it is the only block.
-        .where("blocks = 1 OR bi < bj")
-        .drop("blocks", "own", "other")
-    )
+def close_pairs(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose signatures are within the radius."""
+    first = nodes.select(F.col("node").alias("a"), F.col("signature").alias("one"))
+    second = nodes.select(F.col("node").alias("b"), F.col("signature").alias("two"))
+    return arrow_map(pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two"), _within(radius), "a long, b long")
 
 
 def _components(rows: DataFrame, percent: int) -> DataFrame:
@@ -230,36 +151,20 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
         .select("node", "first.id", "first.fp", "n_shingles", "signature"),
         "nodes",
     )
-    filed = nodes.select("node", F.explode(chunk_keys(radius)).alias("key"))
-    members = filed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
+    filed = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(chunk_keys(radius)).alias("key"))
+    buckets = filed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     )
-    kept = stored(members.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    bucketed = stored(in_blocks(filed.join(kept, "key"), "key", F.col("n") / BLOCK).select("node", "key", "bi", "bj"), "filed")
-    signed = bucketed.join(nodes.select("node", "signature"), "node")
-    close = arrow_map(
-        signed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").select("key", "bi", "bj", "node", "signature"),
-        _close_signatures(radius),
-        "a long, b long",
-    )
-    family = connected_components(close).select("node", F.col("root").alias("family"))
-    member = stored(nodes.drop("signature").join(family, "node"), "families")
-    sizes = stored(member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")), "sizes")
-    placed = in_blocks(
-        member.join(sizes, "family"), "family", F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)
-    ).select(F.col("id").alias("rep_id"), F.col("fp").alias("rep_fp"), "node", "family", "bi", "bj")
-    placed = stored(placed, "placed")
-    # Always shuffled: the list of members grows with the corpus, so it is nothing to broadcast.
-    placed = placed.hint("merge")
-    texts = rows.join(placed, rows["id"].eqNullSafe(placed["rep_id"]) & (rows["fp"] == placed["rep_fp"]))
-    links = arrow_map(
-        texts.select("family", "bi", "bj", "node", "text").repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj"),
-        _similar_sets(percent),
-        "a long, b long",
-    )
-    roots = connected_components(links)
+    kept = stored(buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
+    members = stored(filed.join(kept, "key").select("key", "node", "n"), "filed")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        near = stored(close_pairs(pairs, nodes, radius), "near")
+        return similar_pairs(near, nodes, rows, percent, WORDS)
+
+    roots = components_of_buckets(members, nodes, rows, percent, WORDS, confirm)
     labelled = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     component = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = stored(labelled.join(component, "root").select("node", "component_id"), "components")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from jobquarry.llm import near_dedup
+from jobquarry.llm import leaders, near_dedup
 from jobquarry.llm.hashing import shingle_sets
 
 
@@ -67,12 +67,55 @@ def test_equals_all_pairs(spark, percent):
     assert got(spark, rows, percent=percent) == brute(rows, percent)
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+@pytest.mark.parametrize("small", [2, 9])
+def test_large_groups(spark, monkeypatch, small):
+    """Leaders are copied for every seven that they meet, blocks hold nine outsiders."""
+    for name, value in (("MEETING", 7), ("SMALL", small), ("BLOCK", 9), ("PASSING", 20)):
+        monkeypatch.setattr(leaders, name, value)
     rows = corpus(2, groups=6, copies=60)
     assert got(spark, rows) == brute(rows)
 
 
+def near_copies(n, edits):
+    """Copies of one text of 250 words, each with some words of its own."""
+    rnd = random.Random(n + edits)
+    base = [f"w{rnd.randrange(50_000)}" for _ in range(250)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in rnd.sample(range(250), edits):
+            copy[k] = f"own{i}x{k}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("edits, sizes", [(1, (10_000, 20_000)), (9, (1_000, 2_000))])
+def test_rows_grow_with_the_documents(spark, monkeypatch, edits, sizes):
+    """Tight groups (all pairs link) and loose ones (no pair does at 80 %): rows that are compared."""
+    made = []
+    for n in sizes:
+        count = [0]
+        pairs_of, texts_of = leaders._met, leaders._texts_of
+
+        def met(*args, count=count, pairs_of=pairs_of):
+            out = pairs_of(*args)
+            count[0] += out.count()
+            return out
+
+        def texts(roles, *args, count=count, texts_of=texts_of):
+            count[0] += roles.count()
+            return texts_of(roles, *args)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(leaders, "_met", met)
+            patch.setattr(leaders, "_texts_of", texts)
+            result = got(spark, near_copies(n, edits), percent=80)
+        made.append(count[0])
+        assert len({r[2] for r in result}) == (1 if edits == 1 else n)
+    # A document is filed under up to 77 keys.
+    assert made[0] < 30 * sizes[0] and made[1] < 2.5 * made[0]
+
+
 def test_null_ids_repeats_and_clashing_names(spark):
     text = "one two three four five six seven"
     rows = [(None, text, 1), (9, text, 2), (9, text, 3), (4, "else " * 9, 4), (4, "", 5), (4, "", 6), (None, None, 7)]
