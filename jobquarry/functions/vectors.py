@@ -55,6 +55,56 @@ def embed_text(text: Column, make_model: Callable[[], EmbedFn], batch_size: int
     return predict.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
+def batches_by_length(lengths: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Rows in batches of like length, each at most ``budget`` padded tokens or one row."""
+    order, batches, start = np.argsort(lengths, kind="stable"), [], 0
+    for end in range(1, len(order) + 1):
+        # Rising lengths, so the next row is the longest of its batch.
+        if end == len(order) or (end + 1 - start) * max(1, lengths[order[end]]) > budget:
+            batches.append(order[start:end])
+            start = end
+    return batches
+
+
+def embed_tokens(
+    text: Column,
+    make_tokenizer: Callable[[], Callable[[str], list[int]]],
+    make_model: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+    *,
+    max_tokens: int = 8192,
+    budget: int = 65_536,
+    pad: int = 0,
+) -> Column:
+    """Text to vector by way of tokens: cut to the model's length, padded, and batched by length.
+
+    A tokenizer gives the ids of a text; the model takes a matrix of ids and its mask (1 for
+    tokens, 0 for padding, which stands on the right) and returns a vector per row, as
+    ``pool_last_token`` makes them. Both are made once per Python worker. The texts of an
+    Arrow batch are sorted by length and cut into batches of ``budget`` padded tokens, so
+    padding stays small, and put back in order. A null or empty text is one padding token.
+    """
+    made: dict = {}
+
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.update(tokenizer=make_tokenizer(), model=make_model())
+        ids = [(made["tokenizer"](t.as_py() or "") or [pad])[:max_tokens] for t in texts]
+        lengths = np.array([len(i) for i in ids], np.int64)
+        vectors: list = [None] * len(ids)
+        for rows in batches_by_length(lengths, budget):
+            width = int(lengths[rows].max())
+            tokens, mask = np.full((len(rows), width), pad, np.int64), np.zeros((len(rows), width), np.int64)
+            for at, row in enumerate(rows.tolist()):
+                tokens[at, : lengths[row]], mask[at, : lengths[row]] = ids[row], 1
+            for row, vector in zip(rows.tolist(), np.asarray(made["model"](tokens, mask), np.float32), strict=True):
+                vectors[row] = vector
+        return pa.array(vectors, pa.list_(pa.float32()))
+
+    # Nondeterministic, so that Spark never runs the model again for a filter on its result.
+    return embed.asNondeterministic()(text)
+
+
 def hashing_model(dims: int) -> Callable[[], EmbedFn]:
     """A model without weights: token counts in hashed buckets.
 

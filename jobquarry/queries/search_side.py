@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from jobquarry.functions.vectors import hashing_model, last_token_pool
-from jobquarry.operators import search
+from jobquarry.functions import vectors
+from jobquarry.functions.vectors import hashing_model, last_token_pool, pool_last_token
+from jobquarry.operators import clusters, search
 from jobquarry.operators.unnest import unnest
 from jobquarry.queries.registry import query, split_table, table
+from jobquarry.session import scratch_path
 from jobquarry.sources.readers import document_pages_text
 
 DIMS = 64
@@ -39,13 +44,21 @@ scored AS (
   FROM centres, embeddings)"""
 
 
-@query(
-    "knn_search",
-    "WITH" + CENTRES_SQL + """
+KNN_SQL = "WITH" + CENTRES_SQL + """
 SELECT query_id, vec_id, round(score, 6) AS score,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS hit_rank
-FROM scored QUALIFY hit_rank <= 10""",
-)
+FROM scored QUALIFY hit_rank <= 10"""
+
+
+@query("clustered_search", KNN_SQL)
+def clustered_search(spark, sf):
+    """The same hits from a corpus stored in clusters, of which only near ones are read."""
+    path = scratch_path(spark, "clusters")
+    clusters.write_clustered(table(spark, sf, "embeddings"), path, "embedding", DIMS, 12)
+    return clusters.search_clustered(label_centres(spark, sf), path, K, DIMS).withColumn("score", F.round("score", 6))
+
+
+@query("knn_search", KNN_SQL)
 def knn_search(spark, sf):
     hits = search.knn_search(label_centres(spark, sf), table(spark, sf, "embeddings"), K, DIMS)
     return hits.withColumn("score", F.round("score", 6))
@@ -184,3 +197,28 @@ def shape_hits(spark, sf):
         F.col("r.job.vector").isNotNull().alias("has_vector"),
         F.round("r.score", 6).alias("score"),
     )
+
+
+def word_lengths():
+    """A tokenizer without a vocabulary: the length of each word."""
+    return lambda text: [len(word) for word in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
+def sum_and_last():
+    """A model without weights: the sum of the tokens so far, and the token, of the last one."""
+    return lambda tokens, mask: pool_last_token(np.stack([np.cumsum(tokens * mask, 1), tokens], 2), mask)
+
+
+@query(
+    "embed_tokens",
+    """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')[1:512] AS w FROM documents)
+SELECT doc_id, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS DOUBLE) AS total,
+       CAST(CASE WHEN len(w) > 0 THEN length(w[-1]) ELSE 0 END AS DOUBLE) AS last
+FROM words""",
+)
+def embed_tokens(spark, sf):
+    """Texts as tokens, cut to 512 and batched by length."""
+    docs = split_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    vector = vectors.embed_tokens(F.col("text"), word_lengths, sum_and_last, max_tokens=512)
+    return docs.select("doc_id", vector.alias("v")).select("doc_id", F.col("v")[0].cast("double").alias("total"), F.col("v")[1].cast("double").alias("last"))
