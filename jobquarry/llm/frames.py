@@ -13,6 +13,8 @@ from jobquarry.session import scratch_path
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges of a graph that one task handles, of the few numbers that an edge is.
+EDGES_PER_FILE = 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -115,12 +117,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges stay the same. Only
     minima per node and joins are used, so no neighbour list is ever collected, and each
-    round is a stored table.
+    round is a stored table, of as many files as its edges ask for.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = stored(ordered.distinct(), "edges")
     mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = mark(now)
+    files = -(-seen[0] // EDGES_PER_FILE)
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -128,7 +131,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "edges")
         before, seen = seen, mark(now)
         if before == seen:
             break

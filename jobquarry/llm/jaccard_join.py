@@ -18,8 +18,11 @@ either set x misses at most t(x) = |x| - ceil(percent * |x| / 100) of its tokens
    bands by powers of two; a set that may link into the next band is filed there too.
    Sets too small for the argument, and those that may link with them, are filed under
    the plain prefix of t(x) + 1 tokens as well.
-4. **Verification.** Members of a bucket meet by leaders and crowds (:mod:`leaders`) and are
-   linked where their full sets are similar enough. Components of the links are the result.
+4. **Verification.** Members of a bucket meet by leaders and crowds (:mod:`leaders`). A set
+   has a bitmap of 2,048 bits, each the parity of the tokens that fall on it, so two bitmaps
+   differ in no more bits than the sets do in tokens: pairs that differ in too many bits
+   cannot link. The full sets of the others are compared. Components of the links are the
+   result.
 
 Texts are read three times and shuffled only where a class has someone to meet; what is
 shuffled of the others are their keys, about an eighth of the tokens.
@@ -47,6 +50,8 @@ STEPS_PER_OCTAVE = 4
 #: that, a counter tells chance meetings in it rather than its tokens. Those of frequent
 #: ones reach ``FREQUENT`` times as much.
 RARE, LEAST, FREQUENT = 2, 4, 64
+#: Bits of a set's bitmap, a power of two.
+BITMAP = 2048
 #: Misses per group that a set at the lower end of its band can have.
 PER_GROUP = 4
 
@@ -79,13 +84,49 @@ def _describe(words: int):
             values, at = shingle_sets(chunk.column("text"), words)
             counts = np.diff(at)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("id"), chunk.column("fp"), pa.array(counts), pa.array(_classes(values, at).view(np.int64), mask=counts == 0)],
-                ["id", "fp", "n_shingles", "node"],
+                [
+                    chunk.column("id"),
+                    chunk.column("fp"),
+                    pa.array(counts),
+                    pa.array(_classes(values, at).view(np.int64), mask=counts == 0),
+                    pa.array([row.tobytes() for row in bitmaps(values, at)], pa.binary(), mask=counts == 0),
+                ],
+                ["id", "fp", "n_shingles", "node", "bits"],
             )
 
     return describe
 
 
+def bitmaps(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of bytes per set: of each bit, the parity of the members that fall on it."""
+    sets = len(at) - 1
+    place = np.repeat(np.arange(sets), np.diff(at)) * BITMAP + (mixed(values * STEPS[3]) % np.uint64(BITMAP)).astype(np.int64)
+    parity = (np.bincount(place, minlength=sets * BITMAP) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(sets, BITMAP), axis=1)
+
+
+def _may_link(percent: int):
+    """Pairs whose bitmaps differ in no more bits than linked sets of their sizes can."""
+
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITMAP // 8) for c in ("one", "two"))
+            both = batch.column("one_n").to_numpy() + batch.column("two_n").to_numpy()
+            apart = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+            kept = pa.array(apart * (100 + percent) <= both * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    return may_link
+
+
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` without those that their bitmaps rule out."""
+    first = nodes.select(F.col("node").alias("a"), F.col("bits").alias("one"), F.col("n").alias("one_n"))
+    second = nodes.select(F.col("node").alias("b"), F.col("bits").alias("two"), F.col("n").alias("two_n"))
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two", "one_n", "two_n")
+    return arrow_map(joined, _may_link(percent), "a long, b long")
+
+
 def _classes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One number per set, from its members and their number; 0 for empty sets."""
     counts = np.diff(at)
@@ -258,11 +299,14 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, text: str = "
     equal sets. Other columns play no part; an empty table gives an empty one.
     """
     rows = keyed(docs, text, doc_id).select("id", "fp", "text")
-    described = stored(arrow_map(rows, _describe(words), "id long, fp long, n_shingles long, node long"), "described")
+    described = stored(arrow_map(rows, _describe(words), "id long, fp long, n_shingles long, node long, bits binary"), "described")
     nodes = stored(
         described.where("node IS NOT NULL")
-        .groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"))
-        .select("node", "first.id", "first.fp"),
+        .groupBy("node").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"),
+            F.first("n_shingles").alias("n"), F.first("bits").alias("bits"),
+        )
+        .select("node", "first.id", "first.fp", "n", "bits"),
         "nodes",
     )
     levels, rare, frequent = sketch_of(rows, words)
@@ -270,7 +314,11 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, text: str = "
     filed = stored(arrow_map(rows.select("text"), _file(sent, rare, frequent, words, percent), "key long, node long, n long"), "filed")
     shared = filed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     members = stored(filed.join(stored(shared, "shared"), "key").distinct(), "bucketed")
-    roots = components_of_buckets(members, nodes, rows, percent, words, lambda pairs: similar_pairs(pairs, nodes, rows, percent, words))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return similar_pairs(stored(possible_pairs(pairs, nodes, percent), "possible"), nodes, rows, percent, words)
+
+    roots = components_of_buckets(members, nodes, rows, percent, words, confirm)
     labelled = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     component = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = stored(labelled.join(component, "root").select("node", "component_id"), "components")

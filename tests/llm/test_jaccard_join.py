@@ -105,6 +105,18 @@ def test_linked_sets_share_a_key():
             assert keys[0] & keys[1]
 
 
+def test_bitmaps_differ_in_no_more_bits_than_the_sets():
+    rnd = np.random.default_rng(6)
+    sets = [np.unique(rnd.integers(0, 5_000, int(rnd.integers(1, 3_000)), dtype=np.uint64)) for _ in range(40)]
+    sets[3:3] = [np.zeros(0, np.uint64)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = jaccard_join.bitmaps(np.concatenate(sets), at)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert apart[i, j] <= len(np.setxor1d(x, y)) and (i != j or apart[i, j] == 0)
+
+
 def test_null_ids_repeats_and_clashing_names(spark):
     text = "one two three four five six seven"
     rows = [(None, text, 1), (9, text, 2), (9, text, 3), (4, "else " * 9, 4), (4, "", 5), (None, None, 7)]
