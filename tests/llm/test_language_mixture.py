@@ -1,5 +1,7 @@
 """Language proportions on held-out rows, on made mixtures, and on odd texts."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,54 @@ def test_em_recovers_proportions():
     drawn = np.concatenate([rng.choice(50, 600, p=np.exp(languages[0]) / np.exp(languages[0]).sum()), rng.choice(50, 200, p=np.exp(languages[2]) / np.exp(languages[2]).sum())])
     chosen, shares = lm.mixture(languages[:, drawn].T)
     assert sorted(chosen) == [0, 2] and abs(shares[chosen.index(0)] - 0.75) < 0.06
+
+
+def plain_mixture(words, penalty=lm.PENALTY, rounds=lm.ROUNDS):
+    """The method in plain loops, from a list of log-likelihoods per word."""
+    count, kinds = len(words), len(words[0])
+    relative = [[math.exp(max(x - max(w), -60.0)) for x in w] for w in words]
+    total = [sum(w[k] for w in words) for k in range(kinds)]
+    chosen, shares = [total.index(max(total))], [1.0]
+    density = [r[chosen[0]] for r in relative]
+    height = sum(math.log(d) for d in density)
+    while len(chosen) < kinds:
+        best = None
+        for extra in range(kinds):
+            if extra in chosen or sum(r[extra] / d for r, d in zip(relative, density)) / count <= 1:
+                continue
+            columns, weights = [*chosen, extra], [s * 0.9 for s in shares] + [0.1]
+            for _ in range(rounds):
+                parts = [0.0] * len(columns)
+                for r in relative:
+                    own = [r[c] * w for c, w in zip(columns, weights)]
+                    parts = [p + o / sum(own) for p, o in zip(parts, own)]
+                weights = [p / count for p in parts]
+            mixed = [sum(r[c] * w for c, w in zip(columns, weights)) for r in relative]
+            reached = sum(math.log(m) for m in mixed)
+            if best is None or reached > best[0]:
+                best = (reached, extra, weights, mixed)
+        if best is None or best[0] - height <= penalty * math.log(count + 1):
+            break
+        height, extra, shares, density = best
+        chosen.append(extra)
+    return chosen, shares
+
+
+def test_predictions_equal_a_plain_loop(spark, learned):
+    """Whole texts, mixed ones too, word by word and language by language."""
+    docs, model = learned
+    texts = [r.text for r in docs.where("length(text) < 1500").orderBy("doc_id").limit(40).collect()]
+    texts += [f"{a} {b}" for a, b in zip(texts[::2], texts[1::2])] + [None, "", "12 !", "é"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.identify(frame, model).collect()}
+    for i, text in enumerate(texts):
+        if not any(map(str.isalpha, text or "")):
+            assert (got[i].lang_pred, got[i].score, got[i].languages) == ("und", 0.0, "")
+            continue
+        buckets, spans, _ = lm._words([text])
+        words = [[sum(float(model.logs[b, k]) for b in buckets[a:z]) for k in range(len(model.languages))] for a, z in zip(*spans.tolist())]
+        chosen, shares = plain_mixture(words)
+        first = max(range(len(chosen)), key=lambda k: (shares[k], -chosen[k]))
+        assert got[i].lang_pred == model.languages[chosen[first]]
+        assert got[i].score == pytest.approx(min(1.0, shares[first]), abs=1e-3)
+        assert {x.split(":")[0] for x in got[i].languages.split(",")} == {model.languages[c] for c in chosen}

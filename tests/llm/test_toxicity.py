@@ -85,3 +85,46 @@ def test_training_repeats_itself():
     labels = np.repeat([0, 1], 20)
     a, b = (T.probabilities(T.train(texts, labels, steps=30), texts) for _ in range(2))
     assert (a == b).all()
+
+
+def test_scores_equal_a_loop_over_windows():
+    """Word by word and window by window with the same weights, in double precision."""
+    net = T.Network.new(3)
+    net.evidence = {"bad": 2.5, "good": -1.0}
+    net.scale, net.shift = 1.7, -0.4
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    hidden = T.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        own = T.Words.of([word], net.evidence)
+        return np.concatenate([p["word"][own.row[0]], p["tri"][own.trigrams].mean(0), [net.evidence.get(word, 0.0)]])
+
+    def walk(inputs, side):
+        h, states = np.zeros(hidden), []
+        for x in inputs:
+            steps, again = x @ p[f"in_{side}"] + p[f"inb_{side}"], h @ p[f"rec_{side}"]
+            z, r = sigmoid(steps[:hidden] + again[:hidden]), sigmoid(steps[hidden : 2 * hidden] + again[hidden : 2 * hidden])
+            n = np.tanh(steps[2 * hidden :] + r * again[2 * hidden :])
+            h = n + z * (h - n)
+            states.append(h)
+        return states
+
+    def logit(words):
+        inputs = [vector(w) for w in words]
+        states = [np.concatenate(s) for s in zip(walk(inputs, "f"), walk(inputs[::-1], "b")[::-1])]
+        weights = np.array([np.tanh(s @ p["attend"]) @ p["ask"] for s in states])
+        weights = np.exp(weights - weights.max())
+        return (weights / weights.sum()) @ np.array(states) @ p["out"] + p["bias"][0]
+
+    rnd = np.random.default_rng(4)
+    vocabulary = ["bad", "good", "ünd", "a", "longerword", "x9", "the"]
+    texts = [" ".join(rnd.choice(vocabulary, n)) for n in (1, 2, 11, 12, 13, 23, 24, 25, 36, 37, 60, 149)] + [None, "", "!!", "Bad"]
+    for text, got in zip(texts, T.probabilities(net, texts), strict=True):
+        words = T.TOKEN.findall((text or "").lower())
+        # Windows of 24 words, every 12, until one reaches the end of the text.
+        starts = [0]
+        while starts[-1] + T.WINDOW < len(words):
+            starts.append(starts[-1] + T.STRIDE)
+        best = max((logit(words[s : s + T.WINDOW]) for s in starts), default=0.0) if words else p["bias"][0]
+        assert got == pytest.approx(sigmoid(net.scale * best + net.shift), abs=2e-5)
