@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -288,13 +289,18 @@ def _merged(spans: list[dict]) -> list[list[int]]:
     return runs
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(least_bytes: int, least_words: int):
+    return partial(_cut, least_bytes=least_bytes, least_words=least_words)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], least_bytes: int, least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text", 8_000_000):
         out: list[tuple] = []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             data = text.as_buffer()
             data = data.to_pybytes() if data is not None else b""
-            runs = _merged(spans.as_py() or [])
+            # bytes.split() cuts at ASCII white space, as words are defined.
+            runs = [(a, b) for a, b in _merged(spans.as_py() or []) if b - a >= least_bytes or len(data[a:b].split()) >= least_words]
             kept, at = [], 0
             for start, end in runs:
                 kept.append(data[at:start])
@@ -312,10 +318,14 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", least_bytes: int = 0, least_words: int = 0
+) -> DataFrame:
     """All rows and columns of ``docs``, with ``kept_text``, ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and ``removed`` (the maximal removed runs).
 
+    Of the runs of repeated strings of ``length`` bytes, those stay that have fewer than
+    ``least_bytes`` bytes and fewer than ``least_words`` words; by default none does.
     ``kept_text`` drops the halves of characters that a cut went through; the digest is
     over the exact remaining bytes. An empty table gives an empty one.
     """
@@ -325,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     kind = rows.schema["row"].dataType.simpleString()
     cleaned = arrow_map(
         joined,
-        _cleaned,
+        _cleaned(least_bytes, least_words),
         f"row {kind}, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "removed array<struct<start:int,end:int>>",
     )

@@ -67,7 +67,7 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
 def test_repeats_stage_cuts_texts(spark):
     docs = table(spark, "documents").where("doc_id < 150")
     rows = docs.orderBy("doc_id").collect()
-    want = brute_repeats([r.text for r in rows], 200)
+    want = brute_repeats([r.text for r in rows], 152, 200, 51)
     got = {r.doc_id: r for r in pipeline.without_repeats(spark, docs, SMALL).collect()}
     assert len(got) == len(rows)
     for row, (n_bytes, removed, _, _) in zip(rows, want):
@@ -76,6 +76,16 @@ def test_repeats_stage_cuts_texts(spark):
         assert new.n_chars == (len(new.text) if removed else row.n_chars) and (new.lang, new.source) == (row.lang, row.source)
 
 
+def test_repeats_stage_knows_passages_by_words(spark):
+    """A passage of 51 short words goes; one of fewer words and bytes stays."""
+    some = " ".join(f"word{i}" for i in range(26))
+    texts = ["or " * 51 + "xne", "two " + "or " * 51, f"three {some}", f"four {some}", None, ""]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.without_repeats(spark, docs, SMALL).collect()}
+    assert got == {0: "xne", 1: "two ", 2: texts[2], 3: texts[3], 4: None, 5: ""} and len(some) < 200
+
+
 def test_benchmark_stage_takes_out_documents_with_items(spark):
     docs, items = table(spark, "documents"), table(spark, "benchmark")
     sets = [shingles(r.text) for r in items.collect()]

@@ -12,8 +12,8 @@ from jobquarry.llm import suffix_dedup
 from jobquarry.llm.deep_shallow import BlindTrie, suffix_order
 
 
-def brute(texts, length):
-    """(n_bytes, n_removed, n_spans, digest) of each text."""
+def brute(texts, length, least_bytes=0, least_words=0):
+    """(n_bytes, n_removed, n_spans, digest) of each text; shorter runs than these stay."""
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
@@ -22,6 +22,9 @@ def brute(texts, length):
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            gone[a:b] = b - a >= least_bytes or len(d[a:b].split()) >= least_words
         kept = bytes(b for b, g in zip(d, gone) if not g)
         runs = int(np.sum(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         out.append((len(d), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
