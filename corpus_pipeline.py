@@ -15,6 +15,10 @@ from jobquarry.llm.frames import stored
 
 #: Near-duplicates in the pipeline: this many percent of shared shingles.
 SIMILAR = 80
+#: Passages to cut out have this many words, or bytes, at least.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
+#: Strings whose repeats are looked for: as short as so many words of two letters can be.
+PASSAGE_STRING = 2 * PASSAGE_WORDS + PASSAGE_WORDS - 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +40,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur twice or more are cut out; what is left is the text."""
-    cleaned = suffix_dedup.remove_repeats(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")
+    cleaned = suffix_dedup.remove_repeats(whole, PASSAGE_STRING, least_bytes=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
