@@ -146,8 +146,14 @@ class SeenSet:
         rows = stored(batch.withColumn("hash", hash_).withColumn("bucket", self.bucket_of(F.col("hash"))), "batch")
         manifest = self.manifest(batch_id)
         touched = [b for b in self._numbers(rows) if b in manifest]
-        filters = self._folders("filters", ((manifest[b][1], b) for b in touched), FILTERS)
         keyed = f"bucket int, hash long, key {kind}"
+        fresh, read = self._unknown(rows, key, keyed, manifest, touched) if touched else (rows, 0)
+        self._note(fresh.select("bucket", "hash", F.col(key).alias("key")), keyed, manifest, batch_id, read, len(touched))
+        return fresh.select(*batch.columns)
+
+    def _unknown(self, rows: DataFrame, key: str, keyed: str, manifest: dict, touched: list[int]) -> tuple[DataFrame, int]:
+        """The rows no earlier batch had, stored, and how many parts were read to tell."""
+        filters = self._folders("filters", ((manifest[b][1], b) for b in touched), FILTERS)
         asked = rows.select("bucket", "hash", F.col(key).alias("key"))
         judged = stored(
             asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_known(self.filter_bits), f"{keyed}, suspect boolean"), "judged"
@@ -158,9 +164,8 @@ class SeenSet:
         j, s = judged.where("suspect").alias("j"), seen.alias("s")
         known = j.join(s, (F.col("j.hash") == F.col("s.hash")) & F.col("j.key").eqNullSafe(F.col("s.key")), "left_semi")
         known = stored(known.select("hash", F.col("key").alias("known_key")), "known")
-        fresh = stored(rows.join(known, (rows["hash"] == known["hash"]) & rows[key].eqNullSafe(known["known_key"]), "left_anti"), "fresh")
-        self._note(fresh.select("bucket", "hash", F.col(key).alias("key")), keyed, manifest, batch_id, len(read), len(touched))
-        return fresh.select(*batch.columns)
+        fresh = rows.join(known, (rows["hash"] == known["hash"]) & rows[key].eqNullSafe(known["known_key"]), "left_anti")
+        return stored(fresh, "fresh"), len(read)
 
     def _note(self, new: DataFrame, keyed: str, manifest: dict, batch_id: int, parts_read: int, filters_read: int) -> None:
         changed = self._numbers(new)
