@@ -190,9 +190,10 @@ def _ranks_sql(name: str, src: str, dst: str, seed: str, rounds: int = url_filte
 {name}0 AS (SELECT host, seed AS rank FROM {name}_seed)"""]
     for i in range(rounds):
         steps.append(f"""
+{name}_moved{i + 1} AS (SELECT dst AS host, sum(rank * share * {damping}::DOUBLE) AS part FROM {name}_share JOIN {name}{i} ON src = host GROUP BY dst),
 {name}{i + 1} AS (SELECT host, sum(part) AS rank FROM (
-  SELECT dst AS host, rank * share * {damping}::DOUBLE AS part FROM {name}_share JOIN {name}{i} ON src = host
-  UNION ALL SELECT host, seed * (1 - {damping}::DOUBLE) FROM {name}_seed) GROUP BY host)""")
+  SELECT host, part FROM {name}_moved{i + 1}
+  UNION ALL SELECT host, seed * (1 - (SELECT coalesce(sum(part), 0) FROM {name}_moved{i + 1})) FROM {name}_seed) GROUP BY host)""")
     return ",".join(steps)
 
 
@@ -219,7 +220,7 @@ targets AS (
   SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM found),
 hosts AS (SELECT DISTINCT host FROM parts),
 known AS (
-  SELECT a.host AS src, b.host AS dst FROM hosts a JOIN hosts b ON b.host = regexp_extract(a.host, '^[^.]+\.([^.]+\..+)$', 1)),
+  SELECT host AS src, regexp_extract(host, '^[^.]+\.([^.]+\..+)$', 1) AS dst FROM hosts WHERE regexp_matches(host, '^[^.]+\.([^.]+\..+)$')),
 edges AS (
   SELECT src, dst, count(*) AS weight FROM (
     SELECT src, dst FROM targets WHERE src <> '' AND dst <> '' AND src <> dst

@@ -9,7 +9,9 @@ hosts with links between them:
 
 A host is blocked when its distrust is above ``ratio`` times its trust, and allowed
 otherwise, so hosts the walks do not reach are allowed. Subdomains belong together: a host
-is also linked with its parent domain where that occurs, at the weight of one link.
+is also linked with its parent domain, crawled or not, at the weight of one link each way.
+Rank that leaves a host without links returns to the seeds, so both walks keep a sum of one
+and can be compared.
 
 Every step is a DataFrame operation; each round joins the ranks with the edges on the
 linking host, sums partially before the shuffle, and is written to the shared folder.
@@ -64,7 +66,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = links.select("src", host_of(F.concat(F.lit("x:"), F.regexp_replace("link", r"(?i)^https?:", ""))).alias("dst"))
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
     parents = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1).alias("dst"))
-    known = parents.join(hosts, parents["dst"] == hosts["host"]).select("src", "dst")
+    known = parents.where("dst <> ''")
     both = known.union(known.select("dst", "src"))
     counted = links.where("src <> '' AND dst <> '' AND src <> dst").union(both)
     return counted.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
@@ -73,14 +75,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``host, rank`` after ``rounds`` rounds from ``seeds`` (``host, seed``, summing to one).
 
-    Ranks that leave a host without links are lost, which only scales all ranks.
+    What does not move along an edge, the share ``1 - damping`` and the rank of hosts without
+    links, returns to the seeds, so the ranks sum to one in every round.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = stored(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     ranks = seeds.select("host", F.col("seed").alias("rank"))
     for _ in range(rounds):
-        moved = shares.join(ranks, shares["src"] == ranks["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"))
-        parts = moved.union(seeds.select("host", (F.col("seed") * (1 - damping)).alias("part")))
+        moved = shares.join(ranks, shares["src"] == ranks["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("part"))
+        moved = stored(moved, "moved")
+        back = 1 - (moved.agg(F.sum("part")).first()[0] or 0.0)
+        parts = moved.union(seeds.select("host", (F.col("seed") * back).alias("part")))
         ranks = stored(parts.groupBy("host").agg(F.sum("part").alias("rank")), "ranks")
     return ranks
 

@@ -31,13 +31,33 @@ def test_ranks_equal_a_plain_walk(spark):
     seeds = spark.createDataFrame([("a", 0.75), ("d", 0.25)], "host string, seed double")
     rank = {"a": 0.75, "d": 0.25}
     for _ in range(uf.ROUNDS):
-        new = {"a": 0.15 * 0.75, "d": 0.15 * 0.25}
+        new = {}
         for s, d, w in links:
             total = sum(x for a, _, x in links if a == s)
             new[d] = new.get(d, 0) + 0.85 * rank.get(s, 0) * w / total
-        rank = new
+        # What did not move, that of "e" without links too, is back at the seeds.
+        back = 1 - sum(new.values())
+        rank = {h: new.get(h, 0) + back * {"a": 0.75, "d": 0.25}.get(h, 0) for h in {*new, "a", "d"}}
     got = {r.host: r["rank"] for r in uf.page_rank(edges, seeds).collect()}
     assert got == pytest.approx({k: v for k, v in rank.items()})
+    assert sum(got.values()) == pytest.approx(1)
+
+
+def test_hosts_below_one_domain_belong_together(spark):
+    """The parent was not crawled; repeated rows and a very long page change nothing but weights."""
+    pages = [
+        (1, "http://one.evil.net/", "x" * 300_000 + "<a href='http://bad.com/de/1'>x</a>"),
+        (2, "http://bad.com/de/1", ""), (2, "http://bad.com/de/1", ""),
+        (3, "http://two.evil.net/", None), (4, "http://three.fine.net/", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    edges = {(r.src, r.dst): r.weight for r in uf.host_edges(df).collect()}
+    assert edges == {
+        ("one.evil.net", "bad.com"): 1, ("one.evil.net", "evil.net"): 1, ("evil.net", "one.evil.net"): 1, ("two.evil.net", "evil.net"): 1,
+        ("evil.net", "two.evil.net"): 1, ("three.fine.net", "fine.net"): 1, ("fine.net", "three.fine.net"): 1,
+    }
+    got = {r.page_id: r.verdict for r in uf.judged(df).select("row.page_id", "verdict").collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
 def test_distrust_comes_back_over_links_and_trust_goes_forward(spark):
