@@ -10,7 +10,8 @@ shingles occur in it, however long the document is.
    compared with items small enough to be contained in it; a sketch is looked up with the
    least document size class that its item fits in.
 3. Each shingle of a document is looked up in the sketches once. What is found is a pair
-   of document and item; pairs are few, and only their documents are read again.
+   of document and item, and only documents in pairs are read again. A shingle that very
+   many documents and sketches have makes a pair of each two of them.
 4. Exact containment: the shingles of the document meet those of the item, as sets.
 
 Only built-in expressions are used. Sketches are read from a stored table, so that Spark
@@ -63,7 +64,7 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, tex
     rows = keyed(docs, text, doc_id).select("id", "fp", "text")
     # ceil(share * n) in whole numbers, so that no rounding moves the threshold.
     item_rows = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), shingles(F.coalesce(F.col(f"`{item_text}`"), F.lit(""))).alias("s"))
-    needed = F.floor((F.size("s") * per_mille + 999) / 1000).cast("int")
+    needed = F.expr(f"int((size(s) * {per_mille}L + 999) div 1000)")
     item_rows = stored(
         item_rows.where(F.size("s") > 0)
         .select("item_id", F.array_sort("s").alias("s"))

@@ -171,3 +171,12 @@ def test_containment_of_short_and_odd_items(spark):
     assert sorted(map(str, (r.doc_id for r in decontamination.without_items(docs, items).collect()))) == ["3", "4"]
     assert decontamination.contained_items(docs, items.limit(0)).count() == 0
     assert re.fullmatch(r"\[\^.*\]\+", decontamination.WORD)
+
+
+def test_an_item_of_millions_of_words(spark):
+    """Sizes times per mille are more than an int holds."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2_700_000)), lambda i: i.cast("string")), " ")
+    items = spark.range(1).select(F.lit(7).alias("item_id"), words.alias("text"))
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.concat(F.lit("start "), words)).otherwise(F.lit("other text")).alias("text"))
+    found = decontamination.contained_items(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found] == [(0, 7, 2_699_996, 2_699_996)]
