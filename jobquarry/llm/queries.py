@@ -90,14 +90,14 @@ drawn AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
          ('0x' || substr(md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
+SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM drawn""",
 )
 def op9_mixing(spark, sf_dir):
     taken = mixing.copies_of(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return taken.select(
-        "row.doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken")
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
 
 
