@@ -6,8 +6,9 @@ with the character spans of the assistant's words, which are what a model learns
 everything else is masked. If the whole of a conversation is common, its completion is empty.
 
 Turns are compared by a join on pair and position, so the prefix is the least position at
-which the two differ: two sums per pair, no conversation is gathered to compare it. Only the
-rendering brings a conversation's turns together, since they become one text.
+which the two differ: two sums per pair, no conversation is gathered to compare it. Where
+each turn begins in its text is a running sum over the turns. Only the rendering brings a
+conversation's turns together, since they become one text.
 """
 
 from __future__ import annotations
@@ -49,8 +50,11 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     one. Masks are arrays of ``start, end``: half-open character spans of what counts. All
     texts are kept whole. Other columns play no part.
     """
-    sides = chosen.select("conv", "pos", "role", "text", F.lit(True).alias("is_chosen")).union(
-        rejected.select("conv", "pos", "role", "text", F.lit(False).alias("is_chosen"))
+    sides = stored(
+        chosen.select("conv", "pos", "role", "text", F.lit(True).alias("is_chosen")).union(
+            rejected.select("conv", "pos", "role", "text", F.lit(False).alias("is_chosen"))
+        ),
+        "sides",
     )
     # Equal turns of both sides have one fingerprint; a position is common if it has two rows and one fingerprint.
     at_position = sides.groupBy("conv", "pos").agg(
@@ -62,36 +66,27 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.when(differs, F.col("pos"))), F.max("pos") + 1).cast("int").alias("prefix_turns")
     )
     prefix = stored(prefix, "prefixes")
-    marked = sides.join(prefix, "conv").withColumn("common", F.col("pos") < F.col("prefix_turns"))
-    marked = marked.where("is_chosen OR NOT common")
-    piece = F.struct("pos", _rendered().alias("piece"), F.col("role").alias("role"), F.length("text").alias("length"))
-    own = lambda condition: F.array_sort(F.collect_list(F.when(condition, piece)))
-    gathered = marked.groupBy("conv", "prefix_turns").agg(
-        own(F.col("common")).alias("prompt"),
-        own(F.col("is_chosen") & ~F.col("common")).alias("chosen"),
-        own(~F.col("is_chosen") & ~F.col("common")).alias("rejected"),
+    common = F.col("pos") < F.col("prefix_turns")
+    part = F.when(common, "prompt").when(F.col("is_chosen"), "chosen").otherwise("rejected")
+    marked = sides.join(prefix, "conv").where(F.col("is_chosen") | ~common).select("conv", "prefix_turns", "pos", "role", part.alias("part"), _rendered().alias("piece"), F.length("text").alias("length"))
+    # Dealt once; the running sum and the gathering both find their rows together.
+    earlier = Window.partitionBy("conv", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("piece")).over(earlier), F.lit(0))
+    begin = before + F.length("piece") - F.col("length") - len(CLOSE)
+    placed = marked.repartition("conv").select("*", begin.cast("int").alias("start"), (begin + F.col("length") + len(CLOSE) - 1).cast("int").alias("end"))
+    learned = lambda name: (F.col("part") == name) & (F.col("role") == LEARNED)
+    pieces = lambda name: F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("pos", "piece"))))
+    spans = lambda name: F.array_sort(F.collect_list(F.when(learned(name), F.struct("pos", "start", "end"))))
+    gathered = placed.groupBy("conv", "prefix_turns").agg(
+        *(pieces(name).alias(name) for name in ("prompt", "chosen", "rejected")), *(spans(name).alias(f"{name}_mask") for name in ("chosen", "rejected"))
     )
-    text = lambda c: F.concat_ws("", F.transform(c, lambda t: t["piece"]))
+    text = lambda c: F.concat_ws("", F.transform(c, lambda t: t["piece"])).alias(c)
+    mask = lambda c: F.transform(c, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias(c)
     return gathered.select(
-        F.col("conv").alias("pair"), "prefix_turns", text("prompt").alias("prompt"), text("chosen").alias("chosen"),
-        text("rejected").alias("rejected"), _mask("chosen").alias("chosen_mask"), _mask("rejected").alias("rejected_mask"),
+        F.col("conv").alias("pair"), "prefix_turns", text("prompt"), text("chosen"), text("rejected"), mask("chosen_mask"), mask("rejected_mask")
     )
 
 
-def _mask(turns: str) -> Column:
-    """Spans of the learned role's texts in the joined pieces; the closing mark counts too."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(state: Column, turn: Column) -> Column:
-        begin = state["at"] + F.length(turn["piece"]) - turn["length"] - F.lit(len(CLOSE))
-        end = begin + turn["length"] + F.lit(len(CLOSE) - 1)
-        span = F.array(F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end")))
-        spans = F.when(turn["role"] == LEARNED, F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((state["at"] + F.length(turn["piece"])).cast("int").alias("at"), spans.alias("spans"))
-
-    return F.aggregate(turns, start, step, lambda state: state["spans"])
-
-
 def swapped_endings(turns: DataFrame) -> DataFrame:
     """Rejected partners for conversations that have none: the last turn of the neighbour.
 

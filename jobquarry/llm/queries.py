@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobquarry.llm import ann, decontamination, jaccard_join, language_mixture, mixing, near_dedup, preference, repair, suffix_dedup, toxicity, url_filter, warc, whitening
+from jobquarry.llm.frames import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -172,7 +173,7 @@ SELECT conv AS pair, CAST(any_value(n) AS INTEGER) AS prefix_turns,
 FROM parts GROUP BY conv""",
 )
 def op5_preference(spark, sf_dir):
-    turns = preference.turns_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns = stored(preference.turns_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "turns")
     pairs = preference.preference_pairs(turns, preference.swapped_endings(turns))
     spans = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])))
     return pairs.select(

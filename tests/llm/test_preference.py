@@ -1,5 +1,9 @@
 """Preference pairs against a plain rendering."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from jobquarry.llm import preference as P
 
 
@@ -42,3 +46,28 @@ def test_turns_of_odd_tables(spark):
     assert got == [(2, 0, "", ""), (2, 1, "user", "b"), (2, 2, "user", "b"), (2, 3, "x", "last"), (3, 0, "user", "alone")]
     swapped = sorted((r.conv, r.pos, r.text) for r in P.swapped_endings(turns).collect())
     assert swapped == [(2, 0, ""), (2, 1, "b"), (2, 2, "b"), (2, 3, "alone"), (3, 0, "last")]
+
+
+def test_a_conversation_of_a_hundred_thousand_turns(spark):
+    """Time in proportion to the turns: masks are running sums, not arrays that grow."""
+    def run(n):
+        roles = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+        turns = P.turns_of(rows)
+        start = time.perf_counter()
+        row = P.preference_pairs(turns, turns.where("pos < 10")).select("prefix_turns", F.size("chosen_mask").alias("spans"), "chosen", "chosen_mask").first()
+        return time.perf_counter() - start, row
+
+    run(1_000)
+    seconds, row = run(100_000)
+    assert (row.prefix_turns, row.spans) == (10, 49_995) and seconds < 60
+    last = row.chosen_mask[-1]
+    assert row.chosen[last.start : last.end] == "t99999<|end|>"
+
+
+def test_repeated_positions_of_equal_rows(spark):
+    """Rows equal in all columns are turns one after another."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b")]
+    turns = P.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    row = P.preference_pairs(turns, P.swapped_endings(turns)).first()
+    assert row.prefix_turns == 3 and row.chosen.count("assistant") == 1 and row.rejected == ""
