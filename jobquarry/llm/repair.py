@@ -52,6 +52,8 @@ KEPT = {
 EDITS = "DKR"
 #: Bytes of notes that a task keeps in memory, and rows per piece of edits.
 NOTES_IN_MEMORY, PIECE = 32 << 20, 50_000
+#: Results that a task returns at once; a piece or an audit has a letter or so per row.
+RESULTS = 200
 
 WORDLESS, CLOSED = r"^[\x20\x09-\x0D]*\z", r"[.!?][\x20\x09-\x0D]*\z"
 
@@ -188,11 +190,14 @@ def _pieces(conv, notes: _Notes, cost: int) -> Iterator[dict]:
 
 def _cheapest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows by conversation, last row first, to pieces of edits."""
-    conv, after, notes, known = None, _ends(), None, {}
+    conv, after, notes, known, out = None, _ends(), None, {}, []
 
     def finished():
         for piece in _pieces(conv, notes, after[START]):
-            yield pd.DataFrame([piece])
+            out.append(piece)
+            if len(out) == RESULTS:
+                yield pd.DataFrame(out)
+                out.clear()
         notes.close()
 
     for batch in batches:
@@ -211,11 +216,13 @@ def _cheapest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             notes.add(note)
     if notes is not None:
         yield from finished()
+    if out:
+        yield pd.DataFrame(out)
 
 
 def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order, each piece of edits before its first row, to one result per conversation."""
-    conv, state, edits, at, digest, begun, audit, cost = None, START, "", 0, None, False, [], 0
+    conv, state, edits, at, digest, begun, audit, cost, out = None, START, "", 0, None, False, [], 0, []
 
     def turn(role: str, text: str) -> None:
         nonlocal begun
@@ -229,15 +236,18 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             turn(ROLE[state], "")
             at += 1
 
-    def finished():
+    def finished() -> Iterator[pd.DataFrame]:
         inserted()
-        return pd.DataFrame([{"conv": conv, "cost": cost, "audit": "".join(audit), "repaired_sha256": digest.hexdigest()}])
+        out.append({"conv": conv, "cost": cost, "audit": "".join(audit), "repaired_sha256": digest.hexdigest()})
+        if len(out) == RESULTS:
+            yield pd.DataFrame(out)
+            out.clear()
 
     for batch in batches:
         for this, piece, price, role, text in zip(batch["conv"], batch["edits"], batch["cost"], batch["role"], batch["text"], strict=True):
             if digest is None or this != conv:
                 if digest is not None:
-                    yield finished()
+                    yield from finished()
                 conv, state, edits, at, digest, begun, audit = this, START, "", 0, hashlib.sha256(), False, []
             if isinstance(piece, str):
                 inserted()
@@ -254,7 +264,9 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 state = NEXT[state]
                 turn(ROLE[state], text)
     if digest is not None:
-        yield finished()
+        yield from finished()
+    if out:
+        yield pd.DataFrame(out)
 
 
 def repaired(rows: DataFrame, light: DataFrame) -> DataFrame:
