@@ -48,7 +48,7 @@ def stream_dedup(
     *order: str,
     url: str = "url",
     seen: str | None = None,
-    buckets: int = 64,
+    buckets: int = 16,
     filter_bits: int = 1 << 17,
 ) -> StreamingQuery:
     """Append each URL's first row, over all runs, to ``target``.

@@ -93,7 +93,7 @@ class SeenSet:
     set is to reach. ``filter_bits``: about ten per key and bucket of a usual run.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, filter_bits: int = 1 << 17):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, filter_bits: int = 1 << 17):
         if buckets < 1 or filter_bits % 8 or filter_bits < 64:
             raise ValueError("at least one bucket, and filters of whole bytes, 64 bits or more")
         self.spark, self.path = spark, path.rstrip("/")
