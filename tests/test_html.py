@@ -3,11 +3,12 @@
 import sys
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from jobquarry import PatternConfig
-from jobquarry.functions.html import Page, Selector
+from jobquarry.functions.html import Page, Selector, in_pieces
 from jobquarry.operators import links, postings
 from jobquarry.sources.readers import read_html_dump
 
@@ -224,3 +225,19 @@ def test_next_page_and_page_count(spark, config):
     assert [(r.page_id, r.page_count) for r in cut] == [(9, 200)]
     manual = PatternConfig({"pagination": {"max_pages": 9, "page_detection": {"method": "manual"}}})
     assert {r.page_count for r in links.detect_page_count(pages, manual, "page_id").collect()} == {9}
+
+
+def test_pages_of_a_large_batch_are_handed_on_in_pieces():
+    pages = ["<p>a</p>", None, "x" * 700_000, "y" * 700_000, "", *(f"<p>{i}</p>" for i in range(1000))]
+    held = []
+
+    def read(html):
+        held.append(html)
+        return html
+
+    got = []
+    for piece in in_pieces(iter([pa.array(pages), pa.array([], pa.string()), pa.array(["last"])]), read, pa.string()):
+        assert piece.to_pylist() == held and len(held) <= 256 and sum(len(h or "") for h in held[:-1]) < 1 << 20
+        got += piece.to_pylist()
+        held.clear()
+    assert got == [*pages, "last"]
