@@ -169,7 +169,8 @@ def read_postings_tree(spark, sf):
     """Postings below company and snapshot folders, one JSON file per posting."""
     path = scratch_path(spark, "tree")
     rows = writers.posting_json(conform_postings(link_postings(spark, sf)), "job_id")
-    write_files(rows, path, F.concat(F.lit("sample/1/"), "job_id", F.lit(".json")), F.col("posting"))
+    company = F.concat(F.lit("c"), F.crc32("job_id") % 64)
+    write_files(rows, path, F.concat(company, F.lit("/1/"), "job_id", F.lit(".json")), F.col("posting"))
     return posting_columns(readers.read_postings_tree(spark, path))
 
 

@@ -49,14 +49,16 @@ def write_files(df: DataFrame, root: str, name: Column, content: Column) -> int:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = task_files(root)
-        count = 0
+        count, made = 0, set()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not name or name.startswith("/") or posixpath.normpath(f"/{name}") != f"/{name}":
                     raise ValueError(f"no file name: {name!r}")
                 path = posixpath.join(top, name)
                 folder, base = posixpath.split(path)
-                system.create_dir(folder, recursive=True)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(f"{folder}/.{base}.part") as out:
                     out.write((content or "").encode())
                 system.move(f"{folder}/.{base}.part", path)

@@ -12,6 +12,7 @@ from jobquarry.schema import LISTING_SCHEMA, POSTING_SCHEMA, conform_postings
 from jobquarry.session import stored
 from jobquarry.sources.envelopes import BAD_ENVELOPE, NO_JOBS
 from jobquarry.sources.files import opens_in_tasks
+from jobquarry.sources.many import whole_files
 from jobquarry.sources.snapshots import file_texts, folder_files, snapshot_folders
 
 
@@ -23,7 +24,11 @@ def read_listings(spark: SparkSession, path: str | list[str], multi_line: bool =
     that is no JSON, or has no list of jobs, is one row with its ``reason``, which is null
     for jobs. ``read_huge_listings`` cuts an envelope too large for one row.
     """
-    texts = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    if multi_line:
+        read = whole_files(spark, path)
+    else:
+        read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    texts = read.withColumnRenamed("value", "text")
     texts = texts.where(F.trim("text", F.lit(" \t\r\n")) != "")
     # Parsed once; only a text without a list is looked at again.
     parsed = texts.select("*", F.explode(F.array(one_value(F.col("text"), LISTING_SCHEMA.simpleString()))).alias("_e"))
@@ -46,12 +51,8 @@ def read_listings(spark: SparkSession, path: str | list[str], multi_line: bool =
 
 def read_html_dump(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.html`` files of one folder: (file_name, file_stem, html)."""
-    pages = (
-        spark.read.option("pathGlobFilter", "*.html")
-        .option("recursiveFileLookup", False)
-        .text(path, wholetext=True)
-        .select(_decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("html"))
-    )
+    files = whole_files(spark, path, ".html")
+    pages = files.select(_decoded(F.substring_index("file_path", "/", -1)).alias("file_name"), F.col("value").alias("html"))
     return with_file_stem(pages)
 
 
@@ -122,10 +123,12 @@ def read_json_documents(
 
 
 def _json_texts(spark: SparkSession, path: str | list[str], one_per_file: bool) -> DataFrame:
+    if one_per_file:
+        return whole_files(spark, path, ".json", recursive=True).withColumnRenamed("value", "document")
     return (
         spark.read.option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", True)
-        .text(path, wholetext=one_per_file)
+        .text(path)
         .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("document"))
     )
 

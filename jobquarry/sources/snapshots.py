@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from jobquarry.sources.files import opens_in_tasks, task_files
+from jobquarry.sources.many import TEXT_BYTES, dealt
 
 #: Companies that one task lists.
 COMPANIES_PER_TASK = 64
@@ -103,6 +104,7 @@ def file_texts(files: DataFrame, *keep: str) -> DataFrame:
     """``keep``, file_path and document: the text of each file, read in tasks.
 
     Files are dealt over the tasks one by one, so a company with very many is no one task's.
+    Texts are handed on some at a time.
     """
     kept = [f for f in files.schema if f.name in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "file_path string, document string"])
@@ -110,10 +112,16 @@ def file_texts(files: DataFrame, *keep: str) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            start, found, held = 0, [], 0
             for i, uri in enumerate(batch.column("file_path").to_pylist()):
                 system, path = task_files(uri)
                 with system.open_input_stream(path) as stream:
-                    text = stream.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(len(kept))), pa.array([uri]), pa.array([text])], names)
-
-    return files.select(*(f.name for f in kept), "file_path").repartition("file_path").mapInArrow(texts, schema)
+                    content = stream.read()
+                found.append(content.decode("utf-8", "replace"))
+                held += len(content)
+                if held >= TEXT_BYTES or i + 1 == batch.num_rows:
+                    same = batch.slice(start, len(found))
+                    yield pa.RecordBatch.from_arrays([*same.columns, pa.array(found, pa.string())], names)
+                    start, found, held = i + 1, [], 0
+
+    return dealt(files).select(*(f.name for f in kept), "file_path").mapInArrow(texts, schema)

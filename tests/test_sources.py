@@ -1,5 +1,6 @@
 """Files, snapshot trees and envelopes: what is read, what is refused, what is never opened."""
 
+import gzip
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobquarry.operators.scan import running_sums
-from jobquarry.sources import envelopes, files, readers, snapshots
+from jobquarry.sources import envelopes, files, many, readers, snapshots
 
 
 def write(path, text):
@@ -164,3 +165,47 @@ def test_ten_thousand_companies(spark, tmp_path):
     assert snapshots.snapshot_folders(spark, str(tmp_path)).rdd.getNumPartitions() == 157
     assert newest.where("snapshot = '2'").count() == 10_000
     assert readers.read_latest_snapshots(spark, str(tmp_path)).count() == 20
+
+
+def listed(df):
+    return sorted((r.file_path, r.value) for r in df.collect())
+
+
+def spark_reads(spark, path, suffix="*", recursive=False):
+    read = spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", recursive).text(str(path), wholetext=True)
+    return sorted((r.file_path, r.value) for r in read.select("_metadata.file_path", "value").collect())
+
+
+def test_files_read_in_tasks_are_those_of_sparks_reader(spark, tmp_path):
+    names = ["x y%z+ü[1]~.json", "q?#é;=&@$,!'()*^`{}|  .json", "_hidden.json", ".hidden.json", "_k=v.json", "empty.json", "note.txt", "_metadata", "z._COPYING_"]
+    for folder in ("", "a b", "a b/1", "a b/1/deep é/er", "a b/1/.part", "a b/_tmp", "c%20d/2"):
+        for name in names:
+            write(tmp_path / folder / name, "" if name == "empty.json" else f"﻿ {folder}\r\n{name}\n")
+    (tmp_path / "a b" / "1" / "raw.json").write_bytes(b"\xff{\x00")
+    for suffix, recursive in (("", False), (".json", False), (".json", True), ("", True)):
+        assert many.list_files(spark, str(tmp_path), suffix, recursive) is not None
+        got = listed(many.whole_files(spark, str(tmp_path), suffix, recursive))
+        assert got and got == spark_reads(spark, tmp_path, f"*{suffix}", recursive)
+    one = tmp_path / "a b" / "note.txt"
+    assert listed(many.whole_files(spark, f"file://{one}")) == spark_reads(spark, one)
+    both = [str(one), str(tmp_path / "c%20d")]
+    assert listed(many.whole_files(spark, both, recursive=True)) == sorted(spark_reads(spark, one) + spark_reads(spark, tmp_path / "c%20d", recursive=True))
+
+
+def test_what_only_spark_reads_is_left_to_it(spark, tmp_path):
+    write(tmp_path / "p" / "k=1" / "x.json", "1")
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "x.json.gz").write_bytes(gzip.compress(b"{}"))
+    for path in (tmp_path / "p", tmp_path / "z", tmp_path / "z" / "*"):
+        assert many.list_files(spark, str(path)) is None
+        assert listed(many.whole_files(spark, str(path))) == spark_reads(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        many.whole_files(spark, str(tmp_path / "none"))
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path / f"c{i % 5}" / "1" / f"{i}.json", json.dumps({"job_id": str(i), "title": "t", "company": "c"}))
+    tree = readers.read_postings_tree(spark, str(tmp_path))
+    assert sorted(int(r.job_id) for r in tree.collect()) == list(range(300))
+    assert tree.rdd.getNumPartitions() == 1 < spark.read.option("recursiveFileLookup", True).text(str(tmp_path), wholetext=True).rdd.getNumPartitions()
