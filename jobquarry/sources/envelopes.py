@@ -12,6 +12,9 @@ A comma is no part of another UTF-8 character and of no escape, so pieces cut no
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,12 @@ from jobquarry.functions.json_types import is_json, one_value
 from jobquarry.operators.scan import running_sums
 from jobquarry.schema import LISTING_SCHEMA
 from jobquarry.session import stored
+from jobquarry.sources import many
 
 BAD_ENVELOPE = "invalid JSON"
 NO_JOBS = "no list of jobs"
+#: Bytes of a file that a task reads whole.
+SMALL = 4 << 20
 _JOB = LISTING_SCHEMA["jobs"].dataType.elementType.simpleString()
 _HEADER = "struct<source_url:string,company_name:string,total_pages_crawled:bigint>"
 
@@ -33,15 +39,36 @@ def _outside_strings(text: Column, inside: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(opened, '"[^"]*"', "_"), '"[^"]*\\z', "_")
 
 
-def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_path, block, i, text`` and ``depth``, ``part``, ``entry`` of each piece, stored."""
-    read = spark.read.option("lineSep", ",").text(path).select(
+def _split_by_spark(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.option("lineSep", ",").text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("i"),
         F.col("value").alias("text"),
     )
-    read = stored(read, "pieces")
+
+
+def _cut(spark: SparkSession, path: str | list[str], small: int = SMALL) -> DataFrame:
+    """``file_path, block, i, text``: what lies between commas.
+
+    Spark's reader splits the large files. Files of ``small`` bytes at most may be very
+    many; tasks read those whole and cut them into the same pieces.
+    """
+    files = many.list_files(spark, path)
+    if files is None:
+        return _split_by_spark(spark, path)
+    # A mark at the beginning is no text, nor is nothing behind the last comma a piece.
+    text = F.regexp_replace(F.regexp_replace("value", "\\A\ufeff", ""), ",\\z", "")
+    whole = many.read_files(files.where(F.col("size") <= small)).select("file_path", "value", text.alias("text")).where("value <> '\ufeff'")
+    cut = whole.select("file_path", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("text", ",")).alias("i", "text"))
+    cut = cut.withColumn("i", F.col("i").cast("long"))
+    large = [re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(r.file_path)) for r in files.where(F.col("size") > small).select("file_path").toLocalIterator()]
+    return cut.union(_split_by_spark(spark, large)) if large else cut
+
+
+def _pieces(spark: SparkSession, path: str | list[str], small: int = SMALL) -> DataFrame:
+    """``file_path, block, i, text`` and ``depth``, ``part``, ``entry`` of each piece, stored."""
+    read = stored(_cut(spark, path, small), "pieces")
     quotes = F.regexp_count(F.regexp_replace("text", r"(?s)\\.", ""), F.lit('"'))
     placed = running_sums(read, ["file_path"], "block", "i", quotes=quotes)
     bare = placed.withColumn("inside", F.col("quotes") % 2 == 1).withColumn("bare", _outside_strings(F.col("text"), F.col("inside")))
@@ -75,15 +102,16 @@ def _balanced(pieces: DataFrame) -> DataFrame:
     )
 
 
-def read_huge_listings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_huge_listings(spark: SparkSession, path: str | list[str], small: int = SMALL) -> DataFrame:
     """As ``read_listings``: one row per job, or one with the ``reason`` for a file without.
 
     The columns are file_path, listing_url, company_name, total_pages_crawled, pos, the
     fields of a job, and reason. Of several ``jobs`` keys the last counts. A file that is no
     JSON, or has no list of jobs, gives one row; an empty file has no piece and gives none.
+    ``small`` is the size up to which a file is read by one task.
     Of header entries that are lists or objects themselves, only brackets and quotes count.
     """
-    pieces = stored(_pieces(spark, path), "pieces")
+    pieces = stored(_pieces(spark, path, small), "pieces")
     parts = _parts(pieces)
     key = r'\A\s*\{?\s*"jobs"\s*:\s*'
     entries = parts.groupBy("file_path", "entry").agg(F.min(F.struct("part", "text")).alias("head"), F.max("part").alias("last"))

@@ -209,3 +209,21 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     tree = readers.read_postings_tree(spark, str(tmp_path))
     assert sorted(int(r.job_id) for r in tree.collect()) == list(range(300))
     assert tree.rdd.getNumPartitions() == 1 < spark.read.option("recursiveFileLookup", True).text(str(tmp_path), wholetext=True).rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("small", [0, 400, 1 << 20])
+def test_small_files_are_cut_as_sparks_reader_cuts(spark, tmp_path, small):
+    for i, text in enumerate(["", ",", ",,", "a,b", "a,,b,", "﻿", "﻿,x", "﻿{\"a\": 1,\r\n}", "é,  ,\n", "x," * 400]):
+        write(tmp_path / f"f [{i}] %20.json", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 97)
+        kinds = envelopes._cut(spark, str(tmp_path), small), envelopes._split_by_spark(spark, str(tmp_path))
+        got, want = ([r[:1] + r[3:] for r in sorted(map(tuple, df.collect()))] for df in kinds)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_large_envelopes_are_still_split(spark, folder):
+    assert jobs_of(envelopes.read_huge_listings(spark, str(folder), small=2000)) == jobs_of(readers.read_listings(spark, str(folder)))
