@@ -22,13 +22,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def first_words(text: Column) -> Column:
+    """The first two words of a text, of a blank between; null where it has fewer. No more of the text is read."""
+    other = TOKEN.replace("[", "[^", 1)
+    pattern = rf"\A{other[:-1]}*({TOKEN}){other}({TOKEN})"
+    pair = F.concat_ws(" ", *(F.regexp_extract(F.lower(text), pattern, i) for i in (1, 2)))
+    return F.when(text.isNotNull() & (pair != " "), pair)
+
+
 def phrases(words: Column, longest: int) -> Column:
     """The distinct runs of 1 to ``longest`` words, words joined by a blank."""
 
     def of_length(w: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
-        runs = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+        if n == 1:
+            return w
+        # A run is put together from its words; no array is made for it.
+        begins = F.slice(w, F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(0)))
+        return F.transform(begins, lambda first, i: F.concat_ws(" ", first, *(F.get(w, i + k) for k in range(1, n))))
 
     def of(w: Column) -> Column:
         return F.array_distinct(F.concat(*(of_length(w, n) for n in range(1, longest + 1))))
@@ -54,7 +64,8 @@ def match_keywords(texts: DataFrame, text: str, keywords: DataFrame, keyword: st
     none = F.array().cast("array<string>")
     if longest is None:
         return texts.select(*keep, none.alias("keywords"))
-    runs = texts.select(*keep, F.explode(phrases(tokens(F.col(text)), longest)).alias("_run"))
+    # The outer form: from a plain explode Spark derives a filter that finds all runs a second time.
+    runs = texts.select(*keep, F.explode_outer(phrases(tokens(F.col(text)), longest)).alias("_run"))
     # The dictionary is a stored table, so Spark knows its size and broadcasts a small one.
     hits = runs.join(listed.select("_run", "_name"), "_run").groupBy(*keep).agg(F.array_sort(F.collect_set("_name")).alias("_found"))
     found = hits.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keep)), "_found")

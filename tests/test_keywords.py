@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobquarry.functions import vectors
+from jobquarry.operators import keywords
 from jobquarry.operators.keywords import match_keywords
 
 
@@ -76,3 +77,21 @@ def test_vectors_do_not_depend_on_batches(spark, budget):
     for row in rows:
         ids = ([len(w) for w in (texts[row.i] or "").split()] or [0])[:50]
         assert row.v == [float(sum(ids)), float(ids[-1])]
+
+
+def test_first_words_and_runs_are_those_of_all_tokens(spark):
+    texts = ["", None, " ", "one", "  Two  words", "é-ß_1, Çx y", "..a..b..", "a\n\tb c", "x" * 500, "e\u0301t\u0301 \u0130I", "a b a b", "1 2 3"]
+    words = keywords.tokens(F.col("t"))
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", words)
+    rows = frame.select("t", "w", keywords.first_words(F.col("t")).alias("first"), keywords.phrases(F.col("w"), 3).alias("runs")).collect()
+    for r in rows:
+        assert r.first == (" ".join(r.w[:2]) if r.w and len(r.w) > 1 else None)
+        want = {" ".join(r.w[i : i + n]) for n in (1, 2, 3) for i in range(len(r.w) - n + 1)} if r.w else set()
+        assert sorted(r.runs or []) == sorted(want)
+
+
+def test_runs_of_a_text_are_found_once(spark):
+    frame = spark.range(5).select("id", F.concat(F.lit("a b c "), "id").alias("t"))
+    names = spark.createDataFrame([("a b",), ("c 3",)], "name string")
+    plan = match_keywords(frame, "t", names, "name", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
